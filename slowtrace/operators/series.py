@@ -45,9 +45,9 @@ def align_wide(points: DataFrame, series: Sequence[str], col: str = "series_id")
 
 
 def _calendar(
-    points: DataFrame, interval: tuple[int, int] | None, frame: Sequence[str]
+    known: DataFrame, points: DataFrame, interval: tuple[int, int] | None, frame: Sequence[str]
 ) -> tuple[DataFrame, Column, Column]:
-    """The frame's calendar bounds next to each point.
+    """The calendar bounds of the frame next to each row of ``known``.
 
     Without an interval the calendar is [min, max]; with one it is
     [min(min, a), max(max, b)), its end left out.
@@ -57,8 +57,8 @@ def _calendar(
         low, high = F.least(low, F.lit(interval[0])), F.greatest(high, F.lit(interval[1])) - F.lit(1)
     bounds = points.groupBy(*frame).agg(low.alias("__lo"), high.alias("__hi"))
     if frame:
-        return points.join(bounds, list(frame)), F.col("__lo"), F.col("__hi")
-    return points, bounds.select("__lo").scalar(), bounds.select("__hi").scalar()
+        return known.join(bounds, list(frame)), F.col("__lo"), F.col("__hi")
+    return known, bounds.select("__lo").scalar(), bounds.select("__hi").scalar()
 
 
 def expand(
@@ -73,7 +73,8 @@ def expand(
 
     Adds ``at`` (the calendar epoch) next to the sample's own columns, ``prev_*`` and
     ``next_*``. A row is the sample itself where ``at == epoch_s``, leads the series
-    where ``at < epoch_s`` and trails its sample where ``at > epoch_s``. Epochs must be
+    where ``at < epoch_s`` and trails its sample where ``at > epoch_s``; ``led`` marks a
+    first sample that comes after the start of the calendar. Epochs must be
     multiples of ``step``. Points without a value are not samples and are dropped.
     """
     samples = points.filter(F.col("value").isNotNull()).withColumn(
@@ -87,9 +88,11 @@ def expand(
         samples, keys, ["epoch_s"], cell,
         previous={f"prev_{c}": c for c in taken}, following={f"next_{c}": c for c in taken},
     )
-    placed, low, high = _calendar(known, interval, frame)
+    placed, low, high = _calendar(known, points, interval, frame)
     own = floor_div(F.col("epoch_s"), step)
-    first = F.when(F.col("prev_epoch_s").isNull(), F.least(floor_div(low, step), own)).otherwise(own)
+    led = F.col("prev_epoch_s").isNull() & (floor_div(low, step) < own)
+    placed = placed.withColumn("led", led)
+    first = F.when(F.col("led"), floor_div(low, step)).otherwise(own)
     last = F.coalesce(
         floor_div(F.col("next_epoch_s"), step) - F.lit(1), F.greatest(floor_div(high, step), own)
     )
@@ -158,13 +161,11 @@ def wait_rate(
     one_before = F.col("epoch_s") - F.lit(step)
     adjacent = F.col("prev_epoch_s") == one_before
     elapsed = F.col("epoch_ms") - F.when(adjacent, F.col("prev_epoch_ms")).otherwise(one_before * F.lit(1000))
-    first = F.col("prev_epoch_s").isNull()
-    before = F.when(~first, F.col("prev_value")).when(zero_first & F.col("__led"), F.lit(0.0))
+    before = F.when(F.col("prev_epoch_s").isNotNull(), F.col("prev_value")).when(
+        zero_first & F.col("led"), F.lit(0.0)
+    )
     rate = F.try_divide(F.col("value") / F.lit(scale) - before / F.lit(scale), elapsed.cast("double"))
-    # a first sample has a row before it only if the calendar starts earlier
-    _, low, _ = _calendar(points, calendar.get("interval"), ()) if not calendar.get("frame") else (None, None, None)
-    led = F.col("epoch_s") > low if low is not None else F.lit(True)
-    return grown.withColumn("__led", led).select(
+    return grown.select(
         *keys,
         F.col("at").alias("epoch_s"),
         F.coalesce(F.when(_is_sample(), rate), F.lit(0.0)).alias("value"),
