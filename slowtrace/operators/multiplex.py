@@ -199,7 +199,7 @@ def _epoll_file_wait(
     )
     unit = F.lit(bucket).cast("bigint")
     spans = file_registrations(timeline, file, idle_removals, cell_width)
-    last = F.floor(totals.agg(F.max("bucket")).scalar()).cast("bigint")
+    last = totals.agg(F.max("bucket")).scalar()
     spread = explode_range(
         spans,
         floor_div(F.col("since"), bucket * _COARSE),
