@@ -25,6 +25,13 @@ _ORDER = ["ts", "seq"]
 _COARSE = 4096
 
 
+def _limit(events: DataFrame, horizon: int | None) -> Column:
+    """Up to when open waits are accounted: the given time, or the last event of the log."""
+    if horizon is not None:
+        return F.lit(horizon).cast("bigint")
+    return events.agg(F.max("ts").alias("last")).scalar()
+
+
 def _packed_thread() -> Column:
     return F.shiftleft(F.col("pid").cast("bigint"), 32).bitwiseOR(F.col("tid").cast("bigint"))
 
@@ -49,16 +56,15 @@ def muxio_wait(
 ) -> DataFrame:
     """Time threads spend waiting in each poll/epoll set, split by bucket.
 
-    The request counts in the bucket of completion. With a ``horizon``, waits still open
-    are accounted up to it without being counted.
+    The request counts in the bucket of completion. Waits still open are accounted up to
+    the ``horizon`` (the last event by default) without being counted.
     """
     moves = _thread_events(events)
     keys = [*_SET, "pid", "tid"]
     waits = pair_events(moves, keys, "enter", "leave", order=_ORDER, cell_width=cell_width)
-    if horizon is not None:
-        still = open_events(moves, keys, "enter", "leave", order=_ORDER)
-        waits = waits.unionByName(still, allowMissingColumns=True)
-    stats = call_stats(waits, keys, bucket, horizon)
+    still = open_events(moves, keys, "enter", "leave", order=_ORDER)
+    waits = waits.unionByName(still, allowMissingColumns=True)
+    stats = call_stats(waits, keys, bucket, _limit(events, horizon))
     return stats.select(
         "bucket", "pid", "tid", *_SET, "total_time",
         F.coalesce("total_requests", F.lit(0).cast("bigint")).alias("total_requests"),
@@ -89,15 +95,14 @@ def _poll_file_wait(
         .groupBy(*keys, F.col("__in.start").alias("__start"), F.col("__in.end").alias("end"), *file)
         .agg(F.max("ts").alias("__since"))
     )
-    if horizon is not None:
-        still = open_events(moves, keys, "poll_start", "poll_end", order=_ORDER).withColumnRenamed("start", "__start")
-        waiting = (
-            registered.filter(F.col("__in").isNull())
-            .groupBy(*keys, *file)
-            .agg(F.max("ts").alias("__since"))
-            .join(still, keys)
-        )
-        taken = taken.unionByName(waiting, allowMissingColumns=True)
+    still = open_events(moves, keys, "poll_start", "poll_end", order=_ORDER).withColumnRenamed("start", "__start")
+    waiting = (
+        registered.filter(F.col("__in").isNull())
+        .groupBy(*keys, *file)
+        .agg(F.max("ts").alias("__since"))
+        .join(still, keys)
+    )
+    taken = taken.unionByName(waiting, allowMissingColumns=True)
     waits = taken.select(
         F.lit(False).alias("is_epoll"),
         _packed_thread().cast("decimal(20,0)").alias("poll_id"),
@@ -105,7 +110,7 @@ def _poll_file_wait(
         F.greatest("__since", "__start").alias("start"),
         "end",
     )
-    return call_stats(waits, [*_SET, *file], bucket, horizon).select(
+    return call_stats(waits, [*_SET, *file], bucket, _limit(events, horizon)).select(
         "bucket", *_SET, *file, "total_time",
         F.coalesce("total_requests", F.lit(0).cast("bigint")).alias("count"),
     )
@@ -189,9 +194,7 @@ def _epoll_file_wait(
     timeline = settle(epoll_timeline(events, cell_width))
     sessions = active_sessions(timeline, cell_width)
     done = F.col("end").isNotNull()
-    if horizon is None:
-        sessions = sessions.filter(done)
-    stop = F.col("end") if horizon is None else F.coalesce(F.col("end"), F.lit(horizon).cast("bigint"))
+    stop = F.coalesce(F.col("end"), _limit(events, horizon))
     pieces = split_by_bucket(sessions.withColumn("__stop", stop), bucket, "start", "__stop", touch_end=True)
     pieces = pieces.withColumn("closes", (done & (F.col("bucket") == floor_to(F.col("end"), bucket))).cast("bigint"))
     totals = pieces.groupBy("poll_id", "bucket").agg(
