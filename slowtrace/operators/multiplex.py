@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slowtrace.functions.timebase import NS_PER_S, floor_div, floor_to
 from slowtrace.operators.accounting import call_stats
 from slowtrace.operators.carry import with_last_known, with_neighbours, with_running_sum
-from slowtrace.operators.intervals import open_events, pair_events, split_by_bucket
+from slowtrace.operators.intervals import open_events, split_by_bucket
 from slowtrace.operators.ranges import explode_range, time_cell
 from slowtrace.session import settle
 
@@ -56,15 +56,22 @@ def muxio_wait(
 ) -> DataFrame:
     """Time threads spend waiting in each poll/epoll set, split by bucket.
 
-    The request counts in the bucket of completion. Waits still open are accounted up to
-    the ``horizon`` (the last event by default) without being counted.
+    The request counts in the bucket of completion. Waits without an end are accounted
+    without being counted: one still open up to the ``horizon`` (the last event by
+    default), one whose thread enters again up to the bucket of that second start.
     """
-    moves = _thread_events(events)
     keys = [*_SET, "pid", "tid"]
-    waits = pair_events(moves, keys, "enter", "leave", order=_ORDER, cell_width=cell_width)
-    still = open_events(moves, keys, "enter", "leave", order=_ORDER)
-    waits = waits.unionByName(still, allowMissingColumns=True)
-    stats = call_stats(waits, keys, bucket, _limit(events, horizon))
+    cell = None if cell_width is None else time_cell(F.col("ts"), cell_width)
+    moves = with_neighbours(
+        _thread_events(events), keys, _ORDER, cell, following={"__kind": "kind", "__ts": "ts"}
+    )
+    waits = moves.filter(F.col("kind") == "enter").select(
+        *keys,
+        F.col("ts").alias("start"),
+        F.when(F.col("__kind") == "leave", F.col("__ts")).alias("end"),
+        F.coalesce(floor_to(F.col("__ts"), bucket), _limit(events, horizon)).alias("until"),
+    )
+    stats = call_stats(waits, keys, bucket, F.col("until"))
     return stats.select(
         "bucket", "pid", "tid", *_SET, "total_time",
         F.coalesce("total_requests", F.lit(0).cast("bigint")).alias("total_requests"),

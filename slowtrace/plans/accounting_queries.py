@@ -202,31 +202,43 @@ def poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MUX = EV + """, mux AS (
+_MUX_KINDS = "('view', 'signup', 'click', 'error')"
+
+
+def mux_sql(stop: str | None = None) -> str:
+    """Poll events up to ``stop``, or all with the last one as the time open waits end."""
+    cut = "" if stop is None else f" AND t < {stop}"
+    return EV + f""", mux AS (
   SELECT user_id % 20 AS poll_id, user_id AS tid, k % 10 AS inode_id, event_type AS kind, t, event_id
-  FROM ev WHERE event_type IN ('view', 'signup', 'click', 'error')
-), last AS (SELECT max(t) AS maxt FROM mux
+  FROM ev WHERE event_type IN {_MUX_KINDS}{cut}
+), last AS (SELECT {stop or 'max(t)'} AS maxt {'' if stop else 'FROM mux'}
 ), moves AS (
-  SELECT *, lag(kind) OVER w AS pk, lag(t) OVER w AS pt, lead(t) OVER w AS nt
+  SELECT *, lag(kind) OVER w AS pk, lag(t) OVER w AS pt, lead(t) OVER w AS nt, lead(kind) OVER w AS nk
   FROM (SELECT * FROM mux WHERE kind IN ('view', 'signup'))
   WINDOW w AS (PARTITION BY poll_id, tid ORDER BY t, event_id))"""
 
 
-@query("a4_muxio_wait", f"""WITH {_MUX}, waits AS (
+def thread_wait_sql(stop: str | None = None) -> str:
+    return f"""WITH {mux_sql(stop)}, waits AS (
   SELECT poll_id, tid, pt AS s, t AS e, t AS done FROM moves WHERE kind = 'signup' AND pk = 'view'
   UNION ALL
-  SELECT poll_id, tid, t, maxt, NULL FROM moves, last WHERE kind = 'view' AND nt IS NULL
+  SELECT poll_id, tid, t, coalesce(nt // {HOUR} * {HOUR}, maxt), NULL FROM moves, last
+  WHERE kind = 'view' AND (nt IS NULL OR (nk = 'view' AND nt // {HOUR} * {HOUR} > t))
 ), sl AS (SELECT *, unnest(generate_series(s // {HOUR}, e // {HOUR})) AS b FROM waits)
 SELECT b * {HOUR} AS bucket, tid, poll_id,
   CAST(sum(least(e, (b + 1) * {HOUR}) - greatest(s, b * {HOUR})) AS BIGINT) AS total_time,
   count(*) FILTER (WHERE b = done // {HOUR}) AS total_requests
-FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL""")
+FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL"""
+
+
+@query("a4_muxio_wait", thread_wait_sql())
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = multiplex.muxio_wait(poll_events(spark, sf_dir), HOUR, cell_width=WEEK)
     return waits.select("bucket", "tid", F.col("poll_id").cast("bigint"), "total_time", "total_requests")
 
 
-_FILE_WAIT = f"""WITH {_MUX}, deltas AS (
+def file_wait_sql(stop: str | None = None) -> str:
+    return f"""WITH {mux_sql(stop)}, deltas AS (
   SELECT poll_id, t, event_id, kind, NULL AS inode_id,
     CASE WHEN kind = 'view' AND coalesce(pk, '') <> 'view' THEN 1
          WHEN kind = 'signup' AND pk = 'view' THEN -1 END AS delta
@@ -257,7 +269,7 @@ SELECT i * {HOUR} AS bucket, poll_id, inode_id,
 FROM sl WHERE least(b, (i + 1) * {HOUR}) > greatest(a, i * {HOUR}) OR i = done // {HOUR} GROUP BY ALL"""
 
 
-@query("a5_muxio_file_wait", _FILE_WAIT)
+@query("a5_muxio_file_wait", file_wait_sql())
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = multiplex.muxio_file_wait(poll_events(spark, sf_dir), HOUR, cell_width=WEEK)
     return waits.select("bucket", F.col("poll_id").cast("bigint"), "inode_id", "total_time", "count")

@@ -6,7 +6,9 @@ from importlib import import_module
 
 from slowtrace.plans.registry import ORACLES, QUERIES, Query
 
-_MODULES = ["accounting_queries", "series_queries", "latency_queries", "relation_queries", "source_queries"]
+_MODULES = [
+    "accounting_queries", "series_queries", "latency_queries", "relation_queries", "source_queries", "streaming_queries",
+]
 
 
 def _load() -> None:

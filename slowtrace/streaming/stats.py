@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from slowtrace.functions.scalars import histogram_columns
-from slowtrace.functions.timebase import epoch_us
 
 
 def streaming_io_stats(
@@ -23,7 +22,8 @@ def streaming_io_stats(
 
     A bucket appears once the watermark (latest event minus ``delay``) has passed it, and
     never again; rows that come later are dropped. State is one row per open (bucket,
-    key), so it is bounded by the delay, not by the stream.
+    key), so it is bounded by the delay, not by the stream. ``ts`` is a TIMESTAMP, as
+    watermarks need; ``bucket`` is in epoch microseconds.
     """
     sectors = [] if size is None else [F.sum(size).alias("sector_cnt")]
     stats = (
@@ -38,12 +38,7 @@ def streaming_io_stats(
     )
     start = F.col("window.start")
     rest = [c for c in stats.columns if c not in ("window", *keys)]
-    return stats.select(_micros(stats, start).alias("bucket"), *keys, *rest)
-
-
-def _micros(df: DataFrame, col):
-    kind = df.schema["window"].dataType["start"].dataType.typeName()
-    return epoch_us(col) if kind == "timestamp_ntz" else F.unix_micros(col)
+    return stats.select(F.unix_micros(start).alias("bucket"), *keys, *rest)
 
 
 def streaming_wake_stats(
@@ -61,5 +56,5 @@ def streaming_wake_stats(
         .agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(F.col(ret) > 0).alias("successful_count"))
     )
     return stats.select(
-        _micros(stats, F.col("window.start")).alias("bucket"), *keys, "total_requests", "successful_count"
+        F.unix_micros(F.col("window.start")).alias("bucket"), *keys, "total_requests", "successful_count"
     )
