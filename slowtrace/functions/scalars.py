@@ -55,13 +55,14 @@ def log10_bucket(ns: Column) -> Column:
     return F.coalesce(*cases, F.when(ns.isNotNull(), F.lit(len(LATENCY_BOUNDS_NS))))
 
 
-def histogram_columns(ns: Column, counted: Column | None = None) -> list[Column]:
-    """Aggregates ``hist0..hist7``: how many latencies fall in each class."""
-    bucket = log10_bucket(ns)
-    hits = [bucket == i if counted is None else (bucket == i) & counted for i in range(8)]
-    seen = F.lit(True) if counted is None else counted
+def histogram_columns(bucket: str) -> list[Column]:
+    """Aggregates ``hist0..hist7`` over a column of latency classes.
+
+    Rows without a class are not counted; a group of only such rows has NULL.
+    """
     return [
-        F.sum(F.when(seen, hit.cast("bigint"))).alias(f"hist{i}") for i, hit in enumerate(hits)
+        F.expr(f"sum(CASE WHEN {bucket} = {i} THEN 1L WHEN {bucket} IS NOT NULL THEN 0L END) AS hist{i}")
+        for i in range(8)
     ]
 
 

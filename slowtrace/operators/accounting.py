@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slowtrace.functions.scalars import histogram_columns
+from slowtrace.functions.scalars import histogram_columns, log10_bucket
 from slowtrace.functions.timebase import NS_PER_S, floor_to
 from slowtrace.operators.intervals import split_by_bucket
-from slowtrace.schemas import HIST
 
 
 def io_stats(
@@ -23,17 +22,31 @@ def io_stats(
     latency = (F.col("end") - F.col("start")) * F.lit(ns_per_unit).cast("bigint")
     sectors = [] if size is None else [F.sum(size).alias("sector_cnt")]
     return (
-        paired.withColumn("bucket", floor_to(F.col("end"), bucket))
+        paired.withColumns({"bucket": floor_to(F.col("end"), bucket), "__latency": latency})
+        .withColumn("__class", log10_bucket(F.col("__latency")))
         .groupBy("bucket", *keys)
         .agg(
-            F.sum(latency).alias("total_time"),
+            F.sum("__latency").alias("total_time"),
             *sectors,
             F.count(F.lit(1)).alias("total_requests"),
-            *histogram_columns(latency),
+            *histogram_columns("__class"),
         )
     )
 
 
+def _call_slices(calls: DataFrame, bucket: int, horizon: int | Column | None) -> DataFrame:
+    """Slices of calls per bucket; ``counted`` marks the one that holds the completion."""
+    done = F.col("end").isNotNull()
+    if horizon is None:
+        bounded, stop = calls.filter(done), "end"
+    else:
+        limit = horizon if isinstance(horizon, Column) else F.lit(horizon).cast("bigint")
+        bounded, stop = calls.withColumn("__stop", F.coalesce(F.col("end"), limit)), "__stop"
+    sliced = split_by_bucket(bounded, bucket, "start", stop, touch_end=True)
+    counted = done & (F.col("bucket") == floor_to(F.col("end"), bucket))
+    return sliced.withColumn("counted", counted).filter("slice > 0 OR counted")
+
+
 def call_stats(
     paired: DataFrame,
     keys: Sequence[str],
@@ -47,25 +60,22 @@ def call_stats(
     ``horizon``, calls without an end are accounted up to it, without being counted.
     One explode and one shuffle: the completion is the slice whose bucket holds the end.
     """
-    done = F.col("end").isNotNull()
-    if horizon is None:
-        calls = paired.filter(done)
-    else:
-        limit = horizon if isinstance(horizon, Column) else F.lit(horizon).cast("bigint")
-        calls = paired.withColumn("__stop", F.coalesce(F.col("end"), limit))
-    stop = "end" if horizon is None else "__stop"
-    sliced = split_by_bucket(calls, bucket, "start", stop, touch_end=True)
-    counted = done & (F.col("bucket") == floor_to(F.col("end"), bucket))
     scale = F.lit(ns_per_unit).cast("bigint")
-    latency = (F.col("end") - F.col("start")) * scale
-    return (
-        sliced.filter((F.col("slice") > 0) | counted)
-        .groupBy("bucket", *keys)
-        .agg(
-            (F.sum("slice") * scale).alias("total_time"),
-            F.sum(F.when(counted, F.lit(1).cast("bigint"))).alias("total_requests"),
-            *histogram_columns(latency, counted),
-        )
+    latency = log10_bucket((F.col("end") - F.col("start")) * scale)
+    classed = _call_slices(paired, bucket, horizon).withColumn("__class", F.when(F.col("counted"), latency))
+    return classed.groupBy("bucket", *keys).agg(
+        (F.sum("slice") * scale).alias("total_time"),
+        F.expr("sum(CASE WHEN counted THEN 1L END) AS total_requests"),
+        *histogram_columns("__class"),
+    )
+
+
+def call_times(
+    paired: DataFrame, keys: Sequence[str], bucket: int = NS_PER_S, horizon: int | Column | None = None
+) -> DataFrame:
+    """``call_stats`` without the histogram, and with 0 for buckets without a completion."""
+    return _call_slices(paired, bucket, horizon).groupBy("bucket", *keys).agg(
+        F.sum("slice").alias("total_time"), F.count_if("counted").alias("total_requests")
     )
 
 
@@ -118,7 +128,3 @@ def merge_pending(target: DataFrame, staging: DataFrame, keys: Sequence[str]) ->
 def new_keys(staging: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Staged rows whose key the target does not have."""
     return staging.join(target.select(*keys), list(keys), "left_anti")
-
-
-def empty_histogram() -> list[Column]:
-    return [F.lit(None).cast("bigint").alias(h) for h in HIST]

@@ -4,26 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from slowtrace.operators.series import union_parts
 from slowtrace.session import settle
 
 #: Discovery time of a seed: before every event.
 ALWAYS = -(1 << 62)
 
 
-def _improved(found: DataFrame, known: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows of ``found`` that are new, or earlier than what is known."""
-    before = known.select(key, F.col(at).alias("__known"))
-    return (
-        found.join(before, [key], "left")
-        .filter(F.col("__known").isNull() | (F.col(at) < F.col("__known")))
-        .drop("__known")
-    )
+_MERGE_EVERY = 8
 
 
-def _earliest(df: DataFrame, key: str, at: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in (key, at)]
-    order = F.struct(at, *rest)
-    return df.groupBy(key).agg(F.min(order).alias("__first")).select(key, "__first.*")
+class _Known:
+    """Everything found so far, as the settled increments of each round.
+
+    Increments are only merged into one frame now and then: a round would otherwise
+    write the whole state again for a few new rows.
+    """
+
+    def __init__(self, first: DataFrame, key: str, at: str):
+        self._parts = [settle(first)]
+        self._key, self._at = key, at
+
+    def add(self, part: DataFrame) -> None:
+        self._parts.append(part)
+        if len(self._parts) >= _MERGE_EVERY:
+            self._parts = [settle(self.best())]
+
+    def best(self) -> DataFrame:
+        """The earliest row of each key."""
+        stacked = union_parts(self._parts)
+        rest = [c for c in stacked.columns if c not in (self._key, self._at)]
+        first = F.min(F.struct(self._at, *rest)).alias("__first")
+        return stacked.groupBy(self._key).agg(first).select(self._key, "__first.*")
+
+    def improvements(self, found: DataFrame) -> DataFrame:
+        """Rows of ``found`` that are new, or earlier than what is known."""
+        before = union_parts([p.select(self._key, self._at) for p in self._parts])
+        before = before.groupBy(self._key).agg(F.min(self._at).alias("__known"))
+        return (
+            found.join(before, [self._key], "left")
+            .filter(F.col("__known").isNull() | (F.col(self._at) < F.col("__known")))
+            .drop("__known")
+        )
 
 
 def discover(
@@ -56,46 +78,40 @@ def discover(
     ).distinct()
     if registered is None:
         registered = spark.createDataFrame([], accesses.select("resource", F.col("ts").alias("registered_at")).schema)
-    tracked, registered = settle(tracked), settle(registered)
-    frontier = tracked
+    pids, resources = _Known(tracked, "pid", "discovered_at"), _Known(registered, "resource", "registered_at")
+    touches = accesses.select("pid", "resource", "ts")
+    frontier, hop = pids.best(), 0
     links = None
     if peers is not None:
         links = peers.select(F.col(peers.columns[0]).alias("resource"), F.col(peers.columns[1]).alias("__peer"))
         links = links.unionAll(links.select(F.col("__peer"), F.col("resource"))).distinct()
-    hop, fresh_resources = 0, registered
     while max_hops is None or hop < max_hops:
         hop += 1
-        touched = (
-            accesses.select("pid", "resource", "ts")
-            .join(frontier.select("pid", "discovered_at"), ["pid"])
+        reached = (
+            touches.join(frontier.select("pid", "discovered_at"), ["pid"])
             .filter(F.col("ts") >= F.col("discovered_at"))
             .groupBy("resource")
             .agg(F.min("ts").alias("registered_at"))
         )
         if links is not None:
-            peered = touched.join(links, ["resource"]).select(F.col("__peer").alias("resource"), "registered_at")
-            touched = touched.unionByName(peered).groupBy("resource").agg(F.min("registered_at").alias("registered_at"))
-        fresh = settle(_improved(touched, registered, "resource", "registered_at"))
-        if hop == 1:
-            # resources known from before act on new accesses too
-            fresh_resources = fresh.unionByName(registered)
-        else:
-            fresh_resources = fresh
-        registered = settle(
-            registered.unionByName(fresh).groupBy("resource").agg(F.min("registered_at").alias("registered_at"))
-        )
+            peered = reached.join(links, ["resource"]).select(F.col("__peer").alias("resource"), "registered_at")
+            reached = reached.unionByName(peered).groupBy("resource").agg(F.min("registered_at").alias("registered_at"))
+        fresh = settle(resources.improvements(reached))
+        # resources known from before act on the new accesses too
+        acting = fresh.unionByName(registered) if hop == 1 else fresh
+        resources.add(fresh)
+        if hop > 1 and fresh.isEmpty():
+            break
         found = (
-            accesses.select("pid", "resource", "ts")
-            .join(fresh_resources, ["resource"])
+            touches.join(acting, ["resource"])
             .filter(F.col("ts") > F.col("registered_at"))
-            .select("pid", F.col("ts").alias("discovered_at"), F.col("resource").alias("via"))
-        )
-        frontier = settle(
-            _improved(_earliest(found, "pid", "discovered_at"), tracked, "pid", "discovered_at").withColumn(
-                "hop", F.lit(hop)
-            )
+            .select("pid", "ts", "resource")
+            .groupBy("pid")
+            .agg(F.min(F.struct(F.col("ts").alias("discovered_at"), F.col("resource").alias("via"))).alias("first"))
+            .select("pid", "first.*", F.lit(hop).alias("hop"))
         )
+        frontier = settle(pids.improvements(found))
         if frontier.isEmpty():
             break
-        tracked = settle(_earliest(tracked.unionByName(frontier), "pid", "discovered_at"))
-    return tracked, registered
+        pids.add(frontier)
+    return settle(pids.best()), settle(resources.best())

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.timebase import NS_PER_S, floor_div, floor_to
-from slowtrace.operators.accounting import call_stats
+from slowtrace.operators.accounting import call_times
 from slowtrace.operators.carry import with_last_known, with_neighbours, with_running_sum
 from slowtrace.operators.intervals import open_events, split_by_bucket
 from slowtrace.operators.ranges import explode_range, time_cell
@@ -71,11 +71,7 @@ def muxio_wait(
         F.when(F.col("__kind") == "leave", F.col("__ts")).alias("end"),
         F.coalesce(floor_to(F.col("__ts"), bucket), _limit(events, horizon)).alias("until"),
     )
-    stats = call_stats(waits, keys, bucket, F.col("until"))
-    return stats.select(
-        "bucket", "pid", "tid", *_SET, "total_time",
-        F.coalesce("total_requests", F.lit(0).cast("bigint")).alias("total_requests"),
-    )
+    return call_times(waits, keys, bucket, F.col("until"))
 
 
 def _poll_file_wait(
@@ -117,9 +113,8 @@ def _poll_file_wait(
         F.greatest("__since", "__start").alias("start"),
         "end",
     )
-    return call_stats(waits, [*_SET, *file], bucket, _limit(events, horizon)).select(
-        "bucket", *_SET, *file, "total_time",
-        F.coalesce("total_requests", F.lit(0).cast("bigint")).alias("count"),
+    return call_times(waits, [*_SET, *file], bucket, _limit(events, horizon)).withColumnRenamed(
+        "total_requests", "count"
     )
 
 
@@ -197,18 +192,23 @@ def _epoll_file_wait(
     No file × session pairs are formed. A registration that covers a whole bucket takes
     the set's activity of that bucket; where it starts or ends inside a bucket, the
     activity up to that moment is read off a running sum over the bucket's sessions.
+
+    The timeline, and the sessions and registrations read off it, feed several branches
+    each, so they are written once instead of being computed again by every branch.
     """
     timeline = settle(epoll_timeline(events, cell_width))
-    sessions = active_sessions(timeline, cell_width)
+    sessions = settle(active_sessions(timeline, cell_width))
     done = F.col("end").isNotNull()
     stop = F.coalesce(F.col("end"), _limit(events, horizon))
     pieces = split_by_bucket(sessions.withColumn("__stop", stop), bucket, "start", "__stop", touch_end=True)
     pieces = pieces.withColumn("closes", (done & (F.col("bucket") == floor_to(F.col("end"), bucket))).cast("bigint"))
-    totals = pieces.groupBy("poll_id", "bucket").agg(
-        F.sum("slice").alias("active"), F.sum(F.coalesce("closes", F.lit(0))).alias("closes")
+    totals = settle(
+        pieces.groupBy("poll_id", "bucket").agg(
+            F.sum("slice").alias("active"), F.sum(F.coalesce("closes", F.lit(0))).alias("closes")
+        )
     )
     unit = F.lit(bucket).cast("bigint")
-    spans = file_registrations(timeline, file, idle_removals, cell_width)
+    spans = settle(file_registrations(timeline, file, idle_removals, cell_width))
     last = totals.agg(F.max("bucket")).scalar()
     spread = explode_range(
         spans,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slowtrace.functions.scalars import log10_bucket
+from slowtrace.functions.scalars import histogram_columns, log10_bucket
 from slowtrace.functions.timebase import floor_to
 from slowtrace.operators import accounting, intervals as iv, multiplex
 from slowtrace.operators.carry import with_running_sum
@@ -119,13 +119,11 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(calls: DataFrame, bucket: int) -> DataFrame:
     """What a probe knows when a call returns: the time in the current bucket, and the count."""
     current = F.greatest(F.col("start"), floor_to(F.col("end"), bucket))
-    latency = F.col("end") - F.col("start")
-    from slowtrace.functions.scalars import histogram_columns
-
     return (
-        calls.groupBy(floor_to(F.col("end"), bucket).alias("bucket"), "event_type", "inode")
+        calls.withColumn("class", log10_bucket(F.col("end") - F.col("start")))
+        .groupBy(floor_to(F.col("end"), bucket).alias("bucket"), "event_type", "inode")
         .agg(F.sum(F.col("end") - current).alias("total_time"), F.count(F.lit(1)).alias("total_requests"),
-             *histogram_columns(latency))
+             *histogram_columns("class"))
     )
 
 

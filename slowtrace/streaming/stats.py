@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from slowtrace.functions.scalars import histogram_columns
+from slowtrace.functions.scalars import histogram_columns, log10_bucket
 
 
 def streaming_io_stats(
@@ -27,13 +27,14 @@ def streaming_io_stats(
     """
     sectors = [] if size is None else [F.sum(size).alias("sector_cnt")]
     stats = (
-        completed.withWatermark(ts, delay)
+        completed.withColumn("__class", log10_bucket(F.col(latency_ns)))
+        .withWatermark(ts, delay)
         .groupBy(F.window(ts, bucket).alias("window"), *keys)
         .agg(
             F.sum(latency_ns).alias("total_time"),
             *sectors,
             F.count(F.lit(1)).alias("total_requests"),
-            *histogram_columns(F.col(latency_ns)),
+            *histogram_columns("__class"),
         )
     )
     start = F.col("window.start")
