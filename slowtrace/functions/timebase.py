@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, SparkSession, functions as F
 
 NS_PER_S = 1_000_000_000
+_ORIGIN = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _UTC_NAMES = {"UTC", "Etc/UTC", "Z", "GMT", "+00:00", "Etc/GMT"}
 
 
@@ -29,8 +28,7 @@ def epoch_us(col: Column) -> Column:
     session = SparkSession.getActiveSession()
     if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC_NAMES:
         return F.unix_micros(col.cast("timestamp"))
-    origin = F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", origin, col)
+    return F.timestamp_diff("MICROSECOND", F.expr(_ORIGIN), col)
 
 
 def boot_to_epoch(boot_ns: Column, offset_ns: int | Column) -> Column:
@@ -50,5 +48,4 @@ def boot_second_to_epoch(boot_ns: Column, offset_ns: int | Column) -> Column:
 
 def ns_to_timestamp(epoch_ns: Column) -> Column:
     """Epoch ns → TIMESTAMP_NTZ at microsecond precision."""
-    origin = F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz")
-    return F.timestamp_add("MICROSECOND", floor_div(epoch_ns, 1000), origin)
+    return F.timestamp_add("MICROSECOND", floor_div(epoch_ns, 1000), F.expr(_ORIGIN))
