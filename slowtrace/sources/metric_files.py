@@ -38,6 +38,13 @@ LAYOUT_V1 = [
 ]
 LAYOUTS = {"v2": LAYOUT_V2, "v1": LAYOUT_V1}
 
+# File names hold endpoints (``10.0.0.1:80``); the checksummed local file system cannot
+# open a name with a colon, the raw one can. Object stores are not affected.
+_COLONS = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 _DIMENSIONS = {
     "scope": "string", "pid": "bigint", "tid": "bigint", "comm": "string", "metric_class": "string",
     "ipc_type": "string", "resource": "string", "part_seq": "bigint",
@@ -54,7 +61,7 @@ def scan_metric_files(spark: SparkSession, root: str, glob: str = "*.csv") -> Da
     lines = (
         spark.read.schema("value string")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .options(pathGlobFilter=glob, **_COLONS)
         .text(root)
         .select(F.col("_metadata.file_path").alias("file_path"), F.trim("value").alias("line"))
         .filter(F.col("line") != "")
@@ -93,6 +100,7 @@ def scan_metric_table(spark: SparkSession, root: str, schema: T.StructType) -> D
         spark.read.schema(schema)
         .option("header", "true")
         .option("recursiveFileLookup", "true")
+        .options(**_COLONS)
         .csv(root)
         .withColumn("file_path", F.col("_metadata.file_path"))
     )
