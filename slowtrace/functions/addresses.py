@@ -22,27 +22,39 @@ def ipv4_text(raw: Column) -> Column:
     return F.concat_ws(".", *[o.cast("string") for o in octets])
 
 
-def ipv6_text(hexed: Column) -> Column:
-    """Canonical text of 32 hex digits in network order.
+def ipv6_groups(hexed: Column) -> Column:
+    """32 hex digits in network order → ``:a:b:…:h:``, groups without leading zeros."""
+    spaced = F.regexp_replace(F.lower(hexed), "(.{4})", "$1:")
+    return F.concat(F.lit(":"), F.regexp_replace(spaced, "(?<![0-9a-f])0{1,3}(?=[0-9a-f])", ""))
 
-    Leading zeros go, the longest (leftmost) run of two or more zero groups becomes
-    ``::`` and an IPv4-mapped address shows its dotted tail.
+
+def ipv6_compressed(groups: str) -> Column:
+    """Canonical text from a column of groups.
+
+    The longest (leftmost) run of two or more zero groups becomes ``::`` and an
+    IPv4-mapped address shows its dotted tail. The column is named, not given as an
+    expression, because it is looked at once per run length.
     """
-    digits = F.lower(hexed)
-    groups = [F.substring(digits, 4 * i + 1, 4) for i in range(8)]
-    short = F.concat_ws(":", *[F.regexp_replace(g, "^0{1,3}", "") for g in groups])
-    text = short
-    compressed = None
+    text = F.col(groups)
+    cases = []
     for run in range(8, 1, -1):
-        # the reluctant prefix makes the leftmost run of this length win
-        pattern = rf"^(?:(.*?):)??0(?::0){{{run - 1}}}(?::(.*))?$"
-        found = F.when(short.rlike(pattern), F.regexp_replace(short, pattern, "$1::$2"))
-        compressed = found if compressed is None else F.coalesce(compressed, found)
-    tail = [F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)]
+        zeros = ":" + "0:" * run
+        at = F.instr(text, zeros)
+        rest = at + F.lit(len(zeros))
+        tail = F.substring(text, rest, F.length(text) - rest)
+        cases.append(F.when(at > 0, F.concat(F.substring(text, F.lit(2), at - F.lit(2)), F.lit("::"), tail)))
+    plain = F.substring(text, F.lit(2), F.length(text) - F.lit(2))
+    mapped_prefix = ":0:0:0:0:0:ffff:"
+
+    def octets(place: int) -> list[Column]:
+        word = F.conv(F.split_part(text, F.lit(":"), F.lit(place)), 16, 10).cast("int")
+        return [F.shiftright(word, 8).cast("string"), word.bitwiseAND(F.lit(0xFF)).cast("string")]
+
     mapped = F.when(
-        digits.rlike("^0{20}ffff"), F.concat(F.lit("::ffff:"), F.concat_ws(".", *tail))
+        text.startswith(mapped_prefix),
+        F.concat(F.lit("::ffff:"), F.concat_ws(".", *octets(8), *octets(9))),
     )
-    return F.coalesce(mapped, compressed, text)
+    return F.coalesce(mapped, *cases, plain)
 
 
 def _has_ports() -> Column:
@@ -65,15 +77,16 @@ def render_inet(sockets: DataFrame) -> DataFrame:
     destination gets 0.0.0.0, and types without ports get port 0.
     """
     v4 = F.col("family") == AF_INET
-    src = F.when(v4, ipv4_text(F.col("src_addr4"))).otherwise(ipv6_text(F.col("src_addr6")))
+    src = F.when(v4, ipv4_text(F.col("src_addr4"))).otherwise(ipv6_compressed("__src6"))
     dst4, dst6 = F.col("dst_addr4"), F.col("dst_addr6")
     dst = F.when(v4, F.when(dst4.isNotNull(), ipv4_text(dst4))).otherwise(
-        F.when(dst6.isNotNull(), ipv6_text(dst6))
+        F.when(dst6.isNotNull(), ipv6_compressed("__dst6"))
     )
     zero = F.lit(0)
     return (
         sockets.filter(F.col("family").isin(AF_INET, AF_INET6))
         .filter(F.when(v4, F.col("src_addr4").isNotNull()).otherwise(F.col("src_addr6").isNotNull()))
+        .withColumns({"__src6": ipv6_groups(F.col("src_addr6")), "__dst6": ipv6_groups(F.col("dst_addr6"))})
         .select(
             "inode_id",
             "netns_cookie",

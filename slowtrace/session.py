@@ -55,10 +55,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once, as a table in the shared folder, and go on from there.
 
-    Used where a plan would otherwise be recomputed by several branches, and once
-    per round of an iterative job. The copy survives the loss of executors.
+    Used where a plan would otherwise be recomputed by several branches, and once per
+    round of an iterative job. The copy survives the loss of executors, is read by
+    column, and its size is known to the planner: a small one is broadcast and spares
+    the other side of a join its shuffle.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

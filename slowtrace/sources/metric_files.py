@@ -51,13 +51,8 @@ _DIMENSIONS = {
 }
 
 
-def scan_metric_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """All CSV files below ``root`` as ``file_path, epoch_s, epoch_ms, metric, value``.
-
-    The columns of a file follow from its own header, because every metric class has its
-    own. Lines are read as splittable text and meet their file's header by path; headers
-    are one row per file. ``epoch_s`` is derived where a file has only milliseconds.
-    """
+def _lines(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame, DataFrame]:
+    """Value lines, and one header row per file, of all files below ``root``."""
     lines = (
         spark.read.schema("value string")
         .option("recursiveFileLookup", "true")
@@ -73,27 +68,44 @@ def scan_metric_files(spark: SparkSession, root: str, glob: str = "*.csv") -> Da
         .agg(F.min("line").alias("header"))
         .select("file_path", F.split(F.regexp_replace("header", "\"", ""), r"\s*,\s*").alias("names"))
     )
-    cells = lines.filter(~is_header).select("file_path", F.split("line", r"\s*,\s*", -1).alias("cells"))
-    row = cells.join(headers, ["file_path"]).select(
-        "file_path", F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))).alias("row")
+    return lines.filter(~is_header), headers
+
+
+def _samples(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines cut by their file's header; further columns of ``files`` are kept."""
+    kept = [c for c in files.columns if c != "names"]
+    cells = lines.select("file_path", F.split("line", r"\s*,\s*", -1).alias("cells"))
+    row = cells.join(files, ["file_path"]).select(
+        *kept, F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))).alias("row")
     )
 
     def number(name: str) -> Column:
         return F.expr(f"try_cast(row['{name}'] as double)").cast("bigint")
 
-    timed = row.select("file_path", number("epoch_s").alias("s"), number("epoch_ms").alias("epoch_ms"), "row")
+    timed = row.select(*kept, number("epoch_s").alias("s"), number("epoch_ms").alias("epoch_ms"), "row")
     return (
         timed.select(
-            "file_path",
+            *kept,
             F.coalesce("s", floor_div(F.col("epoch_ms"), 1000)).alias("epoch_s"),
             "epoch_ms",
             F.explode("row").alias("metric", "text"),
         )
         .filter(~F.col("metric").isin("epoch_s", "epoch_ms"))
-        .select("file_path", "epoch_s", "epoch_ms", "metric", F.expr("try_cast(text as double)").alias("value"))
+        .withColumn("value", F.expr("try_cast(text as double)"))
+        .drop("text")
     )
 
 
+def scan_metric_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """All CSV files below ``root`` as ``file_path, epoch_s, epoch_ms, metric, value``.
+
+    The columns of a file follow from its own header, because every metric class has its
+    own. Lines are read as splittable text and meet their file's header by path; headers
+    are one row per file. ``epoch_s`` is derived where a file has only milliseconds.
+    """
+    return _samples(*_lines(spark, root, glob))
+
+
 def scan_metric_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """Files of one class with a known column order, read by explicit schema."""
     return (
@@ -114,26 +126,37 @@ def parse_metric_path(
     ``on_error``: ``raise`` fails the job on a path that fits no layout, ``skip`` drops
     its rows, ``keep`` leaves them with empty dimensions and ``malformed`` set.
     """
-    col = F.col(path)
+    col, layouts = F.col(path), LAYOUTS[layout]
+    # one pattern test per class until the first hit, then one replacement that yields all groups
+    which = F.coalesce(*[F.when(col.rlike(p), F.lit(i)) for i, (_, _, p, _) in enumerate(layouts)])
+    taken = F.coalesce(*[
+        F.when(
+            F.col("__which") == i,
+            F.split(F.regexp_replace(col, "^.*?" + p, "|".join(f"${g + 1}" for g in range(len(groups)))), r"\|"),
+        )
+        for i, (_, _, p, groups) in enumerate(layouts)
+    ])
+    split = df.withColumn("__which", which).withColumn("__groups", taken)
+
+    def group(place: int) -> Column:
+        return F.try_element_at("__groups", F.lit(place + 1))
+
     dims: dict[str, Column] = {}
     for name, kind in _DIMENSIONS.items():
         cases = []
-        for metric_class, scope, pattern, groups in LAYOUTS[layout]:
-            if name == "metric_class":
-                value = F.lit(metric_class)
-            elif name == "scope":
-                value = F.lit(scope)
+        for i, (metric_class, scope, _, groups) in enumerate(layouts):
+            if name in ("metric_class", "scope"):
+                value = F.lit(metric_class if name == "metric_class" else scope)
             elif name == "resource" and "poll" in groups:
                 # an epoll series is named by its set and the file behind it
-                value = F.concat_ws("/", F.regexp_extract(col, pattern, groups.index("poll") + 1),
-                                    F.regexp_extract(col, pattern, groups.index("resource") + 1))
+                value = F.concat_ws("/", group(groups.index("poll")), group(groups.index("resource")))
             elif name in groups:
-                value = F.regexp_extract(col, pattern, groups.index(name) + 1)
+                value = group(groups.index(name))
             else:
-                value = F.lit(None)
-            cases.append(F.when(col.rlike(pattern), value.cast("string")))
-        dims[name] = F.coalesce(*cases).cast(kind)
-    parsed = df.withColumns(dims)
+                continue
+            cases.append(F.when(F.col("__which") == i, value))
+        dims[name] = (F.coalesce(*cases) if cases else F.lit(None)).cast(kind)
+    parsed = split.withColumns(dims).drop("__which", "__groups")
     malformed = F.col("metric_class").isNull()
     if on_error == "raise":
         message = F.concat(F.lit("unexpected metric file path: "), col)
@@ -147,6 +170,10 @@ def parse_metric_path(
 def metric_points(
     spark: SparkSession, root: str, layout: str = "v2", on_error: str = "raise", run_id: str | None = None
 ) -> DataFrame:
-    """A metric tree as ``metric_points`` rows with their ``series_id``."""
-    parsed = parse_metric_path(scan_metric_files(spark, root), layout, on_error)
+    """A metric tree as ``metric_points`` rows with their ``series_id``.
+
+    Paths are parsed once per file, on the header side, not once per sample.
+    """
+    lines, headers = _lines(spark, root, "*.csv")
+    parsed = _samples(lines, parse_metric_path(headers, layout, on_error))
     return parsed.withColumn("run_id", F.lit(run_id).cast("string")).withColumn("series_id", series_id())
