@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slowtrace.functions.timebase import NS_PER_S, floor_div, floor_to
 from slowtrace.operators.accounting import call_times
 from slowtrace.operators.carry import with_last_known, with_neighbours, with_running_sum
-from slowtrace.operators.intervals import open_events, split_by_bucket
+from slowtrace.operators.intervals import open_events, pair_events, split_by_bucket
 from slowtrace.operators.ranges import explode_range, time_cell
 from slowtrace.session import settle
 
@@ -296,3 +296,47 @@ def muxio_file_wait(
     polls = _poll_file_wait(events, bucket, horizon, cell_width, file)
     epolls = _epoll_file_wait(events, bucket, horizon, cell_width, file, idle_removals)
     return polls.unionByName(epolls)
+
+
+def open_state(
+    events: DataFrame,
+    at: int,
+    cell_width: int | None = 3600 * NS_PER_S,
+    file: Sequence[str] = FILE,
+    idle_removals: bool = False,
+) -> DataFrame:
+    """What is still open at the end of ``events``, as events at time ``at``.
+
+    Replaying these rows before later events continues all waits: threads inside a set,
+    files registered with it, and files registered for a poll call that has not ended.
+    Their sequence numbers sort before those of real events.
+    """
+    columns = ["kind", *_ORDER, "poll_id", "pid", "tid", *file]
+
+    def as_events(df: DataFrame, kind: str, seq: int) -> DataFrame:
+        made = df.withColumns({"kind": F.lit(kind), "ts": F.lit(at).cast("bigint"), "seq": F.lit(seq).cast("bigint")})
+        kinds = {f.name: f.dataType for f in events.schema}
+        return made.select(*[
+            (F.col(c) if c in made.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns
+        ])
+
+    inside = open_events(events, ["poll_id", "pid", "tid"], "epoll_start", "epoll_end", order=_ORDER)
+    polling = open_events(events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER)
+    timeline = epoll_timeline(events, cell_width)
+    files = file_registrations(timeline, file, idle_removals, cell_width).filter(F.col("until").isNull())
+    ended = pair_events(
+        events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER, cell_width=cell_width
+    ).groupBy("pid", "tid").agg(F.max("end").alias("__ended"))
+    waiting = (
+        events.filter(F.col("kind") == "poll_register")
+        .join(ended, ["pid", "tid"], "left")
+        .filter(F.col("__ended").isNull() | (F.col("ts") > F.col("__ended")))
+        .select("pid", "tid", *file)
+        .distinct()
+    )
+    return (
+        as_events(files, "epoll_insert", -3)
+        .unionByName(as_events(waiting, "poll_register", -2))
+        .unionByName(as_events(inside, "epoll_start", -1))
+        .unionByName(as_events(polling, "poll_start", -1))
+    )

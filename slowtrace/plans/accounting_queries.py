@@ -191,7 +191,10 @@ _KINDS = {"view": "epoll_start", "signup": "epoll_end", "click": "epoll_insert",
 
 def poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views enter and signups leave an epoll set; clicks insert and errors remove its files."""
-    ev = events(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS))
+    return as_poll_events(events(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS)))
+
+
+def as_poll_events(ev: DataFrame) -> DataFrame:
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _KINDS.items()])
     return ev.select(
         kind.alias("kind"), F.col("t").alias("ts"), F.col("event_id").alias("seq"),

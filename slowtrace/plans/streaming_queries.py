@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slowtrace.functions.timebase import epoch_us
 from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
-    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, completions, file_wait_sql, thread_wait_sql,
+    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
 )
-from slowtrace.plans.bindings import EV, HOUR
+from slowtrace.plans.bindings import EV, HOUR, WEEK
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
 from slowtrace.session import scratch_path
 from slowtrace.sources.events import read_events_stream
-from slowtrace.streaming import discovery, merge, stats, waits
+from slowtrace.streaming import discovery, merge, replay, stats, waits
 from slowtrace.streaming.run import drain_batches, drained
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -88,6 +88,22 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.file_waits(_machine(spark, sf_dir)).select("bucket", "name", "poll_id", "total_time", "total_requests")
 
 
+def _replayed(spark: SparkSession, sf_dir: str) -> str:
+    ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS))
+    path = scratch_path(spark, "replay")
+    each = replay.replay_batches(path, HOUR, 2 * HOUR, WEEK)
+    drain_batches(as_poll_events(ev), each, f"{path}/checkpoint")
+    return path
+
+
+@query("t4_replayed_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
+def t4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replayed_waits(spark, _replayed(spark, sf_dir), "thread_waits").select(
+        F.col("poll_id").cast("bigint").cast("string").alias("poll_id"), F.col("tid").cast("string").alias("name"),
+        "bucket", "total_time", "total_requests",
+    )
+
+
 @query("t6_streaming_merge", _CALL_STATS)
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late slices arrive as a stream and are merged into the completions."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from slowtrace.operators import accounting, multiplex
 from slowtrace.sources.events import read_events_stream
-from slowtrace.streaming import discovery, merge, stats, waits
+from slowtrace.streaming import discovery, merge, replay, stats, waits
 from slowtrace.streaming.run import drain_batches, drain_to_parquet
 
 T0 = datetime.datetime(2025, 1, 1, tzinfo=datetime.timezone.utc)
@@ -107,3 +107,25 @@ def test_discovery_grows_over_batches_and_exits_leave(spark, tmp_path):
     put(spark, src, [(2, "q", 30), (3, "q", 31)], schema)
     last = run(exits)
     assert rows(discovery.tracked_at(spark, state, last), "pid", "via") == [(1, None), (3, "q")]
+
+
+def test_replay_in_batches_equals_one_batch(spark, tmp_path):
+    src, path, ck = (str(tmp_path / n) for n in ("src", "state", "ck"))
+    schema = "kind string, ts long, seq long, poll_id long, pid long, tid long, fs_magic int, device_id int, inode_id long"
+    log = [
+        (0.2, "epoll_insert", 7, None, 5), (0.5, "epoll_start", 7, 1, None), (0.7, "epoll_start", 7, 2, None),
+        (1.4, "epoll_end", 7, 1, None), (2.0, "poll_start", None, 3, None), (2.1, "poll_register", None, 3, 8),
+        (3.3, "epoll_end", 7, 2, None), (4.0, "epoll_start", 7, 1, None), (6.4, "poll_end", None, 3, None),
+        (7.4, "epoll_remove", 7, None, 5), (9.1, "epoll_end", 7, 1, None), (12.0, "epoll_start", 7, 9, None),
+        (20.5, "epoll_insert", 7, None, 6), (30.0, "epoll_start", 7, 4, None),
+    ]
+    data = [(k, int(s * US), i, p, 1, tid, 0, 0, f) for i, (s, k, p, tid, f) in enumerate(log)]
+    each = replay.replay_batches(path, US, 2 * US, US)
+    for part in (data[:3], data[3:6], data[6:8], data[8:]):
+        put(spark, src, part, schema)
+        drain_batches(read_events_stream(spark, src, schema), each, ck)
+    events = spark.createDataFrame(data[:-1], schema)
+    want = multiplex.muxio_wait(events, US, 28 * US, US)
+    assert rows(replay.replayed_waits(spark, path, "thread_waits"), *want.columns) == list(rows(want))
+    want = multiplex.muxio_file_wait(events, US, 28 * US, US)
+    assert rows(replay.replayed_waits(spark, path, "file_waits"), *want.columns) == list(rows(want))
