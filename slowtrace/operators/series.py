@@ -18,9 +18,11 @@ from slowtrace.operators.ranges import explode_range, time_cell
 SERIES = ("series_id",)
 CELL_ROWS = 4096
 
-#: Counters that are interpolated, and counters that hold their last value.
+# Counters that are interpolated, and counters that hold their last value.
 INTERPOLATED = ["runtime", "rq_time", "sleep_time", "block_time", "iowait_time"]
 HELD = ["socket_wait", "stream_wait", "futex_wait_ns"]
+#: Counts per second: no row means 0.
+COUNTED = ["futex_count", "sector_cnt"]
 
 
 def dedupe_first(
@@ -142,6 +144,27 @@ def interpolate(points: DataFrame, keys: Sequence[str] = SERIES, **calendar) ->
     )
 
 
+def _held_rate(scale: float, zero_first: Column, step: int) -> Column:
+    one_before = F.col("epoch_s") - F.lit(step)
+    adjacent = F.col("prev_epoch_s") == one_before
+    elapsed = F.col("epoch_ms") - F.when(adjacent, F.col("prev_epoch_ms")).otherwise(one_before * F.lit(1000))
+    before = F.when(F.col("prev_epoch_s").isNotNull(), F.col("prev_value")).when(
+        zero_first & F.col("led"), F.lit(0.0)
+    )
+    rate = F.try_divide(F.col("value") / F.lit(scale) - before / F.lit(scale), elapsed.cast("double"))
+    return F.coalesce(F.when(_is_sample(), rate), F.lit(0.0))
+
+
+def _linear_rate() -> Column:
+    arrive = F.try_divide(
+        F.col("value") - F.col("prev_value"), (F.col("epoch_ms") - F.col("prev_epoch_ms")).cast("double")
+    )
+    leave = F.try_divide(
+        F.col("next_value") - F.col("value"), (F.col("next_epoch_ms") - F.col("epoch_ms")).cast("double")
+    )
+    return F.coalesce(F.when(_is_sample(), arrive).when(~_leads(), leave), F.lit(0.0))
+
+
 def wait_rate(
     points: DataFrame,
     keys: Sequence[str] = SERIES,
@@ -153,22 +176,12 @@ def wait_rate(
     """Rate of a cumulative wait counter (ns) that holds its value between samples.
 
     The dense row before a sample is either the previous sample or a filler that holds
-    its value at a whole second, hence the two denominators. Fillers do not change, so
+    its value at a whole second, hence two denominators. Fillers do not change, so
     their rate is 0. ``leading_zero`` says that the counter was 0 before its first sample.
     """
     zero_first = leading_zero if isinstance(leading_zero, Column) else F.lit(leading_zero)
-    grown = expand(points, keys, step=step, **calendar)
-    one_before = F.col("epoch_s") - F.lit(step)
-    adjacent = F.col("prev_epoch_s") == one_before
-    elapsed = F.col("epoch_ms") - F.when(adjacent, F.col("prev_epoch_ms")).otherwise(one_before * F.lit(1000))
-    before = F.when(F.col("prev_epoch_s").isNotNull(), F.col("prev_value")).when(
-        zero_first & F.col("led"), F.lit(0.0)
-    )
-    rate = F.try_divide(F.col("value") / F.lit(scale) - before / F.lit(scale), elapsed.cast("double"))
-    return grown.select(
-        *keys,
-        F.col("at").alias("epoch_s"),
-        F.coalesce(F.when(_is_sample(), rate), F.lit(0.0)).alias("value"),
+    return expand(points, keys, step=step, **calendar).select(
+        *keys, F.col("at").alias("epoch_s"), _held_rate(scale, zero_first, step).alias("value")
     )
 
 
@@ -179,15 +192,43 @@ def sched_rate(points: DataFrame, keys: Sequence[str] = SERIES, **calendar) -> D
     the rate of the whole gap. Rows before the first sample, the first sample and rows
     after the last one have rate 0.
     """
-    arrive = F.try_divide(
-        F.col("value") - F.col("prev_value"), (F.col("epoch_ms") - F.col("prev_epoch_ms")).cast("double")
+    return expand(points, keys, **calendar).select(
+        *keys, F.col("at").alias("epoch_s"), _linear_rate().alias("value")
     )
-    leave = F.try_divide(
-        F.col("next_value") - F.col("value"), (F.col("next_epoch_ms") - F.col("epoch_ms")).cast("double")
+
+
+def derive_rates(
+    points: DataFrame,
+    keys: Sequence[str] = ("scope", "pid", "tid", "comm", "metric_class", "ipc_type", "resource", "metric"),
+    step: int = 1,
+    **calendar,
+) -> DataFrame:
+    """All derived series of a metric tree in one pass over its points.
+
+    Time counters become linear rates, wait counters held rates (from 0 for global and
+    lock waits), and counts are filled with 0; other metrics are dropped. The calendar is
+    that of all points, and the points are shuffled once for all families together.
+    """
+    metric = F.col("metric")
+    linear, held, counts = metric.isin(*INTERPOLATED), metric.isin(*HELD), metric.isin(*COUNTED)
+    zero_first = (F.col("scope") == "global") | (metric == "futex_wait_ns")
+    # series without a pid or a command still need a key that joins
+    filled = points.withColumns({
+        c: F.coalesce(F.col(c), F.lit(-1) if c in ("pid", "tid") else F.lit("")) for c in keys
+    })
+    grown = expand(filled, keys, step=step, **calendar).filter(linear | held | counts)
+    value = (
+        F.when(linear, _linear_rate())
+        .when(held, _held_rate(1e6, zero_first, step))
+        .otherwise(F.when(_is_sample(), F.col("value")).otherwise(F.lit(0.0)))
     )
-    rate = F.when(_is_sample(), arrive).when(~_leads(), leave)
-    return expand(points, keys, **calendar).select(
-        *keys, F.col("at").alias("epoch_s"), F.coalesce(rate, F.lit(0.0)).alias("value")
+    name = F.when(counts, metric).otherwise(F.concat(F.regexp_replace(metric, "_ns$", ""), F.lit("_rate")))
+    return grown.select(
+        *[
+            F.when(F.col(c) != (F.lit(-1) if c in ("pid", "tid") else F.lit("")), F.col(c)).alias(c)
+            for c in keys if c != "metric"
+        ],
+        name.alias("metric"), F.col("at").alias("epoch_s"), value.alias("value"),
     )
 
 
