@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slowtrace.functions.timebase import epoch_us
 from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
-    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
+    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, mux_sql, thread_wait_sql,
 )
-from slowtrace.plans.bindings import EV, HOUR, WEEK
+from slowtrace.plans.bindings import DAY, EV, HOUR, WEEK
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
@@ -74,8 +74,9 @@ _STOP = (
 _TEXT = "CAST(poll_id AS VARCHAR) AS poll_id, CAST({name} AS VARCHAR) AS name, bucket, total_time, {count} AS total_requests"
 
 
-def _machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(waits.streaming_waits(wait_events(spark, sf_dir), HOUR, "2 hours"), "waits")
+def _machine(spark: SparkSession, sf_dir: str, forget_after_us: int | None = None) -> DataFrame:
+    machine = waits.streaming_waits(wait_events(spark, sf_dir), HOUR, "2 hours", forget_after_us=forget_after_us)
+    return drained(machine, "waits")
 
 
 @query("t4_streaming_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
@@ -88,6 +89,24 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.file_waits(_machine(spark, sf_dir)).select("bucket", "name", "poll_id", "total_time", "total_requests")
 
 
+# A wait is cut, uncounted, at the first bucket end more than two days after its start.
+_FORGOTTEN = f"((t + {2 * DAY}) // {HOUR} + 1) * {HOUR}"
+
+
+@query("t7_bounded_thread_waits", f"""WITH {mux_sql(_STOP)}, starts AS (
+  SELECT poll_id, tid, t AS s, {_FORGOTTEN} AS cut, nt, nk FROM moves WHERE kind = 'view'
+), waits AS (
+  SELECT poll_id, tid, s, CASE WHEN nk = 'signup' AND nt < cut THEN nt WHEN nk = 'view' AND nt < cut THEN nt // {HOUR} * {HOUR}
+    ELSE least(cut, maxt) END AS e, CASE WHEN nk = 'signup' AND nt < cut THEN nt END AS done FROM starts, last
+), sl AS (SELECT *, unnest(generate_series(s // {HOUR}, e // {HOUR})) AS b FROM waits WHERE e >= s)
+SELECT b * {HOUR} AS bucket, CAST(tid AS VARCHAR) AS name, CAST(poll_id AS VARCHAR) AS poll_id,
+  CAST(sum(least(e, (b + 1) * {HOUR}) - greatest(s, b * {HOUR})) AS BIGINT) AS total_time, count(*) FILTER (WHERE b = done // {HOUR}) AS total_requests
+FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL""")
+def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = _machine(spark, sf_dir, forget_after_us=2 * DAY)
+    return waits.thread_waits(machine).select("bucket", "name", "poll_id", "total_time", "total_requests")
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> str:
     ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS))
     path = scratch_path(spark, "replay")

@@ -36,15 +36,15 @@ _CURSOR = StructType([StructField("bucket", LongType()), StructField("session",
 class WaitMachine(StatefulProcessor):
     """One poll set. Times are microseconds; timers are milliseconds of event time."""
 
-    def __init__(self, bucket: int, ttl_ms: int | None = None):
+    def __init__(self, bucket: int, forget_after: int | None = None):
         self._bucket = bucket
-        self._ttl = ttl_ms
+        self._forget_after = forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._buffer = handle.getListState("buffer", _EVENT)
-        self._threads = handle.getMapState("threads", _NAME, _SINCE, self._ttl)
-        self._files = handle.getMapState("files", _NAME, _SINCE, self._ttl)
+        self._threads = handle.getMapState("threads", _NAME, _SINCE)
+        self._files = handle.getMapState("files", _NAME, _SINCE)
         self._cursor = handle.getValueState("cursor", _CURSOR)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -68,7 +68,7 @@ class WaitMachine(StatefulProcessor):
 
     def _advance(self, closed: int) -> dict:
         """Replay every event before ``closed`` and account all buckets up to it."""
-        waiting = sorted(self._buffer.get()) if self._buffer.exists() else []
+        waiting = sorted(self._buffer.get(), key=lambda e: e[:2]) if self._buffer.exists() else []
         due = [e for e in waiting if e[0] < closed]
         rest = [e for e in waiting if e[0] >= closed]
         cursor, session = self._cursor.get() if self._cursor.exists() else (None, None)
@@ -94,12 +94,19 @@ class WaitMachine(StatefulProcessor):
             if threads:
                 for file, since in files.items():
                     _add(stats, cursor, "file", file, end - max(since, session, cursor), 0)
+            if self._forget_after is not None:
+                threads = self._recent(threads, end)
+                files = self._recent(files, end)
+                session = session if threads else None
             cursor = end
         self._save(threads, files, closed, session, rest)
         if threads:
             self._handle.registerTimer((closed + self._bucket) // 1000)
         return stats
 
+    def _recent(self, known: dict, now: int) -> dict:
+        return {name: since for name, since in known.items() if now - since <= self._forget_after}
+
     def _apply(self, event, threads: dict, files: dict, session, bucket: int, stats: dict):
         ts, _, kind, thread, file = event
         if kind == "epoll_start":
@@ -142,19 +149,25 @@ def _add(stats: dict, bucket: int, what: str, name: str, time: int, count: int)
 
 
 def streaming_waits(
-    events: DataFrame, bucket_us: int, delay: str = "2 seconds", event_time: str = "event_time", ttl_ms: int | None = None
+    events: DataFrame,
+    bucket_us: int,
+    delay: str = "2 seconds",
+    event_time: str = "event_time",
+    forget_after_us: int | None = None,
 ) -> DataFrame:
     """Thread and file waits per closed bucket of every epoll set.
 
     ``events(poll_id string, event_time timestamp, ts long µs, seq, kind, thread string,
-    file string)``. With ``ttl_ms``, threads and files not touched for that long are
-    forgotten, which bounds the state of sets whose closing events were lost.
+    file string)``. With ``forget_after_us``, a thread that entered or a file that was
+    inserted longer ago than that at the end of a bucket is forgotten. This bounds the
+    state by event time where closing events get lost; it is off by default, because a
+    real wait of that length would end there too.
     """
     return (
         events.withWatermark(event_time, delay)
         .groupBy("poll_id")
         .transformWithStateInPandas(
-            WaitMachine(bucket_us, ttl_ms), OUTPUT, outputMode="Append", timeMode="EventTime"
+            WaitMachine(bucket_us, forget_after_us), OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
 
