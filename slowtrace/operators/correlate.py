@@ -97,7 +97,8 @@ def histogram2d(
     bounds = rows.agg(
         F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
     )
-    x0, x1, y0, y1 = (bounds.select(c).scalar() for c in ("x0", "x1", "y0", "y1"))
+    rows = rows.select(x, y, *[bounds.select(c).scalar().alias(c) for c in ("x0", "x1", "y0", "y1")])
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
     count = F.greatest(x1 - x0, F.lit(1)) if x_bins is None else F.lit(x_bins)
 
     def bin_of(col: str, low: Column, high: Column, bins: Column) -> Column:

@@ -148,7 +148,10 @@ def active_at_ticks(
         rest = [c for c in requests.columns if c != start]
         requests = requests.groupBy(start).agg(F.max(F.struct(end, *[c for c in rest if c != end])).alias("r"))
         requests = requests.select(start, "r.*")
-    origin, final = _extent(requests, start, end)
+    low, high = _extent(requests, start, end)
+    # as columns of their own: each bound is one subquery however often it is used below
+    requests = requests.withColumns({"__origin": low, "__final": high})
+    origin, final = F.col("__origin"), F.col("__final")
     unit = F.lit(factor).cast("bigint")
     lower = ceil_div(F.col(start) - origin, factor)
     if inclusive_end:
@@ -157,7 +160,7 @@ def active_at_ticks(
         upper = ceil_div(F.col(end) - origin, factor)
     limit = floor_div(final - origin, factor) if last_tick == "within" else ceil_div(final - origin, factor)
     spread = explode_range(requests, lower, F.least(upper, limit), "__tick")
-    return spread.withColumn("tick", origin + F.col("__tick") * unit).drop("__tick")
+    return spread.withColumn("tick", origin + F.col("__tick") * unit).drop("__tick", "__origin", "__final")
 
 
 def dense_ticks(

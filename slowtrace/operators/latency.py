@@ -109,12 +109,15 @@ def throughput(
     it once. Each end yields its one or two ticks and is counted by a plain aggregation.
     """
     bounds = requests.agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
-    origin, final = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    ends = requests.select(
+        end, bounds.select("lo").scalar().alias("__origin"), bounds.select("hi").scalar().alias("__final")
+    )
+    origin, final = F.col("__origin"), F.col("__final")
     unit = F.lit(factor).cast("bigint")
     index = floor_div(F.col(end) - origin, factor)
     on_border = F.pmod(F.col(end) - origin, unit) == 0
     lower = index if half_open else F.when(on_border & (index > 0), index - F.lit(1)).otherwise(index)
-    placed = explode_range(requests.select(end), lower, index, "__tick")
+    placed = explode_range(ends, lower, index, "__tick")
     counts = (
         placed.withColumn("tick", origin + F.col("__tick") * unit)
         .filter(F.col("tick") < final)

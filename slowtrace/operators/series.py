@@ -60,7 +60,9 @@ def _calendar(
     bounds = points.groupBy(*frame).agg(low.alias("__lo"), high.alias("__hi"))
     if frame:
         return known.join(bounds, list(frame)), F.col("__lo"), F.col("__hi")
-    return known, bounds.select("__lo").scalar(), bounds.select("__hi").scalar()
+    # as columns of their own: each bound is one subquery however often it is used later
+    bounded = known.withColumns({c: bounds.select(c).scalar() for c in ("__lo", "__hi")})
+    return bounded, F.col("__lo"), F.col("__hi")
 
 
 def expand(

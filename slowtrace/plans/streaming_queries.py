@@ -123,6 +123,14 @@ def t4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("t5_replayed_file_waits", f"SELECT {_TEXT.format(name='inode_id', count='\"count\"')} FROM ({file_wait_sql(_STOP)})")
+def t5_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replayed_waits(spark, _replayed(spark, sf_dir), "file_waits").select(
+        F.col("poll_id").cast("bigint").cast("string").alias("poll_id"), F.col("inode_id").cast("string").alias("name"),
+        "bucket", "total_time", F.col("count").alias("total_requests"),
+    )
+
+
 @query("t6_streaming_merge", _CALL_STATS)
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late slices arrive as a stream and are merged into the completions."""
