@@ -28,12 +28,12 @@ def correlate(
 ) -> DataFrame:
     """Correlation of every series with the target, all series in one job.
 
-    Pairs with a missing side are dropped per series, before ranking. Constant series
+    Pairs with a missing (NULL or NaN) side are dropped per series, before ranking. Constant series
     have no correlation and give no row. Sort with ``top_k`` or ``orderBy``.
     """
     pairs = points.select(*keys, *on, F.col(value).alias("__x")).join(
         target.select(*on, F.col(target_value).alias("__y")), list(on)
-    ).filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    ).filter("NOT isnan(__x) AND NOT isnan(__y) AND __x IS NOT NULL AND __y IS NOT NULL")
     x, y = "__x", "__y"
     if method == "spearman":
         pairs = avg_rank(avg_rank(pairs, keys, "__x", "__rx"), keys, "__y", "__ry")

@@ -118,7 +118,9 @@ def _poll_file_wait(
     )
 
 
-def epoll_timeline(events: DataFrame, cell_width: int | None = 3600 * NS_PER_S) -> DataFrame:
+def epoll_timeline(
+    events: DataFrame, cell_width: int | None = 3600 * NS_PER_S, file: Sequence[str] = FILE
+) -> DataFrame:
     """Epoll events with ``delta`` (change in waiting threads) and ``waiting`` (threads after it).
 
     A thread counts once however often it enters without leaving (a lost event must not
@@ -136,7 +138,7 @@ def epoll_timeline(events: DataFrame, cell_width: int | None = 3600 * NS_PER_S)
         "poll_id", "kind", *_ORDER, "delta"
     )
     files = epoll.filter(F.col("kind").isin("epoll_insert", "epoll_remove")).select(
-        "poll_id", "kind", *_ORDER, F.lit(0).alias("delta"), *[c for c in epoll.columns if c in FILE]
+        "poll_id", "kind", *_ORDER, F.lit(0).alias("delta"), *file
     )
     return with_running_sum(
         changes.unionByName(files, allowMissingColumns=True), ["poll_id"], _ORDER, {"waiting": "delta"}, cell
@@ -196,7 +198,7 @@ def _epoll_file_wait(
     The timeline, and the sessions and registrations read off it, feed several branches
     each, so they are written once instead of being computed again by every branch.
     """
-    timeline = settle(epoll_timeline(events, cell_width))
+    timeline = settle(epoll_timeline(events, cell_width, file))
     sessions = settle(active_sessions(timeline, cell_width))
     done = F.col("end").isNotNull()
     stop = F.coalesce(F.col("end"), _limit(events, horizon))
@@ -322,7 +324,7 @@ def open_state(
 
     inside = open_events(events, ["poll_id", "pid", "tid"], "epoll_start", "epoll_end", order=_ORDER)
     polling = open_events(events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER)
-    timeline = epoll_timeline(events, cell_width)
+    timeline = epoll_timeline(events, cell_width, file)
     files = file_registrations(timeline, file, idle_removals, cell_width).filter(F.col("until").isNull())
     ended = pair_events(
         events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER, cell_width=cell_width

@@ -42,8 +42,14 @@ def value_cell(col: Column, resolution: int = 4096) -> Column:
     to a part in ``resolution`` and any spread of magnitudes is cut evenly.
     """
     value = col.cast("double")
-    offset = 1100 * resolution
-    magnitude = F.floor(F.log2(F.abs(value)) * F.lit(float(resolution))) + F.lit(offset)
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(
-        F.when(value > 0, magnitude).otherwise(-magnitude).cast("bigint")
+    edge = 1 << 60
+    magnitude = F.floor(F.log2(F.abs(value)) * F.lit(float(resolution))) + F.lit(1100 * resolution)
+    infinite = F.abs(value) == F.lit(float("inf"))
+    return (
+        F.when(value.isNull(), F.lit(None).cast("bigint"))
+        .when(F.isnan(value), F.lit(2 * edge))
+        .when(infinite, F.when(value > 0, F.lit(edge)).otherwise(F.lit(-edge)))
+        .when(value == 0, F.lit(0).cast("bigint"))
+        .when(value > 0, magnitude)
+        .otherwise(-magnitude)
     )

@@ -45,6 +45,7 @@ _COLONS = {
     "fs.file.impl.disable.cache": "true",
 }
 
+_SEPARATOR = "\u0001"
 _DIMENSIONS = {
     "scope": "string", "pid": "bigint", "tid": "bigint", "comm": "string", "metric_class": "string",
     "ipc_type": "string", "resource": "string", "part_seq": "bigint",
@@ -80,7 +81,7 @@ def _samples(lines: DataFrame, files: DataFrame) -> DataFrame:
     )
 
     def number(name: str) -> Column:
-        return F.expr(f"try_cast(row['{name}'] as double)").cast("bigint")
+        return F.expr(f"try_cast(try_cast(row['{name}'] as double) as bigint)")
 
     timed = row.select(*kept, number("epoch_s").alias("s"), number("epoch_ms").alias("epoch_ms"), "row")
     return (
@@ -91,7 +92,8 @@ def _samples(lines: DataFrame, files: DataFrame) -> DataFrame:
             F.explode("row").alias("metric", "text"),
         )
         .filter(~F.col("metric").isin("epoch_s", "epoch_ms"))
-        .withColumn("value", F.expr("try_cast(text as double)"))
+        # a missing number is NULL from here on, never NaN
+        .withColumn("value", F.expr("nullif(try_cast(text as double), double('NaN'))"))
         .drop("text")
     )
 
@@ -126,37 +128,28 @@ def parse_metric_path(
     ``on_error``: ``raise`` fails the job on a path that fits no layout, ``skip`` drops
     its rows, ``keep`` leaves them with empty dimensions and ``malformed`` set.
     """
-    col, layouts = F.col(path), LAYOUTS[layout]
-    # one pattern test per class until the first hit, then one replacement that yields all groups
-    which = F.coalesce(*[F.when(col.rlike(p), F.lit(i)) for i, (_, _, p, _) in enumerate(layouts)])
+    col = F.col(path)
+
+    def fields(metric_class: str, scope: str, groups: tuple[str, ...]) -> str:
+        """All dimensions of a class in fixed order, as a replacement for its pattern."""
+        place = {name: f"${i + 1}" for i, name in enumerate(groups)}
+        if "poll" in place:
+            # an epoll series is named by its set and the file behind it
+            place["resource"] = f"{place['poll']}/{place['resource']}"
+        place |= {"metric_class": metric_class, "scope": scope}
+        return _SEPARATOR.join(place.get(name, "") for name in _DIMENSIONS)
+
+    # one test per class until the first hit, then one replacement yields every dimension
     taken = F.coalesce(*[
-        F.when(
-            F.col("__which") == i,
-            F.split(F.regexp_replace(col, "^.*?" + p, "|".join(f"${g + 1}" for g in range(len(groups)))), r"\|"),
-        )
-        for i, (_, _, p, groups) in enumerate(layouts)
+        F.when(col.rlike(pattern), F.regexp_replace(col, "^.*?" + pattern, fields(metric_class, scope, groups)))
+        for metric_class, scope, pattern, groups in LAYOUTS[layout]
     ])
-    split = df.withColumn("__which", which).withColumn("__groups", taken)
-
-    def group(place: int) -> Column:
-        return F.try_element_at("__groups", F.lit(place + 1))
-
-    dims: dict[str, Column] = {}
-    for name, kind in _DIMENSIONS.items():
-        cases = []
-        for i, (metric_class, scope, _, groups) in enumerate(layouts):
-            if name in ("metric_class", "scope"):
-                value = F.lit(metric_class if name == "metric_class" else scope)
-            elif name == "resource" and "poll" in groups:
-                # an epoll series is named by its set and the file behind it
-                value = F.concat_ws("/", group(groups.index("poll")), group(groups.index("resource")))
-            elif name in groups:
-                value = group(groups.index(name))
-            else:
-                continue
-            cases.append(F.when(F.col("__which") == i, value))
-        dims[name] = (F.coalesce(*cases) if cases else F.lit(None)).cast(kind)
-    parsed = split.withColumns(dims).drop("__which", "__groups")
+    split = df.withColumn("__fields", F.split(taken, _SEPARATOR))
+    dims = {
+        name: F.nullif(F.col("__fields")[i], F.lit("")).cast(kind)
+        for i, (name, kind) in enumerate(_DIMENSIONS.items())
+    }
+    parsed = split.withColumns(dims).drop("__fields")
     malformed = F.col("metric_class").isNull()
     if on_error == "raise":
         message = F.concat(F.lit("unexpected metric file path: "), col)

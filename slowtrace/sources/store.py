@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from slowtrace.operators.accounting import merge_pending
 from slowtrace.operators.shares import taskstats_view
 from slowtrace.schemas import MERGE_KEYS, TABLES
+from slowtrace.session import settle
 
 _TIME = ("ts", "ts_s")
 
@@ -47,10 +48,14 @@ def write_store(tables: Mapping[str, DataFrame], path: str, run_id: str, mode: s
         write_table(df, path, name, run_id, mode)
 
 
+def _partitioned(table: str) -> T.StructType:
+    parts = [T.StructField(name, T.StringType()) for name in ("run_id", "day")]
+    return T.StructType([*TABLES[table].fields, *parts])
+
+
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table with its partition columns; filters on them prune folders."""
-    schema = T.StructType([*TABLES[table].fields, T.StructField("run_id", T.StringType()), T.StructField("day", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{path}/{table}")
+    return spark.read.schema(_partitioned(table)).parquet(f"{path}/{table}")
 
 
 def register_views(
@@ -75,14 +80,29 @@ def register_views(
 
 
 def merge_staged(spark: SparkSession, path: str, table: str, into: str) -> None:
-    """Fold ``<table>_staging`` into the table and write the result below ``into``.
+    """Fold ``<table>_staging`` into the days it touches and write those below ``into``.
 
-    The result goes to a new folder: a table is never overwritten while it is read, and
-    a job that fails half-way leaves the old version whole. Run and day are part of the
-    key, and the merged rows keep them.
+    Only folders of touched (run, day) pairs are read. The store itself stays as it is:
+    a table is never overwritten while it is read. ``publish_merged`` puts the result in.
     """
-    keys = [*MERGE_KEYS[table], "run_id", "day"]
-    merged = merge_pending(read_table(spark, path, table), read_table(spark, path, f"{table}_staging"), keys)
-    merged.hint("rebalance", "run_id", "day").write.mode("overwrite").partitionBy("run_id", "day").parquet(
-        f"{into}/{table}"
-    )
+    partition = ["run_id", "day"]
+    staging = read_table(spark, path, f"{table}_staging")
+    # a distinct list of folders: small, so its join prunes the partitions of the table
+    touched = settle(staging.select(*partition).distinct())
+    target = read_table(spark, path, table).join(touched, partition, "left_semi")
+    merged = merge_pending(target, staging, [*MERGE_KEYS[table], *partition])
+    merged.hint("rebalance", *partition).write.mode("overwrite").partitionBy(*partition).parquet(f"{into}/{table}")
+
+
+def publish_merged(spark: SparkSession, path: str, table: str, merged: str) -> None:
+    """Replace the merged days in the store, then empty the staging table.
+
+    Both steps only depend on the merged folder, so they can be run again after a
+    failure without counting a slice twice.
+    """
+    read_table(spark, merged, table).hint("rebalance", "run_id", "day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run_id", "day").parquet(f"{path}/{table}")
+    spark.createDataFrame([], _partitioned(f"{table}_staging")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "run_id", "day"
+    ).parquet(f"{path}/{table}_staging")

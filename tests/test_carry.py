@@ -58,10 +58,10 @@ def test_no_task_gets_a_whole_hot_key(log):
 
 
 def test_value_cell_never_decreases(spark):
-    values = [-1e300, -5.0, -1.0, -1e-9, 0.0, 5e-324, 1e-9, 0.1, 0.5, 1.0, 1.0000001, 2.0, 255.0, 1e9, 1e300]
+    values = [float("-inf"), -1e300, -5.0, -1.0, -1e-9, 0.0, 5e-324, 1e-9, 0.1, 0.5, 1.0, 1.0000001, 2.0, 255.0, 1e9, 1e300, float("inf"), float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     cells = [r[1] for r in df.select("v", value_cell(F.col("v"))).orderBy("v").collect()]
-    assert cells == sorted(cells)
+    assert cells == sorted(cells) and None not in cells
 
 
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
