@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +34,26 @@ def build_session(app: str = "slowtrace", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+def provide_shared_dir(spark: SparkSession, folder: str | None = None) -> None:
+    """Name a shared folder for a session that has none.
 
-    A machine-local folder is made up only for a local master: on a cluster a
-    missing setting is an error, because a lost executor would take the data along.
+    For programs that own their session (the entry file, the bench, tests); the library itself never makes one up.
+    A folder of this machine will do only where driver and executors are one process.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="slowtrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set("spark.checkpoint.dir", folder)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -54,15 +64,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def settled_tables(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables settled inside the block and deletes them at its end, when results have been written."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once, as a table in the shared folder, and go on from there.
 
     Used where a plan would otherwise be recomputed by several branches, and once per
     round of an iterative job. The copy survives the loss of executors, is read by
     column, and its size is known to the planner: a small one is broadcast and spares
-    the other side of a join its shuffle.
+    the other side of a join its shuffle. It stays until the enclosing :func:`settled_tables` block ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

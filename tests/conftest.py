@@ -8,12 +8,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from slowtrace.session import build_session
+    from slowtrace.session import build_session, provide_shared_dir
 
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
     })
     session.sparkContext.setLogLevel("ERROR")
+    provide_shared_dir(session)
     yield session
     session.stop()
