@@ -1,29 +1,57 @@
-"""From raw documents to packed token sequences, stage by stage."""
+"""From raw documents to packed token sequences, stage by stage.
+
+Every stage reads all documents that the stage before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slowtrace.llm import digest_index
-from slowtrace.session import provide_shared_dir, scratch_path
+from slowtrace.llm import contamination, digest_index, minhash, packing, quality
+from slowtrace.session import provide_shared_dir, scratch_path, settled_tables
+
+ORACLE_SQL = None  # a fitted classifier and a packing have no SQL
+
 
-ORACLE_SQL = None
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from their labels, but for the held-out fifth."""
+    return quality.drop_bad(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, against an index made for this run."""
     return digest_index.drop_exact(docs, digest_index.DigestIndex(spark, scratch_path(spark, "digests")))
 
 
-STAGES = [("exact", exact)]
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group of near duplicates."""
+    return minhash.drop_near(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 1024 tokens."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality", good), ("exact dedup", distinct), ("near dedup", dissimilar),
+    ("decontamination", decontaminated), ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written and read again before the next."""
+    """All stages over the documents; each result is written to the shared folder and read again by the next."""
     provide_shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        with settled_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -13,13 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from slowtrace.session import settle
 
 _INDEX = "digest BINARY, doc_id BIGINT, row BIGINT"
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def text_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the UTF-8 text after lower-casing A-Z; a null counts as an empty text."""
     lowered = pc.ascii_lower(pc.fill_null(text, "")).cast(pa.binary())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slowtrace.llm import digest_index, hilbert, pseudonyms, rendering
+from slowtrace.llm import (
+    contamination, digest_index, hilbert, lines, minhash, packing, pseudonyms, quality, rendering, substrings,
+)
 from slowtrace.plans.registry import Query
 from slowtrace.session import scratch_path
 
@@ -66,3 +69,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = digest_index.fingerprints(table(spark, sf_dir, "documents"))
     return digest_index.exact_groups(prints, index).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op2_substrings")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when windows of 50 words seen in a smaller doc_id go."""
+    cut = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return minhash.near_groups(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op8_lines")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document are fuzzy repeats of lines elsewhere."""
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op9_contamination", """
+WITH w(kind, id, ws) AS (
+  SELECT 'd', doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+      FROM w WHERE len(ws) > 0),
+n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n.n_shingles, count(*) AS n_found
+FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n_shingles HAVING 100 * count(*) >= 75 * n.n_shingles
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contamination.contained_items(docs, items).drop("text_hash")
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens in sequences of 1024."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary))

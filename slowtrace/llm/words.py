@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-_M = np.uint64(0x9E3779B97F4A7C15)
+_M, _MASK = 0x9E3779B97F4A7C15, 2 ** 64 - 1
 _SHORT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -43,7 +43,7 @@ class WordHasher:
         return np.fromiter(map(self._known.__getitem__, words), np.uint64, len(words))
 
 
-def runs(hashes: np.ndarray, n: int, multiplier: np.uint64 = _M) -> np.ndarray:
+def runs(hashes: np.ndarray, n: int, multiplier: int = _M) -> np.ndarray:
     """A hash of every run of ``n`` consecutive words, made of doubled runs; empty if there are fewer words."""
     if len(hashes) < n:
         return hashes[:0]
@@ -52,13 +52,13 @@ def runs(hashes: np.ndarray, n: int, multiplier: np.uint64 = _M) -> np.ndarray:
     while True:
         if n & 1:
             tail = part[done:done + size]
-            out = tail if out is None else out * power + tail
+            out = tail if out is None else out * np.uint64(power) + tail
             done += width
         n >>= 1
         if not n:
             return mix(out)
-        part = part[:-width] * power + part[width:]
-        power, width = power * power, 2 * width
+        part = part[:-width] * np.uint64(power) + part[width:]
+        power, width = power * power & _MASK, 2 * width
 
 
 def shingle_set(hashes: np.ndarray, n: int = 5) -> np.ndarray:
