@@ -79,17 +79,18 @@ def settled_tables(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` once, as a table in the shared folder, and go on from there.
 
     Used where a plan would otherwise be recomputed by several branches, and once per
     round of an iterative job. The copy survives the loss of executors, is read by
     column, and its size is known to the planner: a small one is broadcast and spares
-    the other side of a join its shuffle. It stays until the enclosing :func:`settled_tables` block ends.
+    the other side of a join its shuffle. It stays until the enclosing :func:`settled_tables` block ends
+    (``outer``: the block around that one, for the result of a step that is left).
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    if len(_OWNERS) > outer:
+        _OWNERS[-1 - outer].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
