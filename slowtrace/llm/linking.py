@@ -1,9 +1,9 @@
 """Links between items that share postings, without pairing everybody in a posting list.
 
-A list of ``n`` items first yields ``n - 1`` pairs: everybody with the list's smallest item. Verified pairs give
-provisional groups. A pair that was left out matters only if it would join two groups, so the second step pairs items of
-a list that are in different groups, and nothing else. A large group of alike items costs its size, not its square, and
-no link that could connect two groups is lost.
+A list of ``n`` items first yields ``n - 1`` pairs: everybody with the list's centre. Verified pairs give provisional
+groups. A pair that was left out matters only if it would join two groups, so the second step pairs items of a list that
+are in different groups, and nothing else. A large group of alike items costs its size, not its square, and no link
+that could connect two groups is lost.
 """
 
 from __future__ import annotations
@@ -29,11 +29,16 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     return postings.where(some.passes("key")).join(shared, "key")
 
 
-def star_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the smallest node of each ``key`` with every other node there."""
-    centre = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    return (postings.join(centre, "key").where("node > a")
-            .select("a", F.col("node").alias("b")).distinct())
+def star_pairs(postings: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of each list's centre, the node of least ``rank``, with every other node there."""
+    centre = (postings.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("centre"), F.count("*").alias("n"))
+              .where("n > 1").select("key", F.col("centre.node").alias("centre")))
+    pairs = (postings.join(centre, "key").where("node <> centre")
+             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    nodes = postings.drop("key").dropDuplicates(["node"])
+    left, right = nodes.alias("l"), nodes.alias("r")
+    return (pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
+            .where(plausible("l", "r")).select("a", "b"))
 
 
 def crossing_pairs(postings: DataFrame, groups: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
@@ -78,8 +83,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(postings: DataFrame, verify: Verify, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """(node, component) of nodes linked by verified pairs that share a key of ``postings`` (key, node, ...)."""
-    tried = settle(star_pairs(postings))
+    """(node, component) of nodes linked by verified pairs that share a key of ``postings`` (key, node, rank, ...).
+
+    ``plausible`` says from other columns of two postings whether the pair need be verified.
+    """
+    tried = settle(star_pairs(postings, plausible))
     links = settle(verify(tried))
     groups = components(links)
     more = settle(crossing_pairs(postings, groups, plausible).join(tried, ["a", "b"], "left_anti"))

@@ -4,7 +4,8 @@ Documents with equal shingle sets are one node. Each node is posted under its pa
 similarity s agree in about s * COORDINATES places; a pair is retained if it agrees in MATCHES at least. Such a pair
 must meet under one of the COORDINATES - MATCHES + 1 rarest postings of each node, so only these prefix lists are
 merged; the long lists are skipped and looked up in the signatures of the pairs found. Pairs above the threshold are
-confirmed on the full sets.
+confirmed on the full sets. Shingles that no other candidate has bound the similarity a node can reach: edited copies
+that are too far from each other are not paired for having many values in common.
 """
 
 from __future__ import annotations
@@ -81,11 +82,21 @@ def prefix_postings(nodes: DataFrame) -> DataFrame:
 
 
 def _close(left: str, right: str) -> Column:
-    """May two nodes be similar, by size and signature?"""
+    """May two nodes be similar, by sizes, shared shingles and signatures?"""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    most = F.least(f"{left}.n_shared", f"{right}.n_shared")
     agree = F.aggregate(F.zip_with(F.col(f"{left}.signature"), F.col(f"{right}.signature"),
                                    lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (4 * a >= 3 * b) & (4 * b >= 3 * a) & (agree >= MATCHES)
+    return (100 * most >= 75 * (a + b - most)) & (agree >= MATCHES)
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(node, n_shared): how many of a node's shingles other nodes have too."""
+    alone = (sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+             .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+             .groupBy("node").agg(F.count("*").alias("n_alone")))
+    return sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select(
+        "node", (F.col("n") - F.coalesce("n_alone", F.lit(0))).alias("n_shared"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -104,24 +115,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = settle(classes.select("digest", "n", "n_shingles", "signature", "first.doc_id", "first.text_hash",
                                   F.monotonically_increasing_id().alias("node")))
 
+    met = settle(prefix_postings(nodes))
+    wanted = nodes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node")
+    some = KeyFilter(wanted, "doc_id", "text_hash")
+    found = texts.where(some.passes("doc_id", "text_hash")).alias("d").join(
+        wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.text_hash = w.text_hash"))
+    # rows that repeat id and text give a node twice
+    sets = settle(found.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles array<long>"))
+    able = _shared_counts(sets)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        small = nodes.select("node", "n_shingles", "signature")
-        left, right = small.alias("l"), small.alias("r")
-        close = settle(pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
-                       .where(_close("l", "r")).select("a", "b"))
-        wanted = nodes.select("node", "doc_id", "text_hash").join(
-            close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-        some = KeyFilter(wanted, "doc_id", "text_hash")
-        met = texts.where(some.passes("doc_id", "text_hash")).alias("d").join(
-            wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.text_hash = w.text_hash"))
-        sets = met.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
         one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return (close.join(one, "a").join(two, "b")
-                .where(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b").distinct())
+        return (pairs.join(one, "a").join(two, "b")
+                .where(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    groups = linked_groups(settle(prefix_postings(nodes)), verify, _close)
+    # what has most of its shingles in common with others lies in the middle of its group
+    postings = settle(met.join(able, "node").where("100 * n_shared >= 75 * n_shingles")
+                      .withColumn("rank", 1 - F.col("n_shared") / F.col("n_shingles")))
+    groups = linked_groups(postings, verify, _close)
     grouped = nodes.select("digest", "node", "doc_id", "n").join(groups, "node", "left")
     named = grouped.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("n"))

@@ -2,9 +2,9 @@
 
 A window is ``WINDOW`` consecutive words. Each window is counted in a sketch cell chosen by its smallest
 ``GRAM``-word run, so equal windows fall in equal cells while neighbouring windows share one: a document adds one count
-per distinct cell, a sixteenth of its words. Partitions send their sketches as sparse counts, cut into slices; a slice
+per distinct cell, about a sixth of its words. Partitions send their sketches as sparse counts, cut into slices; a slice
 is merged in one task into two rows of counters whose minimum never falls below the number of documents that hold
-the window. Only windows whose estimate says "repeated" are grouped, exactly, by 128-bit hashes in the second pass.
+the window. Only windows whose estimate says "repeated" are grouped, exactly, by 96-bit hashes in the second pass.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from slowtrace.llm.key_filter import KeyFilter
 from slowtrace.llm.words import WordHasher, mix, runs, texts_of
-from slowtrace.session import settle
+from slowtrace.session import settle, settled_tables
 
-WINDOW, GRAM = 50, 20
-SKETCH_BITS = 23            # counters per row of a slice: 2 ** SKETCH_BITS
-TEXT_PER_SLICE = 64 << 20   # bytes of text that one slice of the sketch counts
+WINDOW, GRAM = 50, 40
+SKETCH_BITS = 24            # counters per row of a slice: 2 ** SKETCH_BITS
+TEXT_PER_SLICE = 16 << 20   # bytes of text that one slice of the sketch counts
 _SECOND = 0xC2B2AE3D27D4EB4F
 
 
@@ -97,12 +97,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = np.array(flagged[i], np.int64).view(np.uint64)
             at = np.flatnonzero(np.isin(window_cells(words), cells))
             if len(at):
-                found.append((runs(words, WINDOW)[at], runs(words, WINDOW, _SECOND)[at], np.full(len(at), i), at))
+                other = (runs(words, WINDOW, _SECOND)[at] >> np.uint64(32)).astype(np.uint32)
+                found.append((runs(words, WINDOW)[at], other, np.full(len(at), i), at))
         if found:
             one, two, owner, at = (np.concatenate(part) for part in zip(*found, strict=True))
             owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays([
-                pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("doc_id").take(owner),
+                pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), batch.column("doc_id").take(owner),
                 batch.column("text_hash").take(owner), pa.array(at.astype(np.int32)),
             ], ["one", "two", "doc_id", "text_hash", "at"])
 
@@ -142,6 +143,15 @@ def later_copies(docs: DataFrame) -> DataFrame:
             .where("doc_id > first OR doc_id IS NULL").select("doc_id", "text_hash").distinct())
 
 
+def _originals(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) without later copies; only what may be one is matched with their list."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    maybe = KeyFilter(copies, "doc_id", "text_hash").passes("doc_id", "text_hash")
+    met = texts.where(maybe).alias("d").join(
+        copies.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.text_hash = c.text_hash"), "left_anti")
+    return texts.where(~maybe).union(met)
+
+
 def repeated_starts(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc_id, text_hash, starts): where windows begin that also start in a document with a smaller doc_id.
 
@@ -149,22 +159,22 @@ def repeated_starts(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = total // TEXT_PER_SLICE + 1
-    sketch = settle(docs.select("doc_id", "text").mapInArrow(
-        _sketched(slices), "slice int, cell long, doc_id long, known boolean"))
-    merged = sketch.where("NOT known").groupBy("slice").applyInArrow(_repeated_cells, "cell long, doc_id long")
-    flagged = settle(merged.union(sketch.where("known").select("cell", "doc_id"))
-                     .groupBy("doc_id").agg(F.collect_set("cell").alias("cells")))
+    with settled_tables(docs.sparkSession):
+        sketch = settle(_originals(docs, copies).select("doc_id", "text").mapInArrow(
+            _sketched(slices), "slice int, cell long, doc_id long, known boolean"))
+        merged = sketch.where("NOT known").groupBy("slice").applyInArrow(_repeated_cells, "cell long, doc_id long")
+        flagged = settle(merged.union(sketch.where("known").select("cell", "doc_id"))
+                         .groupBy("doc_id").agg(F.collect_set("cell").alias("cells")), outer=True)
     some = KeyFilter(flagged, "doc_id")
-    texts = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where(some.passes("doc_id"))
-             .alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.text_hash = c.text_hash"), "left_anti"))
+    texts = _originals(docs.where(some.passes("doc_id")), copies).alias("d")
     windows = settle(texts.join(flagged.alias("f"), F.expr("d.doc_id <=> f.doc_id"))
                      .select("d.doc_id", "text_hash", "text", "cells")
-                     .mapInArrow(_candidates, "one long, two long, doc_id long, text_hash long, at int"))
-    first = (windows.groupBy("one", "two")
-             .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-                  F.max(F.col("doc_id").isNull()).alias("unnamed"))
-             .where("first < last OR (unnamed AND first IS NOT NULL)").select("one", "two", "first"))
-    return (windows.join(first, ["one", "two"]).where("doc_id > first OR doc_id IS NULL")
+                     .mapInArrow(_candidates, "one long, two int, doc_id long, text_hash long, at int"))
+    named = F.coalesce("doc_id", F.lit(2 ** 63 - 1))
+    first = settle(windows.groupBy("one", "two").agg(F.min(named).alias("first"), F.max(named).alias("last"))
+                   .where("first < last").select("one", "two", "first"))
+    again = KeyFilter(first, "one")
+    return (windows.where(again.passes("one")).join(first, ["one", "two"]).where(named > F.col("first"))
             .groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts")))
 
 
@@ -176,10 +186,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     than any id, so it takes nothing from others and nulls take nothing from each other; rows with equal doc_id take
     nothing from each other either. Other columns of ``docs`` are not looked at. An empty table gives no rows.
     """
-    copies = settle(later_copies(docs))
-    parts = repeated_starts(docs, copies).withColumn("whole", F.lit(False)).unionByName(
-        copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    found = settle(parts)
+    with settled_tables(docs.sparkSession):
+        copies = settle(later_copies(docs))
+        found = settle(repeated_starts(docs, copies).withColumn("whole", F.lit(False)).unionByName(
+            copies.withColumn("whole", F.lit(True)), allowMissingColumns=True), outer=True)
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     some = KeyFilter(found, "doc_id")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
