@@ -50,6 +50,11 @@ def _merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                                      ["slice", "bits"])
 
 
+def _hit(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
+    at = _places(keys.to_numpy(zero_copy_only=False).astype(np.int64))
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(axis=0)
+
+
 class KeyFilter:
     """Passes every key in column ``key`` (any expression hashed by Spark's xxhash64)."""
 
@@ -63,13 +68,15 @@ class KeyFilter:
             bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
         self._bits = spark.sparkContext.broadcast(bits.reshape(-1))
 
+    def mask(self, keys: pa.Array) -> np.ndarray:
+        """Which of ``keys`` (column xxhash64 of what the filter was made of) pass; for code inside tasks."""
+        return _hit(self._bits.value, keys)
+
     def passes(self, *columns: str | Column) -> Column:
         shared = self._bits
 
         @F.arrow_udf("boolean")
         def maybe(key: pa.Array) -> pa.Array:
-            bits, at = shared.value, _places(key.to_numpy(zero_copy_only=False).astype(np.int64))
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            return pa.array(hit.reshape(2, -1).all(axis=0))
+            return pa.array(_hit(shared.value, key))
 
         return maybe(F.xxhash64(*columns))

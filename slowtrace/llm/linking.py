@@ -1,22 +1,30 @@
-"""Links between items that share postings, without pairing everybody in a posting list.
+"""Links between items that share postings, without rows for everybody with everybody in a posting list.
 
 A list of ``n`` items first yields ``n - 1`` pairs: everybody with the list's centre. Verified pairs give provisional
-groups. A pair that was left out matters only if it would join two groups, so the second step pairs items of a list that
-are in different groups, and nothing else. A large group of alike items costs its size, not its square, and no link
-that could connect two groups is lost.
+groups. A pair that was left out matters only if it would join two groups; both its items were paired with the centre of a
+list they share. So the second step looks, for each centre whose items are in several groups, for links between
+the groups. It does so in blocks of bounded size, each pair of blocks in a task of its own, and yields one link for two
+groups that meet. A large group of alike items costs its size in rows, not its square, and no link that could connect
+two groups is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slowtrace.llm.key_filter import KeyFilter
 from slowtrace.session import settle
 
+BLOCK = 256
+
 Verify = Callable[[DataFrame], DataFrame]
+Plausible = Callable[[str, str], Column]
+Matches = Callable[[pa.Table, pa.Table], np.ndarray]
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -29,32 +37,51 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     return postings.where(some.passes("key")).join(shared, "key")
 
 
-def star_pairs(postings: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs (a, b), a < b, of each list's centre, the node of least ``rank``, with every other node there."""
+def centred(postings: DataFrame) -> DataFrame:
+    """(centre, node): every node with the centre, the node of least ``rank``, of each list it is in."""
     centre = (postings.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("centre"), F.count("*").alias("n"))
               .where("n > 1").select("key", F.col("centre.node").alias("centre")))
-    pairs = (postings.join(centre, "key").where("node <> centre")
-             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    return postings.join(centre, "key").select("centre", "node").distinct()
+
+
+def star_pairs(around: DataFrame, postings: DataFrame, plausible: Plausible) -> DataFrame:
+    """Pairs (a, b), a < b, of a centre and a node around it that may be linked."""
+    pairs = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     nodes = postings.drop("key").dropDuplicates(["node"])
     left, right = nodes.alias("l"), nodes.alias("r")
-    return (pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
+    return (pairs.distinct().join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
             .where(plausible("l", "r")).select("a", "b"))
 
 
-def crossing_pairs(postings: DataFrame, groups: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a ``key`` and are not in one group of ``groups`` (node, component).
+def crossing_links(around: DataFrame, groups: DataFrame, payload: Callable[[DataFrame], DataFrame], matches: Matches) -> DataFrame:
+    """Links (a, b) between nodes around one centre that are in different groups of ``groups`` (node, component).
 
-    ``plausible(left, right)`` is a condition on the other columns of two postings, tested inside the join.
+    ``payload(nodes)`` gives (node, ...) what ``matches`` needs to tell which rows of two tables are linked.
     """
-    placed = settle(postings.join(groups, "node", "left")
-                    .withColumn("component", F.coalesce("component", "node")))
-    split = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low < high").select("key"))
-    open_ = placed.join(split, "key", "left_semi")
-    left, right = open_.alias("l"), open_.alias("r")
-    condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & plausible("l", "r")
-    return (left.join(right, condition)
-            .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
+    placed = around.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = (placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                          F.count("*").alias("n"))
+             .where("low < high").select("centre", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    open_ = settle(placed.join(split, "centre")
+                   .withColumn("block", F.pmod(F.xxhash64("component", "node"), F.col("blocks"))))
+    met = (open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+           .select("centre", "node", "component", "block", F.least("block", "other").alias("low"),
+                   F.greatest("block", "other").alias("high")))
+
+    def compared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        block, low, high = rows["block"].to_numpy(), key[1].as_py(), key[2].as_py()
+        left = rows.filter(pa.array(block == low))
+        right = left if low == high else rows.filter(pa.array(block == high))
+        one, two = left["component"].to_numpy(), right["component"].to_numpy()
+        i, j = np.nonzero(matches(left, right) & (one[:, None] != two[None, :]))
+        _, first = np.unique(np.stack([one[i], two[j]], axis=1), axis=0, return_index=True)
+        i, j = i[first], j[first]
+        yield pa.RecordBatch.from_arrays([left["node"].take(pa.array(i)).combine_chunks(),
+                                          right["node"].take(pa.array(j)).combine_chunks()], ["a", "b"])
+
+    carried = payload(open_.select("node").distinct())
+    return (met.join(carried, "node").groupBy("centre", "low", "high").applyInArrow(compared, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -82,14 +109,14 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def linked_groups(postings: DataFrame, verify: Verify, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """(node, component) of nodes linked by verified pairs that share a key of ``postings`` (key, node, rank, ...).
+def linked_groups(postings: DataFrame, plausible: Plausible, verify: Verify, payload: Callable[[DataFrame], DataFrame],
+                  matches: Matches) -> DataFrame:
+    """(node, component) of nodes that share a key of ``postings`` (key, node, rank, ...) and are linked.
 
-    ``plausible`` says from other columns of two postings whether the pair need be verified.
+    ``verify`` keeps the linked ones of pairs (a, b); ``plausible`` says from other columns of two postings whether a
+    pair need be verified. ``payload`` and ``matches`` decide the same for blocks of nodes.
     """
-    tried = settle(star_pairs(postings, plausible))
-    links = settle(verify(tried))
-    groups = components(links)
-    more = settle(crossing_pairs(postings, groups, plausible).join(tried, ["a", "b"], "left_anti"))
-    found = settle(verify(more))
-    return components(links.union(found))
+    around = settle(centred(postings))
+    links = settle(verify(star_pairs(around, postings, plausible)))
+    more = settle(crossing_links(around, components(links), payload, matches))
+    return components(links.union(more))

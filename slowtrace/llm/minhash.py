@@ -4,8 +4,7 @@ Documents with equal shingle sets are one node. Each node is posted under its pa
 similarity s agree in about s * COORDINATES places; a pair is retained if it agrees in MATCHES at least. Such a pair
 must meet under one of the COORDINATES - MATCHES + 1 rarest postings of each node, so only these prefix lists are
 merged; the long lists are skipped and looked up in the signatures of the pairs found. Pairs above the threshold are
-confirmed on the full sets. Shingles that no other candidate has bound the similarity a node can reach: edited copies
-that are too far from each other are not paired for having many values in common.
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,35 +68,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_postings(nodes: DataFrame) -> DataFrame:
-    """(key, node, n_shingles, signature) under the rarest postings of each node that can decide a pair.
+    """(key, node, rank, n_shingles, signature) under the rarest postings of each node that can decide a pair.
 
-    A posting that no other node has decides nothing, but counts as the rarest.
+    A posting that no other node has decides nothing, but counts as the rarest. Lowest in ``rank`` are nodes whose
+    values are the most frequent: copies that were edited least lie in the middle of their group.
     """
     every = nodes.select("node", F.posexplode("signature").alias("at", "value")).select(
         (F.shiftleft(F.col("value").cast("long"), 8) + F.col("at")).alias("key"), "node")
     mine = Window.partitionBy("node")
-    kept = (shared_postings(every).withColumn("met", F.count("*").over(mine))
+    kept = (shared_postings(every).withColumns({"met": F.count("*").over(mine), "rank": -F.sum("n").over(mine)})
             .where(f"met >= {MATCHES}").withColumn("place", F.row_number().over(mine.orderBy("n", "key")))
             .where(f"place <= met - {MATCHES} + 1"))
-    return kept.select("key", "node").join(nodes.select("node", "n_shingles", "signature"), "node")
+    return kept.select("key", "node", "rank").join(nodes.select("node", "n_shingles", "signature"), "node")
 
 
 def _close(left: str, right: str) -> Column:
-    """May two nodes be similar, by sizes, shared shingles and signatures?"""
+    """May two nodes be similar, by sizes and signatures?"""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    most = F.least(f"{left}.n_shared", f"{right}.n_shared")
     agree = F.aggregate(F.zip_with(F.col(f"{left}.signature"), F.col(f"{right}.signature"),
                                    lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (100 * most >= 75 * (a + b - most)) & (agree >= MATCHES)
-
-
-def _shared_counts(sets: DataFrame) -> DataFrame:
-    """(node, n_shared): how many of a node's shingles other nodes have too."""
-    alone = (sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
-             .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-             .groupBy("node").agg(F.count("*").alias("n_alone")))
-    return sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select(
-        "node", (F.col("n") - F.coalesce("n_alone", F.lit(0))).alias("n_shared"))
+    return (4 * a >= 3 * b) & (4 * b >= 3 * a) & (agree >= MATCHES)
+
+
+def _similar_sets(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Which sets of two blocks are linked, counted on the shingles that both blocks have."""
+    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = table["shingles"].combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        return pc.list_flatten(column).to_numpy(), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+    (x, x_owner, x_size), (y, y_owner, y_size) = flat(left), flat(right)
+    common = np.intersect1d(x, y)
+    both = np.zeros((len(x_size), len(y_size)), np.float32)
+    for at in range(0, len(common), 4096):
+        part = common[at:at + 4096]
+        sides = []
+        for values, owner, n in ((x, x_owner, len(x_size)), (y, y_owner, len(y_size))):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            side = np.zeros((n, len(part)), np.float32)
+            side[owner[hit], place[hit]] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    return 100 * both >= 75 * (x_size[:, None] + y_size[None, :] - both)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -122,7 +136,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
         wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.text_hash = w.text_hash"))
     # rows that repeat id and text give a node twice
     sets = settle(found.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles array<long>"))
-    able = _shared_counts(sets)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -131,10 +144,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return (pairs.join(one, "a").join(two, "b")
                 .where(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    # what has most of its shingles in common with others lies in the middle of its group
-    postings = settle(met.join(able, "node").where("100 * n_shared >= 75 * n_shingles")
-                      .withColumn("rank", 1 - F.col("n_shared") / F.col("n_shingles")))
-    groups = linked_groups(postings, verify, _close)
+    groups = linked_groups(met, _close, verify, lambda _: sets, _similar_sets)
     grouped = nodes.select("digest", "node", "doc_id", "n").join(groups, "node", "left")
     named = grouped.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("n"))

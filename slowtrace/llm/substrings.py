@@ -37,16 +37,22 @@ def window_cells(hashes: np.ndarray) -> np.ndarray:
     return cells
 
 
-def _sketched(slices: int):
+def _without(batches: Iterator[pa.RecordBatch], keys: KeyFilter | None) -> Iterator[pa.RecordBatch]:
+    """Rows whose column ``key`` does not pass; a filter here saves a second Python worker beside the task's own."""
+    for batch in batches:
+        yield batch if keys is None else batch.filter(pa.array(~keys.mask(batch.column("key"))))
+
+
+def _sketched(slices: int, skip: KeyFilter | None):
     """Per batch: a row for each cell of each document, but not more than two documents of the batch for a cell.
 
     Further documents of the batch with that cell are marked ``known``: the two that are counted make it repeated.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
+        hasher = WordHasher(100_000)
+        for batch in _without(batches, skip):
             cells, owners = [], []
-            for i, text in enumerate(texts_of(batch.column(1))):
+            for i, text in enumerate(texts_of(batch.column("text"))):
                 words = text.split()
                 if len(words) >= WINDOW:
                     cells.append(np.unique(window_cells(hasher(words))))
@@ -60,7 +66,7 @@ def _sketched(slices: int):
             known[2:] = cell[2:] == cell[:-2]
             yield pa.RecordBatch.from_arrays([
                 pa.array(((cell >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)),
-                pa.array(cell.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(known),
+                pa.array(cell.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(known),
             ], ["slice", "cell", "doc_id", "known"])
     return run
 
@@ -88,7 +94,7 @@ def _repeated_cells(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose cell is repeated: two hashes, document and place."""
-    hasher = WordHasher()
+    hasher = WordHasher(100_000)
     for batch in batches:
         found: list[tuple] = []
         flagged = batch.column("cells").to_pylist()
@@ -108,30 +114,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["one", "two", "doc_id", "text_hash", "at"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        starts = batch.column("starts").to_pylist() if "starts" in batch.schema.names else [None] * len(batch)
-        whole = batch.column("whole").to_pylist() if "whole" in batch.schema.names else [None] * len(batch)
-        n_words, n_removed, kept = [], [], []
-        for text, at, all_ in zip(texts_of(batch.column("text")), starts, whole, strict=True):
-            words = text.split()
-            n_words.append(len(words))
-            if all_ and len(words) >= WINDOW:
-                left = []
-            elif at:
-                change = np.zeros(len(words) + 1, np.int32)
-                at = np.array(at)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + WINDOW, -1)
-                left = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
-            else:
+def _cut(skip: KeyFilter | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _without(batches, skip):
+            none = [None] * len(batch)
+            starts, whole = (batch.column(c).to_pylist() if c in batch.schema.names else none for c in ("starts", "whole"))
+            n_words, n_removed, kept = [], [], []
+            for text, at, all_ in zip(texts_of(batch.column("text")), starts, whole, strict=True):
+                words = text.split()
                 left = words
-            n_removed.append(len(words) - len(left))
-            kept.append(b" ".join(left).decode())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-            pa.array(kept, pa.string()),
-        ], ["doc_id", "n_words", "n_removed", "kept_text"])
+                if all_ and len(words) >= WINDOW:
+                    left = []
+                elif at:
+                    change = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(change, np.array(at), 1)
+                    np.add.at(change, np.array(at) + WINDOW, -1)
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(left))
+                kept.append(b" ".join(left).decode())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(kept, pa.string()),
+            ], ["doc_id", "n_words", "n_removed", "kept_text"])
+    return run
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
@@ -143,13 +149,10 @@ def later_copies(docs: DataFrame) -> DataFrame:
             .where("doc_id > first OR doc_id IS NULL").select("doc_id", "text_hash").distinct())
 
 
-def _originals(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text) without later copies; only what may be one is matched with their list."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    maybe = KeyFilter(copies, "doc_id", "text_hash").passes("doc_id", "text_hash")
-    met = texts.where(maybe).alias("d").join(
+def _without_copies(texts: DataFrame, copies: DataFrame, maybe: KeyFilter) -> DataFrame:
+    """Rows of ``texts`` (doc_id, text_hash, text) that pass ``maybe``, the filter of ``copies``, but are not copies."""
+    return texts.where(maybe.passes("doc_id", "text_hash")).alias("d").join(
         copies.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.text_hash = c.text_hash"), "left_anti")
-    return texts.where(~maybe).union(met)
 
 
 def repeated_starts(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -159,14 +162,18 @@ def repeated_starts(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = total // TEXT_PER_SLICE + 1
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    maybe, schema = KeyFilter(copies, "doc_id", "text_hash"), "slice int, cell long, doc_id long, known boolean"
     with settled_tables(docs.sparkSession):
-        sketch = settle(_originals(docs, copies).select("doc_id", "text").mapInArrow(
-            _sketched(slices), "slice int, cell long, doc_id long, known boolean"))
+        sure = texts.select("doc_id", "text", F.xxhash64("doc_id", "text_hash").alias("key"))
+        sketch = settle(sure.mapInArrow(_sketched(slices, maybe), schema).union(
+            _without_copies(texts, copies, maybe).select("doc_id", "text").mapInArrow(_sketched(slices, None), schema)))
         merged = sketch.where("NOT known").groupBy("slice").applyInArrow(_repeated_cells, "cell long, doc_id long")
         flagged = settle(merged.union(sketch.where("known").select("cell", "doc_id"))
                          .groupBy("doc_id").agg(F.collect_set("cell").alias("cells")), outer=True)
     some = KeyFilter(flagged, "doc_id")
-    texts = _originals(docs.where(some.passes("doc_id")), copies).alias("d")
+    texts = texts.where(some.passes("doc_id"))
+    texts = texts.where(~maybe.passes("doc_id", "text_hash")).union(_without_copies(texts, copies, maybe)).alias("d")
     windows = settle(texts.join(flagged.alias("f"), F.expr("d.doc_id <=> f.doc_id"))
                      .select("d.doc_id", "text_hash", "text", "cells")
                      .mapInArrow(_candidates, "one long, two int, doc_id long, text_hash long, at int"))
@@ -193,7 +200,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     some = KeyFilter(found, "doc_id")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    clean = texts.where(~some.passes("doc_id")).select("doc_id", "text").mapInArrow(_cut, schema)
+    clean = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(_cut(some), schema)
     met = texts.where(some.passes("doc_id")).alias("d").join(
         found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash"), "left")
-    return clean.union(met.select("d.doc_id", "text", "starts", "whole").mapInArrow(_cut, schema))
+    return clean.union(met.select("d.doc_id", "text", "starts", "whole").mapInArrow(_cut(None), schema))
