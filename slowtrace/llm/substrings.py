@@ -24,7 +24,7 @@ from slowtrace.session import settle, settled_tables
 WINDOW, GRAM = 50, 40
 SKETCH_BITS = 24            # counters per row of a slice: 2 ** SKETCH_BITS
 TEXT_PER_SLICE = 16 << 20   # bytes of text that one slice of the sketch counts
-_SECOND = 0xC2B2AE3D27D4EB4F
+_SECOND, _THIRD = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 def window_cells(hashes: np.ndarray) -> np.ndarray:
@@ -37,6 +37,11 @@ def window_cells(hashes: np.ndarray) -> np.ndarray:
     return cells
 
 
+def _slice_of(cell: np.ndarray, slices: int) -> np.ndarray:
+    """Cells are minima, so small numbers: mixed first, they spread evenly."""
+    return ((mix(cell ^ np.uint64(_THIRD)) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)
+
+
 def _without(batches: Iterator[pa.RecordBatch], keys: KeyFilter | None) -> Iterator[pa.RecordBatch]:
     """Rows whose column ``key`` does not pass; a filter here saves a second Python worker beside the task's own."""
     for batch in batches:
@@ -65,7 +70,7 @@ def _sketched(slices: int, skip: KeyFilter | None):
             known = np.zeros(len(cell), bool)
             known[2:] = cell[2:] == cell[:-2]
             yield pa.RecordBatch.from_arrays([
-                pa.array(((cell >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)),
+                pa.array(_slice_of(cell, slices)),
                 pa.array(cell.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(known),
             ], ["slice", "cell", "doc_id", "known"])
     return run
