@@ -1,10 +1,11 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search.
 
-Items are partitioned by size, each class a square root of two wide. For a class of at most s shingles a document is
-read in windows of 2s shingles, one every s, so an item of the class lies inside one of them, however long the document
-is. If an item is contained to THRESHOLD, its Jaccard similarity with that window is 0.24 at least; item and window then
-agree in one of COORDINATES MinHash values but for two cases in a million. Items met that way are verified by exact
-containment in the shingle set of the whole document.
+Items are partitioned by size, each class twice as large as the one before. For a class of at most s shingles a document
+is read in windows of 1.5 s shingles, one every s / 2, so an item of the class lies inside one of them, however long
+the document is. If an item is contained to THRESHOLD, its Jaccard similarity with that window is 0.23 at least; item and
+window then agree in one of COORDINATES MinHash values but for four cases in a million. The minima of the larger
+windows are made of those of the smaller. Items met that way are verified by exact containment in the shingle set of the
+whole document.
 """
 
 from __future__ import annotations
@@ -25,16 +26,58 @@ COORDINATES = 48
 ITEM_BYTES = 16 << 20  # text of the items that are searched for in one pass over the documents
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_TIMES, _PLUS = (_SEEDS[:COORDINATES] | np.uint64(1))[:, None], _SEEDS[COORDINATES:][:, None]
-_PLACE = mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1))[:, None]
+_TIMES = ((_SEEDS[:COORDINATES] >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+_PLUS = (_SEEDS[COORDINATES:] >> np.uint64(32)).astype(np.uint32)
+_LEAST, _STRETCH, _TABLE_BITS = 16, 8192, 20
 
 
 def class_size(n: int) -> int:
     """The largest size in the class of ``n``."""
-    size = 8.0
-    while int(size) < n:
-        size *= 2 ** 0.5
-    return int(size)
+    size = _LEAST
+    while size < n:
+        size *= 2
+    return size
+
+
+def _values(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle (rows) under each hash function (columns)."""
+    return (shingles >> np.uint64(32)).astype(np.uint32)[:, None] * _TIMES + _PLUS
+
+
+def _joined(blocks: np.ndarray) -> np.ndarray:
+    """Minima of blocks of twice the size."""
+    if len(blocks) % 2:
+        blocks = np.concatenate([blocks, blocks[-1:]])
+    return np.minimum(blocks[0::2], blocks[1::2])
+
+
+class _Postings:
+    """Items by (coordinate, value); a small table tells most values that no item has."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]]):
+        keys = np.concatenate([k for k, _ in rows])
+        places = np.concatenate([np.full(len(k), p) for k, p in rows])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)
+
+    def met(self, keys: np.ndarray) -> set[int]:
+        keys = np.unique(keys)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        return {int(p) for a, b in zip(low, high, strict=True) for p in self.places[a:b]}
+
+    def met_by(self, minima: np.ndarray) -> set[int]:
+        row, coordinate = np.nonzero(self.table[self._slot(minima)])
+        return self.met(_keys(minima[row, coordinate], coordinate)) if len(row) else set()
+
+
+def _keys(values: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
+    return coordinates.astype(np.uint64) << np.uint64(32) | values.astype(np.uint64)
 
 
 class Items:
@@ -43,7 +86,7 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, bytes]]):
         hasher = WordHasher()
         self.ids, self.sets = [], []
-        postings: dict[int, list[tuple[np.ndarray, int]]] = {}
+        classes: dict[int, list[tuple[np.ndarray, int]]] = {}
         direct: list[tuple[np.ndarray, int]] = []
         for item_id, text in rows:
             hashes = hasher(text.lower().split())
@@ -53,48 +96,37 @@ class Items:
             self.ids.append(item_id)
             self.sets.append(found)
             length = max(len(hashes) - SHINGLE + 1, 0)
-            if len(found) < max(4, 0.9 * length):
+            if len(found) < max(_LEAST // 2, 0.9 * length):
                 # very small, or repeating itself: too little for MinHash, so each shingle is a posting
                 direct.append((found, place))
             else:
-                keys = mix((_TIMES * found[None, :] + _PLUS).min(axis=1, keepdims=True) ^ _PLACE)[:, 0]
-                postings.setdefault(class_size(length), []).append((keys, place))
-        self.classes = {size: self._sorted(own) for size, own in postings.items()}
-        self.direct = self._sorted(direct) if direct else None
+                classes.setdefault(class_size(length), []).append(
+                    (_keys(_values(found).min(axis=0), np.arange(COORDINATES)), place))
+        self.classes = {size: _Postings(classes[size]) for size in sorted(classes)}
+        self.direct = _Postings(direct) if direct else None
 
-    @staticmethod
-    def _sorted(postings: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in postings])
-        places = np.concatenate([np.full(len(k), p) for k, p in postings])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], places[order]
-
-    def candidates(self, shingles: np.ndarray, found: np.ndarray) -> set[int]:
+    def candidates(self, shingles: np.ndarray) -> set[int]:
         """Items that agree with a window of ``shingles`` (in order) or share a shingle that is a posting."""
         met: set[int] = set()
-        for size, postings in self.classes.items():
-            # long documents in stretches, each with the window that reaches into the next
-            stretch = size * max(1, 4096 // size)
-            for at in range(0, len(shingles), stretch):
-                part = shingles[at:at + stretch + size]
-                lowest = np.minimum.reduceat(_TIMES * part[None, :] + _PLUS, np.arange(0, len(part), size), axis=1)
-                if lowest.shape[1] > 1:
-                    lowest = np.minimum(lowest[:, :-1], lowest[:, 1:])
-                met |= self._met(mix(lowest ^ _PLACE).reshape(-1), postings)
         if self.direct:
-            met |= self._met(found, self.direct)
+            met |= self.direct.met(shingles)
+        reach = max(self.classes, default=0)
+        for at in range(0, len(shingles) if self.classes else 0, _STRETCH):
+            # long documents in stretches, each with the longest item that reaches into the next
+            part = shingles[at:at + _STRETCH + reach]
+            size = _LEAST
+            part = np.concatenate([part, np.full(-len(part) % (size // 2), part[-1])])
+            blocks = _values(part).reshape(-1, size // 2, COORDINATES).min(axis=1)
+            for wanted, postings in self.classes.items():
+                while size < wanted:
+                    blocks, size = _joined(blocks), 2 * size
+                if len(blocks) > 2:
+                    minima = np.minimum(np.minimum(blocks[:-2], blocks[1:-1]), blocks[2:])
+                else:
+                    minima = blocks.min(axis=0, keepdims=True)
+                met |= postings.met_by(minima)
         return met
 
-    @staticmethod
-    def _met(keys: np.ndarray, postings: tuple[np.ndarray, np.ndarray]) -> set[int]:
-        known, places = postings
-        low = np.searchsorted(known, keys, "left")
-        hit = known[np.minimum(low, len(known) - 1)] == keys
-        if not hit.any():
-            return set()
-        low, high = low[hit], np.searchsorted(known, keys[hit], "right")
-        return {int(p) for a, b in set(zip(low.tolist(), high.tolist(), strict=True)) for p in places[a:b]}
-
 
 def _searched(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +135,11 @@ def _searched(shared, threshold: float):
             rows: list[tuple] = []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 hashes = hasher(text.lower().split())
-                found = shingle_set(hashes, SHINGLE)
-                for place in items.candidates(runs(hashes, SHINGLE), found):
+                # of a document with fewer words, the one shingle it counts as
+                in_order = runs(hashes, SHINGLE) if len(hashes) >= SHINGLE else shingle_set(hashes, SHINGLE)
+                places = items.candidates(in_order)
+                found = np.unique(in_order) if places else in_order
+                for place in sorted(places):
                     own = items.sets[place]
                     common = int(np.isin(own, found, assume_unique=True).sum())
                     if common >= threshold * len(own):
