@@ -97,17 +97,19 @@ def _bundled(items: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     """Open sequences with the largest of ``items``: (the items that open them, the others)."""
-    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    total = sum(length * n for length, n in counts.items())
-    over_half = sum(n for length, n in counts.items() if 2 * length > capacity)
+    classes = items.groupBy("length").agg(F.count("*").alias("n"), F.min("item").alias("first"))
+    counts = {r["length"]: r for r in classes.collect()}  # at most ``capacity`` rows
+    total = sum(length * r["n"] for length, r in counts.items())
+    over_half = sum(r["n"] for length, r in counts.items() if 2 * length > capacity)
     need, border, share = max(-(-total // capacity), over_half), capacity + 1, 1.0
     for length in sorted(counts, reverse=True):
+        n = counts[length]["n"]
+        border, share = length, min(1.0, max(0.0, need - 2 * need ** 0.5) / n) if need < n else 1.0
+        need -= n
         if need <= 0:
             break
-        border, share = length, min(1.0, need / counts[length])
-        need -= counts[length]
-    # of equal lengths at the border, a share chosen by hash; never none
-    lucky = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    # of equal lengths at the border a share chosen by hash, rather too few than too many, and one at least
+    lucky = (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20))) | (F.col("item") == counts[border]["first"])
     opens = (F.col("length") > border) | ((F.col("length") == border) & lucky)
     return items.where(opens), items.where(~opens)
 
@@ -130,8 +132,6 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             new = opening.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap"))
             # gaps that fit nothing now never will
             gaps = new.where("gap > 0")
-            if not placed or not items.take(1):
-                break
         rows = items.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("item").alias("id")).union(
             gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id")))
         order = ("size", "kind", "id")
