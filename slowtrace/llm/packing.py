@@ -104,11 +104,11 @@ def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     need, border, share = max(-(-total // capacity), over_half), capacity + 1, 1.0
     for length in sorted(counts, reverse=True):
         n = counts[length]["n"]
-        border, share = length, min(1.0, max(0.0, need - 2 * need ** 0.5) / n) if need < n else 1.0
+        border, share = length, min(1.0, need / n)
         need -= n
         if need <= 0:
             break
-    # of equal lengths at the border a share chosen by hash, rather too few than too many, and one at least
+    # of equal lengths at the border a share chosen by hash, and one at least
     lucky = (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20))) | (F.col("item") == counts[border]["first"])
     opens = (F.col("length") > border) | ((F.col("length") == border) & lucky)
     return items.where(opens), items.where(~opens)
