@@ -292,7 +292,7 @@ def test_packing(docs, rows, odd, none):
     assert packing.pack(packing.token_pieces(none, VOCABULARY)).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[1] * 3000, [random.Random(1).randrange(1, 1024) for _ in range(500)]])
+@pytest.mark.parametrize("lengths", [[1] * 3000, random.Random(1).choices(range(1, 1024), k=500)])
 def test_best_fit_needs_few(spark, lengths):
     df = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
     placed = {r["item"]: (r["sequence_id"], r["offset"]) for r in packing.best_fit(df).collect()}
