@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slowtrace.functions.scalars import histogram_columns, log10_bucket
 from slowtrace.functions.timebase import NS_PER_S, floor_to
 from slowtrace.operators.intervals import split_by_bucket
+from slowtrace.operators.keys import join_groups
 
 
 def io_stats(
@@ -127,4 +128,4 @@ def merge_pending(target: DataFrame, staging: DataFrame, keys: Sequence[str]) ->
 
 def new_keys(staging: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Staged rows whose key the target does not have."""
-    return staging.join(target.select(*keys), list(keys), "left_anti")
+    return join_groups(staging, target.select(*keys), keys, "left_anti")

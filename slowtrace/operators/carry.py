@@ -8,16 +8,19 @@ over the cells of the key and joined back on the same ``(key, cell)`` partitioni
 The big side is shuffled once, and no task sees more than one cell of a hot key.
 
 Rows of one key must follow the cells: the cell may not decrease along the order.
+The parts of a key travel as one struct: a join on ``=`` then pairs NULL with NULL, as the
+plain window does, and stays on the partitioning of the window.
 ``cell=None`` means the groups are known to be small and asks for the plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CELL = "__cell"
+_KEY = "__key"
 _HERE, _OVER = "__here_", "__over_"
 
 
@@ -34,8 +37,20 @@ def _edge(source: Column, order: Sequence[str], following: bool) -> Column:
     return pick(source, _order_key(order))
 
 
+def _cut(df: DataFrame, keys: Sequence[str], cell: Column, used: Iterable[str]) -> DataFrame:
+    """``df`` with its cell, and with ``keys`` moved into one struct that is never NULL itself.
+
+    Keys that are ``used`` as plain columns too stay beside it.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    moved = set(keys).difference(used)
+    return df.select("*", cell.alias(_CELL), key.alias(_KEY)).drop(*moved)
+
+
 def _joined(inside: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return inside.join(carry, [*keys, _CELL], "left")
+    joined = inside.join(carry, [_KEY, _CELL], "left")
+    moved = [k for k in keys if k not in joined.columns]
+    return joined.select("*", *[F.col(_KEY).getField(k).alias(k) for k in moved])
 
 
 def with_neighbours(
@@ -57,21 +72,21 @@ def with_neighbours(
     if cell is None:
         window = Window.partitionBy(*keys).orderBy(*_ordering(order, False))
         return df.select("*", *[neighbour(window, c, new).alias(new) for new, c in taken.items()])
-    cut = df.withColumn(_CELL, cell)
-    within = Window.partitionBy(*keys, _CELL).orderBy(*_ordering(order, False))
+    cut = _cut(df, keys, cell, {*order, *taken.values()})
+    within = Window.partitionBy(_KEY, _CELL).orderBy(*_ordering(order, False))
     inside = cut.select(
         "*",
         *[neighbour(within, c, new).alias(_HERE + new) for new, c in taken.items()],
         F.lag(F.lit(True)).over(within).alias("__has_previous"),
         F.lead(F.lit(True)).over(within).alias("__has_following"),
     )
-    edges = cut.groupBy(*keys, _CELL).agg(
+    edges = cut.groupBy(_KEY, _CELL).agg(
         *[_edge(F.col(c), order, False).alias(_OVER + new) for new, c in previous.items()],
         *[_edge(F.col(c), order, True).alias(_OVER + new) for new, c in following.items()],
     )
-    across = Window.partitionBy(*keys).orderBy(_CELL)
+    across = Window.partitionBy(_KEY).orderBy(_CELL)
     carry = edges.select(
-        *keys, _CELL, *[neighbour(across, _OVER + new, new).alias(_OVER + new) for new in taken]
+        _KEY, _CELL, *[neighbour(across, _OVER + new, new).alias(_OVER + new) for new in taken]
     )
 
     def chosen(new: str) -> Column:
@@ -97,8 +112,8 @@ def with_last_known(
         return df.select(
             "*", *[F.last(c, ignorenulls=True).over(window).alias(new) for new, c in take.items()]
         )
-    cut = df.withColumn(_CELL, cell)
-    within = Window.partitionBy(*keys, _CELL).orderBy(*_ordering(order, following)).rowsBetween(
+    cut = _cut(df, keys, cell, {*order, *take.values()})
+    within = Window.partitionBy(_KEY, _CELL).orderBy(*_ordering(order, following)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inside = cut.select(
@@ -108,12 +123,12 @@ def with_last_known(
     known = {
         new: pick(F.col(c), F.when(F.col(c).isNotNull(), _order_key(order))) for new, c in take.items()
     }
-    edges = cut.groupBy(*keys, _CELL).agg(*[agg.alias(_OVER + new) for new, agg in known.items()])
-    across = Window.partitionBy(*keys).orderBy(*_ordering([_CELL], following)).rowsBetween(
+    edges = cut.groupBy(_KEY, _CELL).agg(*[agg.alias(_OVER + new) for new, agg in known.items()])
+    across = Window.partitionBy(_KEY).orderBy(*_ordering([_CELL], following)).rowsBetween(
         Window.unboundedPreceding, -1
     )
     carry = edges.select(
-        *keys,
+        _KEY,
         _CELL,
         *[F.last(_OVER + new, ignorenulls=True).over(across).alias(_OVER + new) for new in take],
     )
@@ -145,19 +160,19 @@ def with_running_sum(
             *[F.coalesce(F.sum(c).over(window), F.lit(0)).alias(new) for new, c in sums.items()],
             *[F.sum(c).over(plain).alias(new) for new, c in totals.items()],
         )
-    cut = df.withColumn(_CELL, cell)
-    within = Window.partitionBy(*keys, _CELL).orderBy(*_ordering(order, False)).rowsBetween(
+    cut = _cut(df, keys, cell, {*order, *sums.values(), *totals.values()})
+    within = Window.partitionBy(_KEY, _CELL).orderBy(*_ordering(order, False)).rowsBetween(
         Window.unboundedPreceding, last
     )
     inside = cut.select("*", *[F.sum(c).over(within).alias(_HERE + new) for new, c in sums.items()])
-    edges = cut.groupBy(*keys, _CELL).agg(
+    edges = cut.groupBy(_KEY, _CELL).agg(
         *[F.sum(c).alias(_OVER + new) for new, c in sums.items()],
         *[F.sum(c).alias(_OVER + new) for new, c in totals.items()],
     )
-    across = Window.partitionBy(*keys)
+    across = Window.partitionBy(_KEY)
     before = across.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(
-        *keys,
+        _KEY,
         _CELL,
         *[F.sum(_OVER + new).over(before).alias(_OVER + new) for new in sums],
         *[F.sum(_OVER + new).over(across).alias(new) for new in totals],

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranking import avg_rank, quantile
 
 SERIES = ("series_id",)
@@ -72,7 +73,7 @@ def active_series(
 ) -> DataFrame:
     """All points of the series whose statistic reaches the threshold."""
     chosen = series_stat(points, stat, keys, value).filter(F.col("stat") >= F.lit(threshold))
-    return points.join(chosen.select(*keys), list(keys), "left_semi")
+    return join_groups(points, chosen.select(*keys), keys, "left_semi")
 
 
 def histogram2d(

@@ -16,6 +16,7 @@ from slowtrace.functions.timebase import NS_PER_S, floor_div, floor_to
 from slowtrace.operators.accounting import call_times
 from slowtrace.operators.carry import with_last_known, with_neighbours, with_running_sum
 from slowtrace.operators.intervals import open_events, pair_events, split_by_bucket
+from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranges import explode_range, time_cell
 from slowtrace.session import settle
 
@@ -99,11 +100,8 @@ def _poll_file_wait(
         .agg(F.max("ts").alias("__since"))
     )
     still = open_events(moves, keys, "poll_start", "poll_end", order=_ORDER).withColumnRenamed("start", "__start")
-    waiting = (
-        registered.filter(F.col("__in").isNull())
-        .groupBy(*keys, *file)
-        .agg(F.max("ts").alias("__since"))
-        .join(still, keys)
+    waiting = join_groups(
+        registered.filter(F.col("__in").isNull()).groupBy(*keys, *file).agg(F.max("ts").alias("__since")), still, keys
     )
     taken = taken.unionByName(waiting, allowMissingColumns=True)
     waits = taken.select(
@@ -330,8 +328,7 @@ def open_state(
         events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER, cell_width=cell_width
     ).groupBy("pid", "tid").agg(F.max("end").alias("__ended"))
     waiting = (
-        events.filter(F.col("kind") == "poll_register")
-        .join(ended, ["pid", "tid"], "left")
+        join_groups(events.filter(F.col("kind") == "poll_register"), ended, ["pid", "tid"], "left")
         .filter(F.col("__ended").isNull() | (F.col("ts") > F.col("__ended")))
         .select("pid", "tid", *file)
         .distinct()

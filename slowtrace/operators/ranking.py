@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slowtrace.operators.carry import with_running_sum
+from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranges import value_cell
 from slowtrace.session import settle
 
@@ -37,7 +38,7 @@ def avg_rank(
     ranks = value_positions(df, keys, value, resolution).select(
         *keys, value, (F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias(out)
     )
-    return df.join(ranks, [*keys, value], "left")
+    return join_groups(df, ranks, [*keys, value], "left")
 
 
 _COARSE = 64
@@ -85,7 +86,7 @@ def quantile(
         (F.col("__below") <= high) & (low < F.col("__below") + F.col("__n"))
     )
     wanted = settle(wanted.select(*keys, "__part", "__below", "__exact"))
-    inside = cells.join(wanted, [*keys, "__part"])
+    inside = join_groups(cells, wanted, [*keys, "__part"])
     ordered = value_positions(inside, [*keys, "__part", "__below", "__exact"], value, _COARSE * 4096)
     first = F.col("__below") + F.col("below")
 

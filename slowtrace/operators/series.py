@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.timebase import floor_div
 from slowtrace.operators.carry import with_neighbours
+from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranges import explode_range, time_cell
 
 SERIES = ("series_id",)
@@ -59,7 +60,7 @@ def _calendar(
         low, high = F.least(low, F.lit(interval[0])), F.greatest(high, F.lit(interval[1])) - F.lit(1)
     bounds = points.groupBy(*frame).agg(low.alias("__lo"), high.alias("__hi"))
     if frame:
-        return known.join(bounds, list(frame)), F.col("__lo"), F.col("__hi")
+        return join_groups(known, bounds, frame), F.col("__lo"), F.col("__hi")
     # as columns of their own: each bound is one subquery however often it is used later
     bounded = known.withColumns({c: bounds.select(c).scalar() for c in ("__lo", "__hi")})
     return bounded, F.col("__lo"), F.col("__hi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.timebase import epoch_us
 from slowtrace.operators.carry import with_neighbours
+from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranges import time_cell
 
 US_PER_HOUR = 3_600_000_000
@@ -73,7 +74,7 @@ def device_share(
     own = samples.groupBy(epoch, device, *thread_keys).agg(F.sum(amount).alias("own"))
     totals = own.groupBy(epoch, device).agg(F.sum("own").alias("device_total"))
     share = F.coalesce(F.try_divide(F.col("own").cast("double"), F.col("device_total").cast("double")), F.lit(0.0))
-    return own.join(totals, [epoch, device]).withColumn("share", share)
+    return join_groups(own, totals, [epoch, device]).withColumn("share", share)
 
 
 def global_io_share(
@@ -87,7 +88,7 @@ def global_io_share(
     own = samples.groupBy(epoch, device, *thread_keys).agg(F.sum(amount).alias("own"))
     totals = own.groupBy(epoch).agg(F.sum("own").alias("total"))
     share = F.try_divide(F.col("own").cast("double"), F.col("total").cast("double"))
-    return own.join(totals, [epoch]).withColumn("share", share)
+    return join_groups(own, totals, [epoch]).withColumn("share", share)
 
 
 def device_totals(samples: DataFrame, device: str = "device", epoch: str = "epoch_s", amount: str = "sector_cnt") -> DataFrame:

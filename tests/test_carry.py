@@ -10,12 +10,13 @@ from slowtrace.operators.ranges import explode_range, time_cell, value_cell
 from slowtrace.operators.ranking import avg_rank, quantile
 
 
-@pytest.fixture(scope="module")
-def log(spark):
+@pytest.fixture(scope="module", params=[False, True], ids=["keys", "null_key"])
+def log(spark, request):
     rnd = random.Random(7)
     data = []
     for i in range(1500):
         key = 0 if rnd.random() < 0.34 else rnd.randint(1, 12)
+        key = None if request.param and key == 5 else key
         data.append((key, rnd.randint(-5000, 100_000), i, rnd.randint(0, 9), rnd.choice([None, rnd.randint(0, 50)])))
     return spark.createDataFrame(data, "k int, t long, seq long, v long, maybe long").cache()
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from helpers import rows
 from slowtrace.functions import addresses, scalars, timebase
 from slowtrace.operators import accounting, intervals as iv, latency, multiplex, relations, series
+from slowtrace.operators.correlate import active_series
 from slowtrace.operators.discovery import ALWAYS, discover
+from slowtrace.operators.ranking import avg_rank, quantile
 from slowtrace.operators.shares import device_share, taskstats_view
 
 S = 1_000_000_000
@@ -270,3 +272,19 @@ def test_discovery_crosses_socket_peers(spark):
     tracked, registered = discover(acc, spark.createDataFrame([(1,)], "pid long"), peers)
     assert {r.pid: r.discovered_at for r in tracked.collect()} == {1: ALWAYS, 2: 12}
     assert rows(registered) == [("s1", 10), ("s2", 10)]
+
+
+def test_null_keys_are_groups_like_any_other(spark):
+    log = spark.createDataFrame([(None, "start", 5), (None, "end", 25), (1, "start", 6), (1, "end", 30)], "k int, kind string, ts long")
+    for width in (None, 10):
+        pairs = iv.pair_events(log, ["k"], "start", "end", cell_width=width).collect()
+        assert {(r["k"], r["start"], r["end"]) for r in pairs} == {(None, 5, 25), (1, 6, 30)}
+    samples = spark.createDataFrame([(1, None, 1, 1, 30), (1, None, 1, 2, 10), (1, 7, 1, 1, 5)],
+                                    "epoch_s long, device int, pid int, tid int, sector_cnt long")
+    assert {(r["device"], r["tid"], r["share"]) for r in device_share(samples).collect()} == {(None, 1, 0.75), (None, 2, 0.25), (7, 1, 1.0)}
+    points = spark.createDataFrame([(None, float(v)) for v in (1, 2, 9)] + [("a", 4.0)], "s string, value double")
+    assert {(r["s"], r["quantile"]) for r in quantile(points, ["s"], "value", 0.5).collect()} == {(None, 2.0), ("a", 4.0)}
+    assert active_series(points, "max", 5.0, ["s"]).count() == 3
+    ranked = avg_rank(points, ["s"], "value").collect()
+    assert {(r["s"], r["value"], r["rank"]) for r in ranked} == {(None, 1.0, 1.0), (None, 2.0, 2.0), (None, 9.0, 3.0), ("a", 4.0, 1.0)}
+    assert accounting.new_keys(points.select("s").distinct(), points.where("s IS NULL"), ["s"]).collect()[0]["s"] == "a"
