@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slowtrace.functions.addresses import render_inet, socket_context
 from slowtrace.functions.labels import series_id
 from slowtrace.functions.scalars import FUTEX_WAIT, FUTEX_WAKE, normalize_futex_op
-from slowtrace.functions.timebase import NS_PER_S, ns_to_timestamp
+from slowtrace.functions.timebase import NS_PER_S, boot_to_epoch, ns_to_timestamp
 from slowtrace.operators import accounting, multiplex
 from slowtrace.operators.correlate import correlate, top_k
-from slowtrace.operators.intervals import pair_events
+from slowtrace.operators.intervals import open_events, pair_events
 from slowtrace.operators.latency import response_percentiles_hdr, throughput
 from slowtrace.operators.relations import peer_map
 from slowtrace.operators.series import dedupe_first, derive_rates
@@ -30,6 +30,8 @@ _FILE = ["fs_magic", "device_id", "inode_id"]
 class RawLogs:
     """Event logs of one run; times in boot nanoseconds. Logs that are missing are skipped.
 
+    Task snapshots may also come with ``ts`` as a timestamp, which is taken as it is.
+
     ``calls`` and ``futex`` have ``kind`` start/end by thread, ``block_io`` by request;
     ``futex`` has ``op`` and ``ret``, ``muxio`` the events of ``operators.multiplex``.
     """
@@ -44,6 +46,17 @@ class RawLogs:
     identifiers: DataFrame | None = None
 
 
+def _calls(events: DataFrame, payload: list[str], horizon: int | None) -> DataFrame:
+    """Calls by thread; with a ``horizon`` also those still open at the end of the log, their ``end`` NULL."""
+    order = ["ts", "seq"]
+    done = pair_events(events, _THREAD, "start", "end", order=order, payload=payload)
+    if horizon is None:
+        return done
+    return done.unionByName(
+        open_events(events, _THREAD, "start", "end", order=order, payload=payload), allowMissingColumns=True
+    )
+
+
 def build_tables(logs: RawLogs, boot_offset_ns: int = 0, horizon: int | None = None) -> dict[str, DataFrame]:
     """Every table of the store the given logs can fill."""
     tables: dict[str, DataFrame] = {}
@@ -53,15 +66,15 @@ def build_tables(logs: RawLogs, boot_offset_ns: int = 0, horizon: int | None = N
         return stats.withColumn("ts_s", ns_to_timestamp(F.col("bucket") + F.lit(boot_offset_ns))).drop("bucket")
 
     if logs.taskstats is not None:
-        tables["taskstats"] = logs.taskstats
+        boot = dict(logs.taskstats.dtypes)["ts"] in ("bigint", "int")
+        shifted = ns_to_timestamp(boot_to_epoch(F.col("ts"), boot_offset_ns))
+        tables["taskstats"] = logs.taskstats.withColumn("ts", shifted) if boot else logs.taskstats
     if logs.calls is not None:
-        done = pair_events(logs.calls, _THREAD, "start", "end", order=["ts", "seq"], payload=[*_FILE, "op"])
+        done = _calls(logs.calls, [*_FILE, "op"], horizon)
         tables["vfs"] = stamped(accounting.call_stats(done, [*_THREAD, *_FILE, "op"], NS_PER_S, horizon))
     if logs.futex is not None:
         known = logs.futex.withColumn("op", normalize_futex_op(F.col("op"))).filter(F.col("op").isNotNull())
-        waits = pair_events(
-            known.filter(F.col("op") == FUTEX_WAIT), _THREAD, "start", "end", order=["ts", "seq"], payload=_LOCK
-        )
+        waits = _calls(known.filter(F.col("op") == FUTEX_WAIT), _LOCK, horizon)
         wakes = known.filter((F.col("op") == FUTEX_WAKE) & (F.col("kind") == "end"))
         tables["futex_wait"] = stamped(accounting.call_stats(waits, [*_THREAD, *_LOCK], NS_PER_S, horizon))
         tables["futex_wake"] = stamped(accounting.wake_stats(wakes, [*_THREAD, *_LOCK], NS_PER_S))
@@ -85,10 +98,13 @@ def build_tables(logs: RawLogs, boot_offset_ns: int = 0, horizon: int | None = N
 
 
 def store_run(
-    spark: SparkSession, logs: RawLogs, path: str, run_id: str, boot_offset_ns: int = 0
+    spark: SparkSession, logs: RawLogs, path: str, run_id: str, boot_offset_ns: int = 0, horizon: int | None = None
 ) -> list[str]:
-    """Account the logs of a run, store the tables and register them as views."""
-    tables = build_tables(logs, boot_offset_ns)
+    """Account the logs of a run, store the tables and register them as views.
+
+    With a ``horizon`` (boot ns, the end of the log) open calls count up to it.
+    """
+    tables = build_tables(logs, boot_offset_ns, horizon)
     store.write_store(tables, path, run_id)
     return store.register_views(spark, path, list(tables), run_id)
 

@@ -54,7 +54,10 @@ def _partitioned(table: str) -> T.StructType:
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table with its partition columns; filters on them prune folders."""
+    """A table with its partition columns; filters on them prune folders. One never written has no rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _partitioned(table))
     return spark.read.schema(_partitioned(table)).parquet(f"{path}/{table}")
 
 

@@ -29,8 +29,9 @@ def discover_batches(
 
     Each batch writes its own version of the state from the previous one, so running a
     batch again gives the same version. Batches must come in time order, as file and log
-    sources deliver them. ``exits(pid, exited_at)``: processes that ended leave the
-    tracked set.
+    sources deliver them. ``exits(pid, exited_at)``: an exit takes effect at the end of the
+    batch whose time reaches it; until then the process acts. Exits before the process was
+    found belong to an earlier process of that number.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +45,10 @@ def discover_batches(
             fresh = found.join(known.select("pid"), ["pid"], "left_anti")
             tracked = known.unionByName(fresh)
             if exits is not None:
-                gone = tracked.join(exits, ["pid"]).filter(F.col("exited_at") >= F.col("discovered_at"))
+                reached = accesses.agg(F.max("ts")).scalar()
+                gone = tracked.join(exits.filter(F.col("exited_at") <= reached), ["pid"]).filter(
+                    F.col("exited_at") >= F.col("discovered_at")
+                )
                 tracked = tracked.join(gone.select("pid"), ["pid"], "left_anti")
             now_tracked, now_registered = _version(path, batch_id)
             tracked.write.mode("overwrite").parquet(now_tracked)

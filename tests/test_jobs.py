@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from slowtrace.plans.jobs import RawLogs, request_report, store_run, suspects, tree_rates
+from slowtrace.sources.store import register_views
 from test_sources import put
 
 S = 1_000_000_000
@@ -51,6 +52,23 @@ def test_raw_logs_to_views(spark, tmp_path):
         JOIN socket_map p ON p.sock1_inode_id = m.inode_id""") == [(300, "127.0.0.1", 8080, 80, "AF_INET", 701)]
 
 
+
+def test_open_calls_boot_time_snapshots_and_missing_tables(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [("start", 100, 0, 1, 11, 3, 0, 700, 0), ("end", 300, 1, 1, 11, None, None, None, None),
+         ("start", S - 50, 2, 1, 11, 3, 0, 701, 0)],
+        "kind string, ts long, seq long, pid long, tid long, fs_magic long, device_id long, inode_id long, op int",
+    )
+    snapshots = spark.createDataFrame([(2 * S, 1, 11)], "ts long, pid long, tid long")
+    path = str(tmp_path / "store")
+    store_run(spark, RawLogs(calls=calls, taskstats=snapshots), path, "r1", boot_offset_ns=S, horizon=S + 70)
+    got = rows(spark.sql("SELECT CAST(ts_s AS STRING), inode_id, total_time, total_requests FROM vfs"))
+    assert set(got) == {("1970-01-01 00:00:01", 700, 200, 1), ("1970-01-01 00:00:01", 701, 50, None),
+                        ("1970-01-01 00:00:02", 701, 70, None)}
+    assert rows(spark.sql("SELECT CAST(ts AS STRING) FROM taskstats")) == [("1970-01-01 00:00:03",)]
+    assert "futex_wait" in register_views(spark, path) and spark.table("futex_wait").isEmpty()
+
+
 def test_metric_tree_to_suspects(spark, tmp_path):
     root = str(tmp_path)
     busy = [0, 100, 150, 450, 1250]

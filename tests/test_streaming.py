@@ -98,14 +98,17 @@ def test_discovery_grows_over_batches_and_exits_leave(spark, tmp_path):
     discovery.start_state(spark, state, spark.createDataFrame([(1,)], "pid long"))
     exits = spark.createDataFrame([(2, 50)], "pid long, exited_at long")
 
-    def run(ex=None):
-        return drain_batches(read_events_stream(spark, src, schema), discovery.discover_batches(state, exits=ex), ck)
+    def run():
+        return drain_batches(read_events_stream(spark, src, schema), discovery.discover_batches(state, exits=exits), ck)
 
     put(spark, src, [(1, "p", 10), (2, "p", 20), (3, "q", 21)], schema)
     last = run()
     assert rows(discovery.tracked_at(spark, state, last), "pid") == [(1,), (2,)]
     put(spark, src, [(2, "q", 30), (3, "q", 31)], schema)
-    last = run(exits)
+    last = run()
+    assert rows(discovery.tracked_at(spark, state, last), "pid", "via") == [(1, None), (2, "p"), (3, "q")]
+    put(spark, src, [(1, "r", 60)], schema)
+    last = run()
     assert rows(discovery.tracked_at(spark, state, last), "pid", "via") == [(1, None), (3, "q")]
 
 
