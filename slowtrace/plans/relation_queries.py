@@ -144,9 +144,9 @@ def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j13_enrich_sockets", f"""WITH {EV}, consts AS ({_CONSTS}), waits AS (
-  SELECT event_id, user_id AS inode_id, cents AS total_time FROM ev
-), ctx AS (SELECT c_custkey AS inode_id, c_nationkey AS family, c_nationkey % 5 AS type, c_nationkey AS protocol FROM customer WHERE c_custkey % 2 = 0
-), inet AS (SELECT c_custkey AS inode_id, c_name AS src_address, c_nationkey AS src_port, c_mktsegment AS dst_address, c_nationkey + 1 AS dst_port FROM customer WHERE c_custkey % 3 = 0
+  SELECT event_id, CASE WHEN event_type = 'error' THEN -user_id ELSE user_id END AS inode_id, cents AS total_time FROM ev
+), ctx AS (SELECT c_custkey AS inode_id, c_nationkey AS family, c_nationkey % 5 AS type, c_nationkey AS protocol FROM customer
+), inet AS (SELECT c_custkey AS inode_id, c_name AS src_address, c_nationkey AS src_port, c_mktsegment AS dst_address, c_nationkey + 1 AS dst_port FROM customer
 ), peers AS (SELECT DISTINCT s_suppkey AS a, s_nationkey AS b FROM supplier)
 SELECT event_id, w.inode_id, total_time, coalesce(family, -1) AS family, coalesce(f.const_name, '-') AS family_name,
   coalesce(ty.const_name, '-') AS type_name, coalesce(pr.const_name, '-') AS protocol_name,
@@ -156,12 +156,14 @@ FROM waits w LEFT JOIN ctx USING (inode_id) LEFT JOIN inet USING (inode_id) LEFT
   LEFT JOIN consts ty ON ty.const_type = 'socket_type' AND ty.value = type
   LEFT JOIN consts pr ON pr.const_type = 'family_protocol' AND pr.value = protocol""")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waits = events(spark, sf_dir).select("event_id", F.col("user_id").alias("inode_id"), F.col("cents").alias("total_time"))
+    # errors stand for waits on plain files, which have no socket
+    inode = F.when(F.col("event_type") == "error", -F.col("user_id")).otherwise(F.col("user_id"))
+    waits = events(spark, sf_dir).select("event_id", inode.alias("inode_id"), F.col("cents").alias("total_time"))
     customer, nation = table(spark, sf_dir, "customer"), F.col("c_nationkey")
-    context = customer.filter(F.col("c_custkey") % 2 == 0).select(
+    context = customer.select(
         F.col("c_custkey").alias("inode_id"), nation.alias("family"), (nation % 5).alias("type"), nation.alias("protocol")
     )
-    inet = customer.filter(F.col("c_custkey") % 3 == 0).select(
+    inet = customer.select(
         F.col("c_custkey").alias("inode_id"), F.col("c_name").alias("src_address"), nation.alias("src_port"),
         F.col("c_mktsegment").alias("dst_address"), (nation + 1).alias("dst_port"),
     )

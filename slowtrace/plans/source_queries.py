@@ -312,8 +312,8 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("w1_task_state_shares_by_process", f"WITH {_SHARES} SELECT t, tid, run_share FROM shares WHERE run_share > 0")
+@query("w1_task_state_shares_by_process", f"WITH {_SHARES} SELECT t, tid, run_share FROM shares")
 def w1_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view keyed by process and thread: reused thread ids of other processes stay apart."""
     view = taskstats_view(taskstats(spark, sf_dir), keys=("pid", "tid"), cell_us=7 * DAY)
-    return view.filter(F.col("run_share") > 0).select(timebase.epoch_us(F.col("ts")).alias("t"), "tid", "run_share")
+    return view.select(timebase.epoch_us(F.col("ts")).alias("t"), "tid", "run_share")
