@@ -166,6 +166,21 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("j4_pair_events_null_key", f"""WITH {EV}, owned AS (
+  SELECT *, CASE WHEN user_id % 10 <> 0 THEN user_id END AS owner FROM ev WHERE event_type IN ('click', 'purchase')
+), seen AS (
+  SELECT owner, event_type, t, lag(event_type) OVER w AS pk, lag(t) OVER w AS start, lag(cents) OVER w AS cents
+  FROM owned WINDOW w AS (PARTITION BY owner ORDER BY t, event_id))
+SELECT owner, start, t AS "end", cents FROM seen WHERE event_type = 'purchase' AND pk = 'click'""")
+def j4_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the users share the key NULL."""
+    owned = events(spark, sf_dir).withColumn("owner", F.when(F.col("user_id") % 10 != 0, F.col("user_id")))
+    return iv.pair_events(
+        owned, ["owner"], "click", "purchase", kind="event_type", ts="t",
+        order=["t", "event_id"], payload=["cents"], cell_width=WEEK,
+    )
+
+
 @query("j4_open_events", f"""WITH {EV}, last AS (
   SELECT user_id, arg_max(event_type, t) AS kind, max(t) AS start FROM ev
   WHERE event_type IN ('click', 'purchase') GROUP BY user_id)
@@ -319,6 +334,16 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return device_share(sector_samples(spark, sf_dir), ["tid"])
 
 
+@query("a6_device_share_null_device", f"""WITH {_SECTORS}, own AS (SELECT epoch_s, nullif(device, 1) AS device, tid, own FROM sectors), tot AS (
+  SELECT *, CAST(sum(own) OVER (PARTITION BY epoch_s, device) AS BIGINT) AS device_total FROM own)
+SELECT epoch_s, device, tid, own, device_total,
+  CASE WHEN device_total = 0 THEN 0 ELSE CAST(own AS DOUBLE) / device_total END AS share FROM tot""")
+def a6_null_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device 1 is unknown: its load is shared like that of any other."""
+    samples = sector_samples(spark, sf_dir).withColumn("device", F.when(F.col("device") != 1, F.col("device")))
+    return device_share(samples, ["tid"])
+
+
 @query("a6_device_totals", f"""WITH {_SECTORS}
 SELECT epoch_s, device, CAST(sum(own) AS BIGINT) AS device_total FROM sectors GROUP BY ALL""")
 def a6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
