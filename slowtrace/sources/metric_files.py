@@ -46,14 +46,32 @@ _COLONS = {
 }
 
 _SEPARATOR = "\u0001"
+_TIME_COLUMNS = ("epoch_s", "epoch_ms")
 _DIMENSIONS = {
     "scope": "string", "pid": "bigint", "tid": "bigint", "comm": "string", "metric_class": "string",
     "ipc_type": "string", "resource": "string", "part_seq": "bigint",
 }
 
 
+# a comma outside quotes; a quoted cell may hold commas, and "" for a quote
+_CELL_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, trimmed and without their quotes."""
+    def plain(cell: Column) -> Column:
+        trimmed = F.trim(cell)
+        quoted = trimmed.rlike('^".*"$')
+        return F.when(quoted, F.replace(F.regexp_replace(trimmed, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(trimmed)
+
+    return F.transform(F.split(line, _CELL_END, -1), plain)
+
+
 def _lines(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame, DataFrame]:
-    """Value lines, and one header row per file, of all files below ``root``."""
+    """Cells of the value lines, and one header row per file, of all files below ``root``.
+
+    The header is the line that names the time column. A file that has none fails the job.
+    """
     lines = (
         spark.read.schema("value string")
         .option("recursiveFileLookup", "true")
@@ -62,23 +80,23 @@ def _lines(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame, DataFr
         .select(F.col("_metadata.file_path").alias("file_path"), F.trim("value").alias("line"))
         .filter(F.col("line") != "")
     )
-    is_header = F.col("line").rlike("^[A-Za-z_\"]")
+    cells = lines.select("file_path", _cells(F.col("line")).alias("cells"))
+    is_header = F.arrays_overlap("cells", F.array(*[F.lit(c) for c in _TIME_COLUMNS]))
+    missing = F.raise_error(F.concat(F.lit("metric file without a header: "), "file_path"))
     headers = (
-        lines.filter(is_header)
-        .groupBy("file_path")
-        .agg(F.min("line").alias("header"))
-        .select("file_path", F.split(F.regexp_replace("header", "\"", ""), r"\s*,\s*").alias("names"))
+        cells.groupBy("file_path")
+        .agg(F.min(F.when(is_header, F.col("cells"))).alias("names"))
+        .withColumn("names", F.coalesce("names", missing.cast("array<string>")))
     )
-    return lines.filter(~is_header), headers
+    return cells.filter(~is_header), headers
 
 
 def _samples(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Lines cut by their file's header; further columns of ``files`` are kept."""
     kept = [c for c in files.columns if c != "names"]
-    cells = lines.select("file_path", F.split("line", r"\s*,\s*", -1).alias("cells"))
-    row = cells.join(files, ["file_path"]).select(
-        *kept, F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))).alias("row")
-    )
+    # a short line lacks its last values, a long one has cells without a name
+    named = F.transform("names", lambda name, i: F.get("cells", i))
+    row = lines.join(files, ["file_path"]).select(*kept, F.map_from_arrays("names", named).alias("row"))
 
     def number(name: str) -> Column:
         return F.expr(f"try_cast(try_cast(row['{name}'] as double) as bigint)")
@@ -91,7 +109,7 @@ def _samples(lines: DataFrame, files: DataFrame) -> DataFrame:
             "epoch_ms",
             F.explode("row").alias("metric", "text"),
         )
-        .filter(~F.col("metric").isin("epoch_s", "epoch_ms"))
+        .filter(~F.col("metric").isin(*_TIME_COLUMNS))
         # a missing number is NULL from here on, never NaN
         .withColumn("value", F.expr("nullif(try_cast(text as double), double('NaN'))"))
         .drop("text")

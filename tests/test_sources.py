@@ -41,6 +41,21 @@ def test_tree_becomes_points(spark, tree):
     assert {r[0] for r in rows(points, "part_seq")} == {1, 27}
 
 
+def test_cells_may_be_quoted_or_not_numbers(spark, tmp_path):
+    put(str(tmp_path), "system-metrics/thread/5/51/sched/1.csv",
+        '"epoch_ms","runtime","note"\n"1000","1","a, ""b"""\n2000,2\nnan,3,x\ninf,4,\n')
+    put(str(tmp_path), "system-metrics/thread/5/51/sched/2.csv", 'note,runtime,epoch_ms\nlate,5,3000,extra\n')
+    points = metric_files.metric_points(spark, str(tmp_path))
+    assert rows(points.filter("metric = 'runtime'"), "epoch_ms", "value") == [(1000, 1.0), (2000, 2.0), (3000, 5.0), (None, 3.0), (None, 4.0)]
+    assert points.filter("metric = 'note'").count() == 5
+
+
+def test_file_without_a_header_fails(spark, tmp_path):
+    put(str(tmp_path), "system-metrics/thread/5/51/sched/1.csv", "1000,1\n2000,2\n")
+    with pytest.raises(Exception, match="without a header"):
+        metric_files.metric_points(spark, str(tmp_path)).collect()
+
+
 def test_unexpected_path(spark, tree):
     put(tree, "system-metrics/thread/5/51/sched/notes.csv", "epoch_ms,runtime\n1,1\n")
     with pytest.raises(Exception, match="unexpected metric file path"):
@@ -148,6 +163,37 @@ def test_store_round_trip_and_merge(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM vfs WHERE inode_id = 18446635000000000000").first()[0] == 3
 
 
+def test_rows_that_come_during_a_merge_stay(spark, tmp_path):
+    path, merged = str(tmp_path / "store"), str(tmp_path / "merged")
+    store.write_store({"vfs": _vfs(spark, [(1, 0, 100, "total_time")])}, path, "r1")
+    store.write_store({"vfs_staging": _vfs(spark, [(1, 0, 7, "additional_time")])}, path, "r1")
+    store.merge_staged(spark, path, "vfs", merged)
+    store.write_store({"vfs": _vfs(spark, [(5, 0, 11, "total_time")])}, path, "r1")
+    store.write_store({"vfs_staging": _vfs(spark, [(1, 0, 3, "additional_time")])}, path, "r1")
+    store.publish_merged(spark, path, "vfs", merged)
+    seconds = F.second("ts_s").alias("second")
+    assert rows(store.read_table(spark, path, "vfs"), seconds, "total_time") == [(1, 107), (5, 11)]
+    assert rows(store.read_table(spark, path, "vfs_staging"), "additional_time") == [(3,)]
+    again = str(tmp_path / "again")
+    store.merge_staged(spark, path, "vfs", again)
+    store.publish_merged(spark, path, "vfs", again)
+    assert rows(store.read_table(spark, path, "vfs"), seconds, "total_time") == [(1, 110), (5, 11)]
+    # nothing staged: nothing changes
+    store.merge_staged(spark, path, "vfs", again)
+    store.publish_merged(spark, path, "vfs", again)
+    assert store.read_table(spark, path, "vfs").count() == 2
+
+
+def test_overwrite_replaces_the_days_it_touches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for t in (1, 2):
+        store.write_table(_vfs(spark, [(1, 0, t, "total_time"), (1, 1, t, "total_time")]), path, "vfs", "r1")
+    store.write_table(_vfs(spark, [(1, 0, 9, "total_time")]), path, "vfs", "r1", mode="overwrite")
+    assert rows(store.read_table(spark, path, "vfs"), "day", "total_time") == [
+        ("2025-04-11", 9), ("2025-04-12", 1), ("2025-04-12", 2),
+    ]
+
+
 def test_store_prunes_runs(spark, tmp_path):
     path = str(tmp_path / "store")
     store.write_store({"vfs": _vfs(spark, [(1, 0, 1, "total_time")])}, path, "r1")
