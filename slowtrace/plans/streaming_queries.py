@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slowtrace.functions.timebase import epoch_us
 from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
-    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, mux_sql, thread_wait_sql,
+    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
 )
-from slowtrace.plans.bindings import DAY, EV, HOUR, WEEK
+from slowtrace.plans.bindings import EV, HOUR, WEEK
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
@@ -21,8 +21,22 @@ from slowtrace.streaming.run import drain_batches, drained
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = read_events_stream(spark, sf_dir, _SCHEMA, glob="events.parquet")
+_ARRIVALS = 5
+
+
+def event_stream(spark: SparkSession, sf_dir: str, disorder: int = HOUR) -> DataFrame:
+    """All events, arriving in ``_ARRIVALS`` micro-batches of about equal size, up to ``disorder`` µs out of order."""
+    table = spark.read.schema(_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    late = epoch_us(F.col("ts")) + F.pmod(F.xxhash64("event_id"), F.lit(disorder)) if disorder else epoch_us(F.col("ts"))
+    arrived = table.withColumn("__at", late)
+    shares = [i / _ARRIVALS for i in range(1, _ARRIVALS)]
+    borders = arrived.agg(F.percentile_approx("__at", shares, 1000)).first()[0] or [0] * len(shares)
+    path, files = scratch_path(spark, "arrivals"), max(8, spark.sparkContext.defaultParallelism)
+    for low, high in zip([None, *borders], [*borders, None], strict=True):
+        after = F.lit(True) if low is None else F.col("__at") > low
+        until = F.lit(True) if high is None else F.col("__at") <= high
+        arrived.filter(after & until).drop("__at").repartition(files).write.mode("append").parquet(path)
+    raw = read_events_stream(spark, path, _SCHEMA, max_files_per_trigger=files)
     return raw.select(
         "event_id", F.timestamp_micros(epoch_us(F.col("ts"))).alias("ts"), epoch_us(F.col("ts")).alias("t"), "user_id", "event_type",
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
@@ -57,9 +71,9 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stats.streaming_wake_stats(wakes, ["resource"], "1 hour", "2 hours"), "wake-stats")
 
 
-def wait_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS))
-    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _KINDS.items()])
+def wait_events(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
+    ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*kinds))
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])
     return ev.select(
         (F.col("user_id") % 20).cast("string").alias("poll_id"), F.col("ts").alias("event_time"),
         F.col("t").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"),
@@ -74,9 +88,8 @@ _STOP = (
 _TEXT = "CAST(poll_id AS VARCHAR) AS poll_id, CAST({name} AS VARCHAR) AS name, bucket, total_time, {count} AS total_requests"
 
 
-def _machine(spark: SparkSession, sf_dir: str, forget_after_us: int | None = None) -> DataFrame:
-    machine = waits.streaming_waits(wait_events(spark, sf_dir), HOUR, "2 hours", forget_after_us=forget_after_us)
-    return drained(machine, "waits")
+def _machine(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
+    return drained(waits.streaming_waits(wait_events(spark, sf_dir, kinds), HOUR, "2 hours"), "waits")
 
 
 @query("t4_streaming_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
@@ -89,21 +102,24 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.file_waits(_machine(spark, sf_dir)).select("bucket", "name", "poll_id", "total_time", "total_requests")
 
 
-# A wait is cut, uncounted, at the first bucket end more than two days after its start.
-_FORGOTTEN = f"((t + {2 * DAY}) // {HOUR} + 1) * {HOUR}"
+_EXITS = {**_KINDS, "purchase": "thread_exit"}
+_EXIT_STOP = f"((SELECT max(t) // 1000 * 1000 FROM ev) - 2 * {HOUR}) // {HOUR} * {HOUR}"
 
 
-@query("t7_bounded_thread_waits", f"""WITH {mux_sql(_STOP)}, starts AS (
-  SELECT poll_id, tid, t AS s, {_FORGOTTEN} AS cut, nt, nk FROM moves WHERE kind = 'view'
+@query("t7_bounded_thread_waits", f"""WITH {EV}, moves AS (
+  SELECT user_id % 20 AS poll_id, user_id AS tid, event_type AS kind, t AS s, lead(t) OVER w AS nt, lead(event_type) OVER w AS nk
+  FROM ev WHERE event_type IN ('view', 'signup', 'purchase') AND t < {_EXIT_STOP}
+  WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)
 ), waits AS (
-  SELECT poll_id, tid, s, CASE WHEN nk = 'signup' AND nt < cut THEN nt WHEN nk = 'view' AND nt < cut THEN nt // {HOUR} * {HOUR}
-    ELSE least(cut, maxt) END AS e, CASE WHEN nk = 'signup' AND nt < cut THEN nt END AS done FROM starts, last
+  SELECT poll_id, tid, s, CASE nk WHEN 'signup' THEN nt WHEN 'purchase' THEN nt WHEN 'view' THEN nt // {HOUR} * {HOUR}
+    ELSE {_EXIT_STOP} END AS e, CASE WHEN nk = 'signup' THEN nt END AS done FROM moves WHERE kind = 'view'
 ), sl AS (SELECT *, unnest(generate_series(s // {HOUR}, e // {HOUR})) AS b FROM waits WHERE e >= s)
 SELECT b * {HOUR} AS bucket, CAST(tid AS VARCHAR) AS name, CAST(poll_id AS VARCHAR) AS poll_id,
   CAST(sum(least(e, (b + 1) * {HOUR}) - greatest(s, b * {HOUR})) AS BIGINT) AS total_time, count(*) FILTER (WHERE b = done // {HOUR}) AS total_requests
 FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL""")
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    machine = _machine(spark, sf_dir, forget_after_us=2 * DAY)
+    """Purchases end a thread: its wait ends there, uncounted, and the thread leaves the state."""
+    machine = _machine(spark, sf_dir, _EXITS)
     return waits.thread_waits(machine).select("bucket", "name", "poll_id", "total_time", "total_requests")
 
 
@@ -148,8 +164,8 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t8_streaming_discovery", _DISCOVERED)
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = event_stream(spark, sf_dir).filter(F.col("event_type") == "error")
-    stream = errors.select(F.col("user_id").alias("pid"), F.col("k").alias("resource"), F.col("t").alias("ts"))
+    """Accesses arrive in time order, as discovery needs them."""
+    stream = event_stream(spark, sf_dir, disorder=0).select(F.col("user_id").alias("pid"), F.col("k").alias("resource"), F.col("t").alias("ts"))
     path = scratch_path(spark, "discovery")
     discovery.start_state(spark, path, first_user(spark, sf_dir), "bigint")
     last = drain_batches(stream, discovery.discover_batches(path), f"{path}/checkpoint")

@@ -3,7 +3,9 @@
 Events are buffered in state until the watermark has passed their bucket, then replayed
 in time order, so late arrival within the delay does not change the result. When a
 bucket closes, waits that are still open are accounted up to its end without being
-counted. The state of a set is its open threads, its registered files and the buffer.
+counted. The state of a set is its open threads, its registered files and the buffer. It is
+bounded by events: a thread that exits (``thread_exit``) and a set that is closed (``set_closed``)
+end their open waits uncounted and are forgotten; nothing is forgotten by age.
 """
 
 from __future__ import annotations
@@ -36,9 +38,8 @@ _CURSOR = StructType([StructField("bucket", LongType()), StructField("session",
 class WaitMachine(StatefulProcessor):
     """One poll set. Times are microseconds; timers are milliseconds of event time."""
 
-    def __init__(self, bucket: int, forget_after: int | None = None):
+    def __init__(self, bucket: int):
         self._bucket = bucket
-        self._forget_after = forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -94,31 +95,34 @@ class WaitMachine(StatefulProcessor):
             if threads:
                 for file, since in files.items():
                     _add(stats, cursor, "file", file, end - max(since, session, cursor), 0)
-            if self._forget_after is not None:
-                threads = self._recent(threads, end)
-                files = self._recent(files, end)
-                session = session if threads else None
             cursor = end
         self._save(threads, files, closed, session, rest)
         if threads:
             self._handle.registerTimer((closed + self._bucket) // 1000)
         return stats
 
-    def _recent(self, known: dict, now: int) -> dict:
-        return {name: since for name, since in known.items() if now - since <= self._forget_after}
-
     def _apply(self, event, threads: dict, files: dict, session, bucket: int, stats: dict):
         ts, _, kind, thread, file = event
         if kind == "epoll_start":
             if not threads:
                 session = ts
             threads[thread] = ts
-        elif kind == "epoll_end" and thread in threads:
-            _add(stats, bucket, "thread", thread, ts - max(threads.pop(thread), bucket), 1)
+        elif kind in ("epoll_end", "thread_exit") and thread in threads:
+            done = int(kind == "epoll_end")
+            _add(stats, bucket, "thread", thread, ts - max(threads.pop(thread), bucket), done)
             if not threads:
                 for name, since in files.items():
-                    _add(stats, bucket, "file", name, ts - max(since, session, bucket), 1)
+                    _add(stats, bucket, "file", name, ts - max(since, session, bucket), done)
                 session = None
+        elif kind == "set_closed":
+            for waiting, since in threads.items():
+                _add(stats, bucket, "thread", waiting, ts - max(since, bucket), 0)
+            if threads:
+                for name, since in files.items():
+                    _add(stats, bucket, "file", name, ts - max(since, session, bucket), 0)
+            threads.clear()
+            files.clear()
+            session = None
         elif kind == "epoll_insert":
             files.setdefault(file, ts)
         elif kind == "epoll_remove" and threads and file in files:
@@ -153,21 +157,18 @@ def streaming_waits(
     bucket_us: int,
     delay: str = "2 seconds",
     event_time: str = "event_time",
-    forget_after_us: int | None = None,
 ) -> DataFrame:
     """Thread and file waits per closed bucket of every epoll set.
 
     ``events(poll_id string, event_time timestamp, ts long µs, seq, kind, thread string,
-    file string)``. With ``forget_after_us``, a thread that entered or a file that was
-    inserted longer ago than that at the end of a bucket is forgotten. This bounds the
-    state by event time where closing events get lost; it is off by default, because a
-    real wait of that length would end there too.
+    file string)``; kinds are ``epoll_start``, ``epoll_end``, ``epoll_insert``, ``epoll_remove``,
+    ``thread_exit`` and ``set_closed``. Exits are reported to each set the thread was in.
     """
     return (
         events.withWatermark(event_time, delay)
         .groupBy("poll_id")
         .transformWithStateInPandas(
-            WaitMachine(bucket_us, forget_after_us), OUTPUT, outputMode="Append", timeMode="EventTime"
+            WaitMachine(bucket_us), OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
 

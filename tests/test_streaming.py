@@ -80,6 +80,29 @@ def test_wait_machine_equals_batch_over_several_micro_batches(spark, tmp_path):
     )
 
 
+def test_exits_and_closed_sets_end_waits_uncounted(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    log = [
+        (0.1, "epoll_insert", None, "f"), (0.2, "epoll_start", "t1", None), (1.5, "thread_exit", "t1", None),
+        (4.0, "epoll_start", "t2", None), (5.25, "set_closed", None, None), (5.5, "epoll_start", "t3", None),
+        (5.75, "epoll_end", "t3", None), (60.0, "thread_exit", "t9", None),
+    ]
+    data = [("7", BASE + int(s * US), i, k, t, f) for i, (s, k, t, f) in enumerate(log)]
+    schema = "poll_id string, ts long, seq long, kind string, thread string, file string"
+    for part in (data[:2], data[2:]):
+        put(spark, src, part, schema)
+        stream = read_events_stream(spark, src, schema).withColumn("event_time", F.timestamp_micros("ts"))
+        drain_to_parquet(waits.streaming_waits(stream, US, "2 seconds"), out, ck)
+    got = spark.read.parquet(out)
+    second = ((F.col("bucket") - BASE) / US).cast("int").alias("second")
+    assert rows(waits.thread_waits(got), second, "name", "total_time", "total_requests") == [
+        (0, "t1", 800_000, 0), (1, "t1", 500_000, 0), (4, "t2", 1_000_000, 0), (5, "t2", 250_000, 0), (5, "t3", 250_000, 1),
+    ]
+    assert rows(waits.file_waits(got), second, "total_time", "total_requests") == [
+        (0, 800_000, 0), (1, 500_000, 0), (4, 1_000_000, 0), (5, 250_000, 0),
+    ]
+
+
 def test_staged_batch_run_twice_counts_once(spark, tmp_path):
     path = str(tmp_path / "staged")
     write = merge.stage_batches(path)
