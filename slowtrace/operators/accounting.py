@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.scalars import histogram_columns, log10_bucket
 from slowtrace.functions.timebase import NS_PER_S, floor_to
-from slowtrace.operators.intervals import split_by_bucket
+from slowtrace.operators.intervals import split_by_bucket, upright
 from slowtrace.operators.keys import join_groups
 
 
@@ -38,12 +38,14 @@ def io_stats(
 def _call_slices(calls: DataFrame, bucket: int, horizon: int | Column | None) -> DataFrame:
     """Slices of calls per bucket; ``counted`` marks the one that holds the completion."""
     done = F.col("end").isNotNull()
+    calls = upright(calls)
     if horizon is None:
         bounded, stop = calls.filter(done), "end"
     else:
         limit = horizon if isinstance(horizon, Column) else F.lit(horizon).cast("bigint")
         bounded, stop = calls.withColumn("__stop", F.coalesce(F.col("end"), limit)), "__stop"
-    sliced = split_by_bucket(bounded, bucket, "start", stop, touch_end=True)
+    # an open call may start after the horizon
+    sliced = split_by_bucket(bounded, bucket, "start", stop, touch_end=True, clipped=True)
     counted = done & (F.col("bucket") == floor_to(F.col("end"), bucket))
     return sliced.withColumn("counted", counted).filter("slice > 0 OR counted")
 
@@ -102,9 +104,9 @@ def pending_slices(
     ``since`` is where the previous sample stopped (or the call's start), ``until`` the
     start of the current bucket, which belongs to the completion row.
     """
-    bounded = calls.withColumn("__until", floor_to(F.col(until), bucket))
+    bounded = upright(calls, since, until).withColumn("__until", floor_to(F.col(until), bucket))
     return (
-        split_by_bucket(bounded, bucket, since, "__until")
+        split_by_bucket(bounded, bucket, since, "__until", clipped=True)
         .select("bucket", *carry, F.col("slice").alias("additional_time"))
     )
 

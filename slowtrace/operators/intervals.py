@@ -61,18 +61,30 @@ def open_events(
     return last.filter(F.col("__kind") == start_kind).drop("__kind")
 
 
+def inverted_intervals(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows whose end comes before their start. The operators below refuse them; set them aside first."""
+    return df.filter(F.col(end) < F.col(start))
+
+
+def upright(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """``df``; a row whose end comes before its start fails the job instead of vanishing."""
+    text = F.concat(F.lit("interval ends before it starts: "), F.col(start).cast("string"), F.lit(" > "), F.col(end).cast("string"))
+    return df.filter(F.when(F.col(end) < F.col(start), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+
+
 def split_by_bucket(
-    df: DataFrame, bucket: int, start: str = "start", end: str = "end", touch_end: bool = False
+    df: DataFrame, bucket: int, start: str = "start", end: str = "end", touch_end: bool = False, clipped: bool = False
 ) -> DataFrame:
     """One row per bucket an interval ``[start, end)`` covers.
 
     Adds ``bucket`` (its start), ``slice_start``, ``slice_end`` and ``slice``; the slices
     of an interval add up to ``end - start``. With ``touch_end`` the bucket that holds
-    ``end`` itself is always there, with slice 0 when ``end`` is on its boundary.
+    ``end`` itself is always there, with slice 0 when ``end`` is on its boundary. An end
+    before the start fails the job, unless ends were ``clipped``: then nothing is left of it.
     """
     reach = F.col(end) if touch_end else F.col(end) - F.lit(1)
     sliced = explode_range(
-        df.filter(F.col(end) >= F.col(start)),
+        df.filter(F.col(end) >= F.col(start)) if clipped else upright(df, start, end),
         floor_div(F.col(start), bucket),
         floor_div(reach, bucket),
         "__index",
@@ -106,7 +118,7 @@ def intersect_intervals(
 
     def spread(df: DataFrame, start: str, end: str) -> DataFrame:
         last = F.greatest(F.col(start), F.col(end) - F.lit(1))
-        return explode_range(df, floor_div(F.col(start), cell_width), floor_div(last, cell_width), "__cell")
+        return explode_range(upright(df, start, end), floor_div(F.col(start), cell_width), floor_div(last, cell_width), "__cell")
 
     start, end = F.greatest(ls, rs), F.least(le, re)
     return (
@@ -148,6 +160,7 @@ def active_at_ticks(
         rest = [c for c in requests.columns if c != start]
         requests = requests.groupBy(start).agg(F.max(F.struct(end, *[c for c in rest if c != end])).alias("r"))
         requests = requests.select(start, "r.*")
+    requests = upright(requests, start, end)
     low, high = _extent(requests, start, end)
     # as columns of their own: each bound is one subquery however often it is used below
     requests = requests.withColumns({"__origin": low, "__final": high})

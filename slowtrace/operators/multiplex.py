@@ -200,7 +200,7 @@ def _epoll_file_wait(
     sessions = settle(active_sessions(timeline, cell_width))
     done = F.col("end").isNotNull()
     stop = F.coalesce(F.col("end"), _limit(events, horizon))
-    pieces = split_by_bucket(sessions.withColumn("__stop", stop), bucket, "start", "__stop", touch_end=True)
+    pieces = split_by_bucket(sessions.withColumn("__stop", stop), bucket, "start", "__stop", touch_end=True, clipped=True)
     pieces = pieces.withColumn("closes", (done & (F.col("bucket") == floor_to(F.col("end"), bucket))).cast("bigint"))
     totals = settle(
         pieces.groupBy("poll_id", "bucket").agg(

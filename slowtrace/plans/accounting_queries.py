@@ -204,13 +204,17 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS = {"view": "epoll_start", "signup": "epoll_end", "click": "epoll_insert", "error": "epoll_remove"}
 
 
-def poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same log as plain calls: views start and signups end a poll, clicks and errors register its files.
+_POLL_KINDS = {"view": "poll_start", "signup": "poll_end", "click": "poll_register", "error": "poll_register"}
+
+
+def poll_events(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
     """Views enter and signups leave an epoll set; clicks insert and errors remove its files."""
-    return as_poll_events(events(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS)))
+    return as_poll_events(events(spark, sf_dir).filter(F.col("event_type").isin(*kinds)), kinds)
 
 
-def as_poll_events(ev: DataFrame) -> DataFrame:
-    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _KINDS.items()])
+def as_poll_events(ev: DataFrame, kinds: dict[str, str] = _KINDS) -> DataFrame:
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])
     return ev.select(
         kind.alias("kind"), F.col("t").alias("ts"), F.col("event_id").alias("seq"),
         (F.col("user_id") % 20).alias("poll_id"), F.lit(1).cast("bigint").alias("pid"), F.col("user_id").alias("tid"),
@@ -221,11 +225,11 @@ def as_poll_events(ev: DataFrame) -> DataFrame:
 _MUX_KINDS = "('view', 'signup', 'click', 'error')"
 
 
-def mux_sql(stop: str | None = None) -> str:
+def mux_sql(stop: str | None = None, poll_id: str = "user_id % 20") -> str:
     """Poll events up to ``stop``, or all with the last one as the time open waits end."""
     cut = "" if stop is None else f" AND t < {stop}"
     return EV + f""", mux AS (
-  SELECT user_id % 20 AS poll_id, user_id AS tid, k % 10 AS inode_id, event_type AS kind, t, event_id
+  SELECT {poll_id} AS poll_id, user_id AS tid, k % 10 AS inode_id, event_type AS kind, t, event_id
   FROM ev WHERE event_type IN {_MUX_KINDS}{cut}
 ), last AS (SELECT {stop or 'max(t)'} AS maxt {'' if stop else 'FROM mux'}
 ), moves AS (
@@ -234,8 +238,8 @@ def mux_sql(stop: str | None = None) -> str:
   WINDOW w AS (PARTITION BY poll_id, tid ORDER BY t, event_id))"""
 
 
-def thread_wait_sql(stop: str | None = None) -> str:
-    return f"""WITH {mux_sql(stop)}, waits AS (
+def thread_wait_sql(stop: str | None = None, poll_id: str = "user_id % 20") -> str:
+    return f"""WITH {mux_sql(stop, poll_id)}, waits AS (
   SELECT poll_id, tid, pt AS s, t AS e, t AS done FROM moves WHERE kind = 'signup' AND pk = 'view'
   UNION ALL
   SELECT poll_id, tid, t, coalesce(nt // {HOUR} * {HOUR}, maxt), NULL FROM moves, last
@@ -253,6 +257,37 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.select("bucket", "tid", F.col("poll_id").cast("bigint"), "total_time", "total_requests")
 
 
+#: A plain poll set is named by its thread, of process 1 here.
+_POLLER = "4294967296 + user_id"
+
+
+@query("a4_poll_wait", f"SELECT *, false AS is_epoll FROM ({thread_wait_sql(None, _POLLER)})")
+def a4_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waits = multiplex.muxio_wait(poll_events(spark, sf_dir, _POLL_KINDS), HOUR, cell_width=WEEK)
+    return waits.select("bucket", "tid", F.col("poll_id").cast("bigint"), "is_epoll", "total_time", "total_requests")
+
+
+@query("a5_poll_file_wait", f"""WITH {mux_sql(None, _POLLER)}, calls AS (
+  SELECT poll_id, pt AS s, t AS e FROM moves WHERE kind = 'signup' AND pk = 'view'
+), still AS (SELECT poll_id, t AS s FROM moves WHERE kind = 'view' AND nt IS NULL
+), regs AS (
+  SELECT r.poll_id, r.inode_id, r.t, c.s, c.e FROM (SELECT * FROM mux WHERE kind IN ('click', 'error')) r
+  ASOF LEFT JOIN calls c ON r.poll_id = c.poll_id AND r.t <= c.e
+), waits AS (
+  SELECT poll_id, inode_id, greatest(max(t), s) AS a, e AS b, e AS done FROM regs WHERE e IS NOT NULL GROUP BY poll_id, inode_id, s, e
+  UNION ALL
+  SELECT poll_id, inode_id, greatest(max(t), o.s), (SELECT maxt FROM last), NULL
+  FROM regs JOIN still o USING (poll_id) WHERE e IS NULL GROUP BY poll_id, inode_id, o.s
+), sl AS (SELECT *, unnest(generate_series(a // {HOUR}, b // {HOUR})) AS i FROM waits)
+SELECT i * {HOUR} AS bucket, poll_id, false AS is_epoll, inode_id,
+  CAST(sum(least(b, (i + 1) * {HOUR}) - greatest(a, i * {HOUR})) AS BIGINT) AS total_time,
+  count(*) FILTER (WHERE i = done // {HOUR}) AS "count"
+FROM sl WHERE least(b, (i + 1) * {HOUR}) > greatest(a, i * {HOUR}) OR i = done // {HOUR} GROUP BY ALL""")
+def a5_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waits = multiplex.muxio_file_wait(poll_events(spark, sf_dir, _POLL_KINDS), HOUR, cell_width=WEEK)
+    return waits.select("bucket", F.col("poll_id").cast("bigint"), "is_epoll", "inode_id", "total_time", "count")
+
+
 def file_wait_sql(stop: str | None = None) -> str:
     return f"""WITH {mux_sql(stop)}, deltas AS (
   SELECT poll_id, t, event_id, kind, NULL AS inode_id,

@@ -179,9 +179,8 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors as accesses of a process to one of a hundred resources."""
-    ev = events(spark, sf_dir).filter(F.col("event_type") == "error")
-    return ev.select(F.col("user_id").alias("pid"), F.col("k").alias("resource"), F.col("t").alias("ts"))
+    """Events as accesses of a process to one of a hundred resources."""
+    return events(spark, sf_dir).select(F.col("user_id").alias("pid"), F.col("k").alias("resource"), F.col("t").alias("ts"))
 
 
 def first_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +192,7 @@ def first_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 REACHED = EV + """, acc AS (
   SELECT event_id, user_id AS pid, k AS resource, t, lead(event_id) OVER (PARTITION BY user_id ORDER BY t) AS next_of_pid,
     lead(event_id) OVER (PARTITION BY k ORDER BY t) AS next_of_resource
-  FROM ev WHERE event_type = 'error'
+  FROM ev
 ), active AS (
   SELECT event_id, pid, resource, t, next_of_pid, next_of_resource FROM acc WHERE pid = (SELECT min(user_id) FROM events)
   UNION SELECT n.event_id, n.pid, n.resource, n.t, n.next_of_pid, n.next_of_resource

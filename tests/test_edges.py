@@ -54,6 +54,19 @@ def test_block_io_is_not_sliced(spark):
     assert rows(got) == [(2 * S, 2 * S + 5 - S // 2, 8, 1)]
 
 
+def test_an_end_before_its_start_fails_and_can_be_set_aside(spark):
+    calls = spark.createDataFrame([(1, 5, 9), (2, 9, 5), (3, 4, None)], "tid int, start long, end long")
+    wrong = iv.inverted_intervals(calls)
+    assert rows(wrong, "tid") == [(2,)]
+    for refused in (
+        accounting.call_stats(calls, ["tid"], 10), iv.split_by_bucket(calls, 10), intervals.active_at_ticks(calls, 10),
+    ):
+        with pytest.raises(Exception, match="ends before it starts: 9 > 5"):
+            refused.collect()
+    kept = accounting.call_stats(calls.join(wrong, "tid", "left_anti"), ["tid"], 10)
+    assert rows(kept, "tid", "total_time", "total_requests") == [(1, 4, 1)]
+
+
 def test_open_call_is_accounted_to_the_horizon_without_a_count(spark):
     calls = spark.createDataFrame([(1, S // 2, None)], "tid int, start long, end long")
     got = accounting.call_stats(calls, ["tid"], S, horizon=2 * S).select("bucket", "total_time", "total_requests")
