@@ -188,5 +188,5 @@ def dense_ticks(
         "before": ceil_div(span, factor) - F.lit(1),
         "beyond": ceil_div(span, factor),
     }[stop]
-    ticks = explode_range(bounds, F.lit(0), limit, "__tick")
+    ticks = explode_range(bounds, F.lit(0), limit, "__tick", dealt=True)
     return ticks.select((F.col("lo") + F.col("__tick") * F.lit(factor).cast("bigint")).alias("tick"))

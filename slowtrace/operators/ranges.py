@@ -9,12 +9,13 @@ from slowtrace.functions.timebase import floor_div
 _CHUNK = 4096
 
 
-def explode_range(df: DataFrame, first: Column, last: Column, out: str) -> DataFrame:
+def explode_range(df: DataFrame, first: Column, last: Column, out: str, dealt: bool = False) -> DataFrame:
     """One row per integer in ``[first, last]``; rows with an empty range vanish.
 
     Two steps, so that no row ever carries an array longer than a chunk: a month of
     seconds would otherwise be a 20 MB array. ``sequence`` counts down on an inverted
-    range, hence the filter.
+    range, hence the filter. ``dealt``: few rows have long ranges, so chunks are dealt to
+    all tasks before they are exploded.
     """
     ranged = df.withColumns({"__first": first.cast("bigint"), "__last": last.cast("bigint")})
     ranged = ranged.filter(F.col("__first") <= F.col("__last"))
@@ -22,6 +23,8 @@ def explode_range(df: DataFrame, first: Column, last: Column, out: str) -> DataF
         "__chunk",
         F.explode(F.sequence(floor_div(F.col("__first"), _CHUNK), floor_div(F.col("__last"), _CHUNK))),
     )
+    if dealt:
+        chunked = chunked.repartition("__chunk")
     start = F.col("__chunk") * F.lit(_CHUNK).cast("bigint")
     stop = start + F.lit(_CHUNK - 1).cast("bigint")
     return chunked.withColumn(

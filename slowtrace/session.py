@@ -64,6 +64,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and ``path`` as it names it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = file_system(spark, path)
+    return fs.exists(target)
+
+
 _OWNERS: list[list[str]] = []
 
 
@@ -75,8 +91,7 @@ def settled_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OWNERS.pop():
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete_folder(spark, path)
 
 
 def settle(df: DataFrame, outer: bool = False) -> DataFrame:

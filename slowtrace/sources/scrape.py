@@ -10,10 +10,13 @@ EXPERIMENT_GAUGE = "experiment_producer_num_experiments"
 
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
-    """Scrape files as ``scrape, line_no, line``; a file is one scrape."""
+    """Scrape files as ``scrape, line_no, line``; a file is one scrape.
+
+    ``line_no`` orders the lines of a file: the split they are in, then their place there.
+    """
     return spark.read.schema("value string").text(path).select(
         F.col("_metadata.file_path").alias("scrape"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place")).alias("line_no"),
         F.col("value").alias("line"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from slowtrace.operators.accounting import merge_pending
 from slowtrace.operators.shares import taskstats_view
 from slowtrace.schemas import MERGE_KEYS, TABLES
+from slowtrace.session import delete_folder, file_system, folder_exists
 
 _TIME = ("ts", "ts_s")
 _PART = "part"
@@ -27,14 +28,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     ])
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def _parts(spark: SparkSession, path: str, table: str, part: str = "*") -> list[str]:
     """Folders ``run_id=…/day=…/part=…`` of a table: one per write and day."""
-    fs, pattern = _file_system(spark, f"{path}/{table}/run_id=*/day=*/{_PART}={part}")
+    fs, pattern = file_system(spark, f"{path}/{table}/run_id=*/day=*/{_PART}={part}")
     found = fs.globStatus(pattern)
     return ["/".join(f.getPath().toString().split("/")[-3:]) for f in found or []]
 
@@ -45,8 +41,7 @@ def _day_of(part: str) -> str:
 
 def _delete_parts(spark: SparkSession, path: str, table: str, parts: Iterable[str]) -> None:
     for part in parts:
-        fs, folder = _file_system(spark, f"{path}/{table}/{part}")
-        fs.delete(folder, True)
+        delete_folder(spark, f"{path}/{table}/{part}")
 
 
 def _write_part(df: DataFrame, path: str, table: str, part: str) -> None:
@@ -91,8 +86,7 @@ def _partitioned(table: str) -> T.StructType:
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table with its run and day; filters on them prune folders. One never written has no rows."""
-    fs, folder = _file_system(spark, f"{path}/{table}")
-    if not fs.exists(folder):
+    if not folder_exists(spark, f"{path}/{table}"):
         return spark.createDataFrame([], _partitioned(table)).drop(_PART)
     return spark.read.schema(_partitioned(table)).parquet(f"{path}/{table}").drop(_PART)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slowtrace.operators.discovery import discover
+from slowtrace.session import delete_folder
 
 
 def _version(path: str, batch_id: int) -> tuple[str, str]:
@@ -53,6 +54,9 @@ def discover_batches(
             now_tracked, now_registered = _version(path, batch_id)
             tracked.write.mode("overwrite").parquet(now_tracked)
             registered.write.mode("overwrite").parquet(now_registered)
+            # a batch that runs again needs the version before it, and none older
+            for old in _version(path, batch_id - 2):
+                delete_folder(spark, old)
         finally:
             accesses.unpersist()
 

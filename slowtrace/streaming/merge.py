@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from slowtrace.operators.accounting import merge_pending
+from slowtrace.session import folder_exists
 
 
 def stage_batches(path: str) -> Callable[[DataFrame, int], None]:
@@ -23,6 +24,10 @@ def stage_batches(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def merged(spark: SparkSession, target: DataFrame, staged_path: str, keys: Sequence[str]) -> DataFrame:
-    """The target with all staged batches applied."""
-    staging = spark.read.parquet(staged_path).drop("batch")
+    """The target with all staged batches applied; as it is where none has come yet."""
+    schema = T.StructType([*[target.schema[k] for k in keys], T.StructField("additional_time", T.LongType())])
+    if folder_exists(spark, staged_path):
+        staging = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(staged_path)
+    else:
+        staging = spark.createDataFrame([], schema)
     return merge_pending(target, staging, keys)

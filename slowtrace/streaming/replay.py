@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slowtrace.functions.timebase import NS_PER_S
 from slowtrace.operators.multiplex import muxio_file_wait, muxio_wait, open_state
+from slowtrace.session import delete_folder
 
 
 def _folder(path: str, what: str, batch_id: int) -> str:
@@ -62,6 +63,10 @@ def replay_batches(
         state.write.mode("overwrite").parquet(now("state"))
         pending.write.mode("overwrite").parquet(now("pending"))
         spark.createDataFrame([(closed, newest)], "closed bigint, newest bigint").write.mode("overwrite").parquet(now("clock"))
+        # a batch that runs again needs the version before it, and none older
+        for what in ("state", "pending", "clock"):
+            delete_folder(spark, _folder(path, what, batch_id - 2))
+        delete_folder(spark, now("arrived"))
 
     return advance
 

@@ -15,7 +15,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append everything the source has now to a folder; the next call goes on from there."""
     spark = stream.sparkSession
-    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)  # taken over by the query when it starts
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -24,7 +25,13 @@ def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)
 
 
 def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:

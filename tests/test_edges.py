@@ -59,7 +59,7 @@ def test_an_end_before_its_start_fails_and_can_be_set_aside(spark):
     wrong = iv.inverted_intervals(calls)
     assert rows(wrong, "tid") == [(2,)]
     for refused in (
-        accounting.call_stats(calls, ["tid"], 10), iv.split_by_bucket(calls, 10), intervals.active_at_ticks(calls, 10),
+        accounting.call_stats(calls, ["tid"], 10), iv.split_by_bucket(calls, 10), iv.active_at_ticks(calls, 10),
     ):
         with pytest.raises(Exception, match="ends before it starts: 9 > 5"):
             refused.collect()

@@ -111,6 +111,7 @@ def test_staged_batch_run_twice_counts_once(spark, tmp_path):
     write(batch, 0)
     write(batch, 1)
     target = spark.createDataFrame([(1, "a", 1, 1)], "bucket int, k string, total_time long, total_requests long")
+    assert rows(merge.merged(spark, target, f"{path}-none", ["bucket", "k"])) == [(1, "a", 1, 1)]
     assert rows(merge.merged(spark, target, path, ["bucket", "k"])) == [(1, "a", 11, 1)]
     assert rows(accounting.new_keys(batch, target, ["bucket", "k"])) == []
 
