@@ -44,10 +44,9 @@ def centred(postings: DataFrame) -> DataFrame:
     return postings.join(centre, "key").select("centre", "node").distinct()
 
 
-def star_pairs(around: DataFrame, postings: DataFrame, plausible: Plausible) -> DataFrame:
-    """Pairs (a, b), a < b, of a centre and a node around it that may be linked."""
+def star_pairs(around: DataFrame, nodes: DataFrame, plausible: Plausible) -> DataFrame:
+    """Pairs (a, b), a < b, of a centre and a node around it that may be linked, by the columns of ``nodes``."""
     pairs = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    nodes = postings.drop("key").dropDuplicates(["node"])
     left, right = nodes.alias("l"), nodes.alias("r")
     return (pairs.distinct().join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
             .where(plausible("l", "r")).select("a", "b"))
@@ -110,13 +109,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(postings: DataFrame, plausible: Plausible, verify: Verify, payload: Callable[[DataFrame], DataFrame],
-                  matches: Matches) -> DataFrame:
+                  matches: Matches, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of nodes that share a key of ``postings`` (key, node, rank, ...) and are linked.
 
-    ``verify`` keeps the linked ones of pairs (a, b); ``plausible`` says from other columns of two postings whether a
-    pair need be verified. ``payload`` and ``matches`` decide the same for blocks of nodes.
+    ``verify`` keeps the linked ones of pairs (a, b); ``plausible`` says from the columns of two rows of ``nodes``, or
+    else from other columns of two postings, whether a pair need be verified. ``payload`` and ``matches`` decide the same for blocks of nodes.
     """
     around = settle(centred(postings))
-    links = settle(verify(star_pairs(around, postings, plausible)))
+    nodes = postings.drop("key").dropDuplicates(["node"]) if nodes is None else nodes
+    links = settle(verify(star_pairs(around, nodes, plausible)))
     more = settle(crossing_links(around, components(links), payload, matches))
     return components(links.union(more))

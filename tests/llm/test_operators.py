@@ -225,6 +225,40 @@ def test_lines(spark, odd, none):
     assert lines.repeated_lines(odd).count() == 8 and lines.repeated_lines(none).count() == 0
 
 
+def test_edited_lines(spark):
+    """Lines of 1 to 60 words with up to a quarter (or a little more) of their words edited, against brute force."""
+    draw = random.Random(8)
+    texts, n = [], 0
+    for size in [*range(1, 25), 30, 40, 50, 60]:
+        for _ in range(3):
+            base = [draw.choice(VOCAB) for _ in range(size)]
+            texts.append((n, " ".join(base)))
+            for off in {1, size // 4, size // 4 + 1}:
+                edited = list(base)
+                for at in range(off):
+                    place = size * at // off if draw.random() < 0.7 else draw.randrange(size)
+                    kind = draw.randrange(3)
+                    if kind == 0 and place < len(edited):
+                        edited[place] = f"e{draw.randrange(10 ** 6)}"
+                    elif kind == 1:
+                        edited.insert(place, draw.choice(VOCAB))
+                    elif len(edited) > 1:
+                        del edited[min(place, len(edited) - 1)]
+                n += 1
+                texts.append((n, " ".join(edited)))
+            n += 1
+    group = {i: i for i, _ in texts}
+    for a, x in texts:
+        for b, y in texts:
+            if a < b and group[a] != group[b] and lines.similar(x.encode(), y.encode()):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.repeated_lines(df).collect()}
+    assert got == {i: int(group[i] != i) for i, _ in texts}
+    assert 60 < sum(got.values()) < len(texts)
+
+
 # --- pseudonyms
 
 def test_pseudonyms_round_trip(spark, none):
