@@ -55,7 +55,7 @@ PATTERNS = {
 # --- end of fixed values
 
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-_MAYBE = re.compile(r"[0-9]{2}|@|[0-9a-fA-F]{32}")
+_MAYBE = re.compile(r"[0-9]|@|[0-9a-fA-F]{32}")
 _MODERN = (dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal())
 _DATE_FORMATS = {"-": ("%Y-%m-%d",), ".": ("%d.%m.%Y",), "/": ("%m/%d/%Y", "%d/%m/%Y")}
 

@@ -286,6 +286,15 @@ def test_pseudonyms_round_trip(spark, none):
     assert pseudonyms.pseudonymise(none, b"k").count() == 0
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("Ask 8.8.8.8 now", "ipv4", "8.8.8.8"), ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 ", "card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+])
+def test_pseudonyms_without_digit_runs(text, kind, found):
+    new, spans = pseudonyms.replace_in(text, pseudonyms.Keyed(b"k"))
+    assert [(s["kind"], text[s["start"]:s["end"]]) for s in spans] == [(kind, found)] and found not in new
+    assert pseudonyms.replace_in(new, pseudonyms.Keyed(b"k", back=True))[0] == text
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 365, 1000):
         image = [pseudonyms.permute(v, size, b"k", "t") for v in range(size)]
