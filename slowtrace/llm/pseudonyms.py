@@ -52,6 +52,14 @@ PATTERNS = {
     "phone": r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "phone_intl": r"(?<![\w.])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9])",
 }
+# digits of most cards, and characters of the IBANs of a country
+CARD = 16
+IBAN = {country: int(length) for length, countries in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL", "19": "MK SI", "20": "AT BA EE KZ LT LU XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU",
+    "31": "MT SC", "32": "LC",
+}.items() for country in countries.split()}
 # --- end of fixed values
 
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
@@ -191,27 +199,46 @@ class Keyed:
         return _refill(found, digits[:2] + self.digits(digits[2:], f"phone+{digits[:2]}"), str.isdigit)
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a finding of text[start:end] may end: there or at a separator inside; the usual length first, then the longest."""
+    if kind not in ("card", "iban", "phone_intl"):
+        return [end]
+    inside = [i for i in range(end - 1, start, -1) if not text[i].isalnum() and text[i - 1].isalnum()]
+    ends = [end, *(i for i in inside if _EACH[kind].fullmatch(text, start, i))]
+    usual = {"card": CARD, "iban": IBAN.get(text[start:start + 2])}.get(kind)
+    return sorted(ends, key=lambda i: sum(map(str.isalnum, text[start:i])) != usual)
+
+
+def _valid(kind: str, text: str, start: int, end: int, keyed: Keyed) -> tuple[str, int] | None:
+    """The pseudonym of a finding of text[start:end] and the finding's end, or None if no reading is valid."""
+    for i in _ends(kind, text, start, end):
+        if (new := getattr(keyed, kind)(text[start:i])) is not None:
+            return new, i
+    return None
+
+
 def replace_in(text: str, keyed: Keyed) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and its findings: kind, start and end in the given text, pseudonym."""
     if not _MAYBE.search(text):
         return text, []
     parts, spans, at, pos = [], [], 0, 0
     while found := _ANY.search(text, pos):
-        kind, value = found.lastgroup, found.group()
-        new = getattr(keyed, kind)(value)
-        if new is None:
+        kind, start = found.lastgroup, found.start()
+        done = _valid(kind, text, start, found.end(), keyed)
+        if done is None:
             # not valid as this kind: another kind may begin at the same place
             for other in list(PATTERNS)[list(PATTERNS).index(kind) + 1:]:
-                again = _EACH[other].match(text, found.start())
-                if again and (new := getattr(keyed, other)(again.group())) is not None:
-                    found, kind = again, other
+                again = _EACH[other].match(text, start)
+                if again and (done := _valid(other, text, start, again.end(), keyed)) is not None:
+                    kind = other
                     break
-        if new is None:
-            pos = _next_start(text, found.start())
+        if done is None:
+            pos = _next_start(text, start)
             continue
-        parts += [text[at:found.start()], new]
-        spans.append({"kind": kind, "start": found.start(), "end": found.end(), "pseudonym": new})
-        at = pos = found.end()
+        new, end = done
+        parts += [text[at:start], new]
+        spans.append({"kind": kind, "start": start, "end": end, "pseudonym": new})
+        at = pos = end
     return "".join([*parts, text[at:]]), spans
 
 

@@ -295,6 +295,20 @@ def test_pseudonyms_without_digit_runs(text, kind, found):
     assert pseudonyms.replace_in(new, pseudonyms.Keyed(b"k", back=True))[0] == text
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("card 4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"), ("4111111111111111 123", "card", "4111111111111111"),
+    ("AT611904300234573201 BIC BKAUATWW", "iban", "AT611904300234573201"),
+    ("ES91 2100 0418 4502 0005 1332 BIC X", "iban", "ES91 2100 0418 4502 0005 1332"),
+    ("4111-1111-1111-1111", "card", "4111-1111-1111-1111"), ("DE89 3704 0044 0532 0130 00 EUR", "iban", "DE89 3704 0044 0532 0130 00"),
+])
+def test_pseudonyms_before_more_symbols(text, kind, found):
+    new, spans = pseudonyms.replace_in(text, pseudonyms.Keyed(b"k"))
+    assert [(s["kind"], text[s["start"]:s["end"]]) for s in spans] == [(kind, found)] and found not in new
+    alone, _ = pseudonyms.replace_in(found, pseudonyms.Keyed(b"k"))
+    assert spans[0]["pseudonym"] == alone
+    assert pseudonyms.replace_in(new, pseudonyms.Keyed(b"k", back=True))[0] == text
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 365, 1000):
         image = [pseudonyms.permute(v, size, b"k", "t") for v in range(size)]
