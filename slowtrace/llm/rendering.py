@@ -18,19 +18,22 @@ from pyspark.sql import functions as F
 # --- fixed values: elements by what they do, as the HTML standard has them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg "
-                   "math datalist select meta link base xmp area param source track".split())
+UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas "
+                   "datalist select meta link base xmp area param source track".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p "
                   "pre search section summary table ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table fieldset form menu dir".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
+FOREIGN = frozenset("svg math".split())
+# not drawn inside them; definitions of a drawing may be, and stay
+UNDRAWN = frozenset("desc metadata annotation annotation-xml".split())
 # an open element that ends where one of these begins
 IMPLIED_END = {
-    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr", *SECTIONS),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", *SECTIONS), "td": ("td", "th", "tr", *SECTIONS),
     "th": ("td", "th", "tr", *SECTIONS), "thead": tuple(SECTIONS), "tbody": tuple(SECTIONS), "tfoot": tuple(SECTIONS),
     "option": ("option", "optgroup"), "optgroup": ("optgroup",), "head": ("body",), "rt": ("rt", "rp"), "rp": ("rt", "rp"),
-    "caption": ("tr", "td", "th", *SECTIONS), "colgroup": ("tr", *SECTIONS),
+    "caption": ("tr", "td", "th", *SECTIONS), "colgroup": ("tr", "td", "th", "caption", "colgroup", *SECTIONS),
 }
 ENDS_P = BLOCK - {"html", "body", "legend", "summary", "option", "optgroup", "caption", "li", "dd", "dt"} | {"li", "dd", "dt"}
 # how far up an implied end may look
@@ -93,6 +96,21 @@ def tree(html: str) -> Node:
             elif mine == "table" or mine in SCOPE.get(tag, ()) or tag in SCOPE and mine in BLOCK - {"p", "div", "address"}:
                 break
 
+    def open_row() -> None:
+        """A cell in a table or section without a row opens one; what is open between ends."""
+        for depth in range(len(open_) - 1, 0, -1):
+            mine = open_[depth].tag
+            if mine in ("tr", "td", "th", "caption"):
+                return
+            if mine == "table" or mine in SECTIONS:
+                if mine == "table" or any(n.tag == "table" for n in open_[:depth]):
+                    close_to(depth + 1)
+                    row = Node("tr")
+                    open_[-1].children.append(row)
+                    open_.append(row)
+                    counts["tr"] = counts.get("tr", 0) + 1
+                return
+
     at = 0
     while at < len(html):
         begin = html.find("<", at)
@@ -121,8 +139,15 @@ def tree(html: str) -> Node:
                 open_[-1].children.append(Node("br"))
             continue
         close_implied(tag)
+        if tag in ("td", "th"):
+            open_row()
+        foreign = tag in FOREIGN or any(counts.get(f) for f in FOREIGN)
         node = Node(tag, _attributes(found.group(3)) if found.group(3).strip(" \t\r\n\f/") else None)
+        if foreign and tag in UNDRAWN:
+            node.attributes["hidden"] = ""
         open_[-1].children.append(node)
+        if foreign and found.group(3).endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at) if tag != "plaintext" else None
             raw = html[at:end.start() if end else len(html)]
@@ -197,6 +222,19 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
+def _loose(table: Node) -> Iterator[Node | str]:
+    """What lies in a table or its sections outside of rows."""
+    for child in table.children:
+        if isinstance(child, str):
+            if child.strip():
+                yield child
+        elif not child.hidden():
+            if child.tag in SECTIONS or child.tag == "colgroup":
+                yield from _loose(child)
+            elif child.tag not in ("tr", "col"):
+                yield child
+
+
 def _number(text: str, default: int) -> int:
     digits = re.match(r"\s*(-?\d{1,6})", text)
     return int(digits.group(1)) if digits else default
@@ -205,9 +243,7 @@ def _number(text: str, default: int) -> int:
 def _table(page: _Page, table: Node, cap: int) -> None:
     grid: list[list[list[str]]] = []
     held: dict[tuple[int, int], bool] = {}
-    loose = [c for c in table.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and not c.hidden()
-             and c.tag not in ("tr", "colgroup", "col", *SECTIONS)]
-    for child in loose:
+    for child in _loose(table):
         _render(page, child)
         page.block(1)
     for y, row in enumerate(_rows(table)):
@@ -295,7 +331,7 @@ def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None
                 page._open()
                 page.line.append("  " * max(depth - 1, 0) + mark)
             work.append(lambda gap=gap: page.block(gap))
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "text"):  # cells outside of tables, texts of drawings
             work.append(lambda: page.text(" "))
         if tag in ("ul", "ol", "menu", "dir"):
             list_ = [(list_[0] if list_ else 0) + 1, tag == "ol", _number(node.attributes.get("start", ""), 1)]

@@ -380,6 +380,20 @@ def test_rendering(html, text):
     assert rendering.render(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<table><thead><th>Name<th>Age<tbody><tr><td>Ann<td>5</table>", "Name  Age\nAnn   5"),
+    ("<table><tbody><td>x</table>", "x"), ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tbody>text<tr><td>x</table>", "text\nx"), ("<table><colgroup><col><td>x</table>", "x"),
+    ("<div><table><tr><td>a<tbody><td>b</table></div>c", "a\nb\n\nc"),
+    ("<table><td><table><tbody><td>in</table><td>out</table>", "in  out"),
+    ("a <svg><title>no</title><desc>no</desc><path/><text>two</text><text>words</text></svg> b", "a two words b"),
+    ("<svg><desc/><text>t</text></svg>", "t"), ("<svg/>rest", "rest"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+])
+def test_implied_rows_and_drawings(html, text):
+    assert rendering.render(html) == text
+
+
 def test_rendering_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted(str(r["text"]) for r in rendering.extract_text(df).collect()) == ["None", "None", "a"]
