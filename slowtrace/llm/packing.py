@@ -7,6 +7,9 @@ its level are a match: every piece goes to the smallest gap it fits that is left
 first, conflicts being settled by rank. At any level there are at most two rows per size, so matching needs no large
 group. Gaps shrink by what they took, and the next round begins. When no piece fits any gap, as many new sequences as
 the rest must need at least are opened by its largest pieces.
+
+Small pieces come last, as a gap may take many of them: laid end to end along all gaps, those that lie within one gap
+stay there, the others are matched as above, until none of them fits a gap.
 """
 
 from __future__ import annotations
@@ -81,20 +84,6 @@ def _running(ranged: DataFrame, step: str, *order: str) -> DataFrame:
             .withColumn("running", F.col("before") + F.col("within")).drop("before", "within", "range"))
 
 
-def _bundled(items: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Items below ``small`` chained to bundles below ``2 * small``, so that rounds do not grow with tiny documents.
-
-    Gives the items to pack, and (item, head, inner): the bundle that each small one is in, and its place there.
-    """
-    tiny = _ranged(items.where(F.col("length") < small), "length", "item")
-    chained = _running(tiny, "length", "length", "item").withColumn("at", F.col("running") - F.col("length"))
-    bundle = Window.partitionBy(F.expr(f"at div {small}"))
-    inside = settle(chained.withColumn("head", F.min("item").over(bundle))
-                    .withColumn("inner", F.col("at") - F.min("at").over(bundle)).select("item", "length", "head", "inner"))
-    heads = inside.groupBy("head").agg(F.sum("length").alias("length")).select(F.col("head").alias("item"), "length")
-    return items.where(F.col("length") >= small).union(heads), inside.drop("length")
-
-
 def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     """Open sequences with the largest of ``items``: (the items that open them, the others)."""
     classes = items.groupBy("length").agg(F.count("*").alias("n"), F.min("item").alias("first"))
@@ -114,45 +103,81 @@ def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return items.where(opens), items.where(~opens)
 
 
+def _matched(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of best fit: (places of what went into gaps, the other items, the gaps that are left)."""
+    rows = items.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("item").alias("id")).union(
+        gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id")))
+    order = ("size", "kind", "id")
+    swept = _running(_ranged(rows.withColumn("step", 1 - 2 * F.col("kind")), *order), "step", *order)
+    level = Window.partitionBy("level").orderBy(*order)
+    state = settle(swept.withColumn("level", F.col("running") + F.col("kind"))
+                   .withColumns({"next_kind": F.lead("kind").over(level), "next_id": F.lead("id").over(level),
+                                 "next_size": F.lead("size").over(level), "last_kind": F.lag("kind").over(level)})
+                   .select(*order, "next_kind", "next_id", "next_size", "last_kind"))
+    matched = state.where("kind = 0 AND next_kind = 1")
+    placed = matched.select(F.col("id").alias("item"), F.col("next_id").alias("sequence_id"),
+                            (F.lit(capacity) - F.col("next_size")).alias("offset"))
+    items = state.where("kind = 0 AND NOT next_kind <=> 1").select(F.col("id").alias("item"), F.col("size").alias("length"))
+    gaps = (state.where("kind = 1 AND NOT last_kind <=> 0").select(F.col("id").alias("sequence_id"), F.col("size").alias("gap"))
+            .union(matched.select(F.col("next_id"), F.col("next_size") - F.col("size"))).where("gap > 0"))
+    return placed, items, gaps
+
+
+def _laid(items: DataFrame, gaps: DataFrame, capacity: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items below ``small`` end to end along all gaps, the largest of both first; results as of :func:`_matched`."""
+    def along(df: DataFrame, size: str, key: str) -> DataFrame:
+        order = ("__down", key)
+        chain = _running(_ranged(df.withColumn("__down", -F.col(size)), *order), size, *order)
+        return chain.withColumn("at", F.col("running") - F.col(size)).drop("running", "__down")
+
+    cell = along(gaps, "gap", "sequence_id").select("sequence_id", "gap", F.col("at").alias("begin"), F.explode(
+        F.expr(f"sequence(at div {small}, (at + gap - 1) div {small})")).alias("cell"))
+    chain = along(items, "length", "item")
+    met = (chain.withColumn("cell", F.expr(f"at div {small}")).join(cell, "cell")
+           .where("at >= begin AND at + length <= begin + gap"))
+    inside = settle(met.select("item", "length", "sequence_id", "gap", "at"))
+    # what lies within one gap is one run; it begins where the gap does
+    first = F.min("at").over(Window.partitionBy("sequence_id"))
+    placed = inside.select("item", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("at") - first).alias("offset"))
+    taken = inside.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
+    left = (gaps.join(taken, "sequence_id", "left")
+            .select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0"))
+    return placed, items.join(inside.select("item"), "item", "left_anti"), left
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, sequence_id, offset) for ``items`` (item unique long, length from 1 to ``capacity``)."""
-    items, inside = _bundled(items, max(2, capacity // 16))
+    small = max(2, capacity // 16)
     items = settle(items)
-    placed: list[DataFrame] = []
-    gaps = None
+    empty = items.select(F.col("item").alias("sequence_id"), F.col("length").alias("gap")).where("false")
+    placed: list[DataFrame] = [items.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+                               .where("false")]
+    closed: list[DataFrame] = []  # gaps too small for any large piece, not for small ones
+    tiny, items, gaps, at_tiny = items.where(F.col("length") < small), items.where(F.col("length") >= small), empty, False
     while True:
         left = items.agg(F.count("*").alias("n"), F.min("length").alias("least")).first()
         if not left["n"]:
-            break
-        widest = gaps.agg(F.max("gap")).first()[0] if gaps is not None else None
+            if at_tiny:
+                break
+            items, gaps, at_tiny = tiny, reduce(DataFrame.union, [*closed, gaps]), True
+            continue
+        widest = gaps.agg(F.max("gap")).first()[0]
         if widest is None or left["least"] > widest:
             opening, items = _opened(items, capacity)
             opening = settle(opening)
             placed.append(opening.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             new = opening.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap"))
-            # gaps that fit nothing now never will
+            # gaps that fit nothing of this size now never will
+            if not at_tiny:
+                closed.append(gaps)
             gaps = new.where("gap > 0")
-        rows = items.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("item").alias("id")).union(
-            gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id")))
-        order = ("size", "kind", "id")
-        swept = _running(_ranged(rows.withColumn("step", 1 - 2 * F.col("kind")), *order), "step", *order)
-        level = Window.partitionBy("level").orderBy(*order)
-        state = settle(swept.withColumn("level", F.col("running") + F.col("kind"))
-                       .withColumns({"next_kind": F.lead("kind").over(level), "next_id": F.lead("id").over(level),
-                                     "next_size": F.lead("size").over(level), "last_kind": F.lag("kind").over(level)})
-                       .select(*order, "next_kind", "next_id", "next_size", "last_kind"))
-        matched = state.where("kind = 0 AND next_kind = 1")
-        placed.append(matched.select(F.col("id").alias("item"), F.col("next_id").alias("sequence_id"),
-                                     (F.lit(capacity) - F.col("next_size")).alias("offset")))
-        items = state.where("kind = 0 AND NOT next_kind <=> 1").select(F.col("id").alias("item"), F.col("size").alias("length"))
-        gaps = (state.where("kind = 1 AND NOT last_kind <=> 0").select(F.col("id").alias("sequence_id"), F.col("size").alias("gap"))
-                .union(matched.select(F.col("next_id"), F.col("next_size") - F.col("size"))).where("gap > 0"))
-    if not placed:
-        return inside.select("item", F.col("head").alias("sequence_id"), F.col("inner").alias("offset")).where("false")
-    heads = reduce(DataFrame.union, placed)
-    bundles = inside.join(heads.withColumnRenamed("item", "head"), "head").select(
-        "item", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
-    return heads.join(inside.select(F.col("head").alias("item")).distinct(), "item", "left_anti").union(bundles)
+        if at_tiny:
+            laid, items, gaps = _laid(items, gaps.where(F.col("gap") >= left["least"]), capacity, small)
+            placed.append(laid)
+            items, gaps = settle(items), settle(gaps)
+        put, items, gaps = _matched(items, gaps, capacity)
+        placed.append(put)
+    return reduce(DataFrame.union, placed)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

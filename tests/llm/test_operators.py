@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips, invariants and odd input."""
 
+import bisect
 import datetime as dt
 import hashlib
 import random
@@ -366,6 +367,30 @@ def test_best_fit_needs_few(spark, lengths):
     assert len(bins) <= 1.02 * -(-sum(lengths) // 1024) + 2
 
 
+def best_fit_decreasing(lengths):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else 1024
+        bisect.insort(gaps, gap - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("lengths", [
+    [1000] * 500 + [24] * 500, [490] * 200 + [22] * 200, [994] * 100 + [24] * 90 + [6] * 150 + [3] * 20,
+])
+def test_small_pieces_fill_gaps(spark, lengths):
+    df = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    bins = defaultdict(list)
+    for r in packing.best_fit(df).collect():
+        bins[r["sequence_id"]].append((r["offset"], lengths[r["item"]]))
+    assert sum(map(len, bins.values())) == len(lengths)
+    for held in bins.values():
+        assert [o for o, _ in sorted(held)] == list(np.cumsum([0, *(n for _, n in sorted(held))])[:-1])
+        assert sum(n for _, n in held) <= 1024
+    assert len(bins) <= best_fit_decreasing(lengths)
+
+
 # --- pages
 
 @pytest.mark.parametrize(("html", "text"), [
