@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slowtrace.llm import (
-    contamination, digest_index, hilbert, lines, minhash, packing, pseudonyms, quality, rendering, substrings,
+    contamination, digest_index, hilbert, lines, minhash, packing, pseudonyms, quality, rendering, sequence_files, substrings,
+    whitening,
 )
 from slowtrace.plans.registry import Query
 from slowtrace.session import scratch_path
@@ -125,3 +126,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as tokens in sequences of 1024."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary))
+
+
+@query("op12_sequence_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in Arrow stream files, read back."""
+    folder = scratch_path(spark, "sequences")
+    sequence_files.write_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return sequence_files.read_documents(spark, folder)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
