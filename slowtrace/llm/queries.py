@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slowtrace.llm import (
-    contamination, digest_index, hilbert, lines, minhash, packing, pseudonyms, quality, rendering, sequence_files, substrings,
+    contamination, digest_index, hilbert, lines, minhash, packing, phrases, pseudonyms, quality, rendering, sequence_files, substrings,
     whitening,
 )
 from slowtrace.plans.registry import Query
@@ -128,6 +128,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary))
 
 
+@query("op11_phrases", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, cast(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ws
+      FROM (SELECT *, unnest(range(1, 5)) AS k FROM w) WHERE len(ws) >= k),
+f AS (SELECT lang, k, ws, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+h AS (SELECT lang, ws, a, cut, ws[1:cut] AS head, ws[cut + 1:k] AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)),
+c AS (SELECT h.lang, h.ws, h.a, cut, x.a AS l, y.a AS r, (2000000 * h.a::HUGEINT) // (x.a + y.a)::HUGEINT AS score
+      FROM h JOIN f x ON x.lang = h.lang AND x.ws = h.head JOIN f y ON y.lang = h.lang AND y.ws = h.rest),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, ws, k, m, unnest(range(1, k - m + 2)) AS first
+      FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)),
+o AS (SELECT lang, ws[first:first + m - 1] AS ws, max(a) AS outer_a FROM i GROUP BY ALL),
+s AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN o USING (lang, ws)
+      WHERE outer_a IS NULL OR 100 * outer_a::HUGEINT < 80 * b.a::HUGEINT)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       cast(score AS BIGINT) AS score
+FROM s JOIN t USING (lang) QUALIFY rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query("op12_sequence_files")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in Arrow stream files, read back."""
