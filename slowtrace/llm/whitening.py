@@ -65,11 +65,11 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def sturm_count(diagonal: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many eigenvalues of the tridiagonal matrix lie below each of ``at``: negative pivots of T - at I."""
     tiny = np.finfo(float).tiny / _EPS * max(1.0, float(np.max(off ** 2, initial=0.0)))
-    pivot = diagonal[0] - at
-    below = (pivot < 0).astype(int)
-    for d, e in zip(diagonal[1:], off, strict=True):
-        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
+    pivot, below = np.ones_like(at), np.zeros(len(at), int)
+    for d, e in zip(diagonal, np.concatenate([[0.0], off]), strict=True):
         pivot = d - at - e * e / pivot
+        # a pivot of zero counts as negative, and the next one then as positive
+        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
         below += pivot < 0
     return below
 
@@ -87,7 +87,7 @@ def leading_eigenvalues(diagonal: np.ndarray, off: np.ndarray, k: int) -> np.nda
     want = n - 1 - np.arange(k)  # so many eigenvalues lie below the wanted one
     while True:
         middle = low + (high - low) / 2
-        if np.all(high - low <= 2 * _EPS * np.abs(middle) + _EPS / 16 * norm):
+        if np.all((high - low <= 2 * _EPS * np.abs(middle) + _EPS / 16 * norm) | (middle <= low) | (middle >= high)):
             return middle
         above = sturm_count(diagonal, off, middle) > want
         high, low = np.where(above, middle, high), np.where(above, low, middle)
@@ -154,12 +154,16 @@ def eigenvectors(diagonal: np.ndarray, off: np.ndarray, values: np.ndarray) -> n
 
 def leading_components(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues falling, unit eigenvectors as columns) of the ``k`` largest eigenvalues of symmetric ``matrix``."""
-    diagonal, off, steps = tridiagonal(matrix)
-    values = leading_eigenvalues(diagonal, off, min(k, len(diagonal)))
+    k, scale = min(k, len(matrix)), float(np.abs(matrix).max())
+    if not scale:
+        return np.zeros(k), np.eye(len(matrix))[:, :k]
+    # entries of about one: nothing below underflows
+    diagonal, off, steps = tridiagonal(matrix / scale)
+    values = leading_eigenvalues(diagonal, off, k)
     vectors = eigenvectors(diagonal, off, values)
     for v in steps[::-1]:
         vectors -= 2 * np.outer(v, v @ vectors)
-    return values, vectors
+    return values * scale, vectors
 
 
 # --- distributed sums -----------------------------------------------------------------------------------------------
