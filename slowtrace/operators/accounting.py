@@ -63,9 +63,14 @@ def call_stats(
     ``horizon``, calls without an end are accounted up to it, without being counted.
     One explode and one shuffle: the completion is the slice whose bucket holds the end.
     """
+    return slice_stats(_call_slices(paired, bucket, horizon), keys, ns_per_unit)
+
+
+def slice_stats(slices: DataFrame, keys: Sequence[str], ns_per_unit: int = 1) -> DataFrame:
+    """Statistics per bucket of the slices (bucket, start, end, slice, counted) of calls."""
     scale = F.lit(ns_per_unit).cast("bigint")
     latency = log10_bucket((F.col("end") - F.col("start")) * scale)
-    classed = _call_slices(paired, bucket, horizon).withColumn("__class", F.when(F.col("counted"), latency))
+    classed = slices.withColumn("__class", F.when(F.col("counted"), latency))
     return classed.groupBy("bucket", *keys).agg(
         (F.sum("slice") * scale).alias("total_time"),
         F.expr("sum(CASE WHEN counted THEN 1L END) AS total_requests"),

@@ -9,14 +9,14 @@ from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
     _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
 )
-from slowtrace.plans.bindings import EV, HOUR, WEEK
+from slowtrace.plans.bindings import EV, HOUR, REQ, WEEK, events, intervals
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
 from slowtrace.session import scratch_path
 from slowtrace.sources.events import read_events_stream
-from slowtrace.streaming import discovery, merge, replay, stats, waits
-from slowtrace.streaming.run import drain_batches, drained
+from slowtrace.streaming import calls, discovery, merge, replay, stats, waits
+from slowtrace.streaming.run import drain_batches, drain_stateful, drained
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -24,19 +24,23 @@ _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 _ARRIVALS = 5
 
 
+def arriving(spark: SparkSession, rows: DataFrame, at: str, name: str = "arrivals") -> DataFrame:
+    """``rows`` as a stream of ``_ARRIVALS`` micro-batches of about equal size, in order of ``at`` (µs, dropped)."""
+    shares = [i / _ARRIVALS for i in range(1, _ARRIVALS)]
+    borders = rows.agg(F.percentile_approx(at, shares, 1000)).first()[0] or [0] * len(shares)
+    path, files = scratch_path(spark, name), max(8, spark.sparkContext.defaultParallelism)
+    for low, high in zip([None, *borders], [*borders, None], strict=True):
+        after = F.lit(True) if low is None else F.col(at) > low
+        until = F.lit(True) if high is None else F.col(at) <= high
+        rows.filter(after & until).drop(at).repartition(files).write.mode("append").parquet(path)
+    return read_events_stream(spark, path, rows.drop(at).schema, max_files_per_trigger=files)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, disorder: int = HOUR) -> DataFrame:
-    """All events, arriving in ``_ARRIVALS`` micro-batches of about equal size, up to ``disorder`` µs out of order."""
+    """All events, arriving up to ``disorder`` µs out of order."""
     table = spark.read.schema(_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     late = epoch_us(F.col("ts")) + F.pmod(F.xxhash64("event_id"), F.lit(disorder)) if disorder else epoch_us(F.col("ts"))
-    arrived = table.withColumn("__at", late)
-    shares = [i / _ARRIVALS for i in range(1, _ARRIVALS)]
-    borders = arrived.agg(F.percentile_approx("__at", shares, 1000)).first()[0] or [0] * len(shares)
-    path, files = scratch_path(spark, "arrivals"), max(8, spark.sparkContext.defaultParallelism)
-    for low, high in zip([None, *borders], [*borders, None], strict=True):
-        after = F.lit(True) if low is None else F.col("__at") > low
-        until = F.lit(True) if high is None else F.col("__at") <= high
-        arrived.filter(after & until).drop("__at").repartition(files).write.mode("append").parquet(path)
-    raw = read_events_stream(spark, path, _SCHEMA, max_files_per_trigger=files)
+    raw = arriving(spark, table.withColumn("__at", late), "__at")
     return raw.select(
         "event_id", F.timestamp_micros(epoch_us(F.col("ts"))).alias("ts"), epoch_us(F.col("ts")).alias("t"), "user_id", "event_type",
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
@@ -44,6 +48,21 @@ def event_stream(spark: SparkSession, sf_dir: str, disorder: int = HOUR) -> Data
     )
 
 
+def operation_stream(spark: SparkSession, operations: DataFrame) -> DataFrame:
+    """``operations(call, start, end, …)`` as raw start and end events that arrive up to an hour out of order.
+
+    An operation whose end is NULL never ends.
+    """
+    moves = operations.withColumn("__move", F.explode(F.array(
+        F.struct(F.col("start").alias("ts"), F.lit("start").alias("kind")),
+        F.struct(F.col("end").alias("ts"), F.lit("end").alias("kind")),
+    ))).select("*", "__move.ts", "__move.kind").drop("__move", "start", "end").filter("ts IS NOT NULL")
+    late = F.col("ts") + F.pmod(F.xxhash64("call", "kind"), F.lit(HOUR))
+    seq = F.col("call") * 2 + (F.col("kind") == "end").cast("bigint")
+    raw = arriving(spark, moves.withColumns({"seq": seq, "__at": late}), "__at", "operations")
+    return raw.withColumn("event_time", F.timestamp_micros("ts"))
+
+
 @query("s11_events_stream", f"WITH {EV} SELECT event_id, t, user_id, event_type, cents, k FROM ev")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(event_stream(spark, sf_dir).drop("ts"), "events")
@@ -71,6 +90,55 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stats.streaming_wake_stats(wakes, ["resource"], "1 hour", "2 hours"), "wake-stats")
 
 
+#: Raw start and end rows of the calls; those of ``open`` have no end.
+_MOVES = f"""WITH {REQ}, op AS (SELECT k % 8 AS inode, event_type, s, CASE WHEN event_type <> '{{open}}' THEN e END AS e FROM req),
+stop AS (SELECT ((SELECT max(greatest(s, coalesce(e, s))) // 1000 * 1000 FROM op) - 2 * {HOUR}) // {HOUR} AS b),
+sl AS (SELECT op.*, unnest(generate_series(s // {HOUR}, coalesce(e // {HOUR}, stop.b - 1))) AS b FROM op, stop),
+parts AS (SELECT *, least(coalesce(e, (b + 1) * {HOUR}), (b + 1) * {HOUR}) - greatest(s, b * {HOUR}) AS slice,
+  coalesce(b = e // {HOUR}, FALSE) AS done FROM sl WHERE b < (SELECT b FROM stop))
+SELECT b * {HOUR} AS bucket, event_type, inode, CAST(sum(slice) AS BIGINT) AS total_time,
+  CAST(coalesce(sum(CASE WHEN done THEN 1 END), -1) AS BIGINT) AS total_requests, {_HIST.format(done='done', lat='(e - s)')}
+FROM parts WHERE slice > 0 OR done GROUP BY ALL"""
+
+
+def _streamed_calls(spark: SparkSession, sf_dir: str, never_ends: str) -> DataFrame:
+    operations = intervals(spark, sf_dir).select(
+        F.col("event_id").alias("call"), "start", F.when(F.col("event_type") != never_ends, F.col("end")).alias("end"),
+        "event_type", (F.col("k") % 8).alias("inode"))
+    path = scratch_path(spark, "calls")
+    slices = calls.streaming_slices(operation_stream(spark, operations), ["call"], "start", "end", HOUR, ["event_type", "inode"], "2 hours")
+    drain_stateful(slices, calls.call_batches(f"{path}/stats", ["event_type", "inode"]), f"{path}/checkpoint")
+    return _shown(calls.closed_buckets(spark, f"{path}/stats"))
+
+
+@query("t4_streaming_calls", _MOVES.format(open=""))
+def t4_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends of calls, paired in the stream: ``a2_call_stats`` up to the last closed bucket."""
+    return _streamed_calls(spark, sf_dir, "")
+
+
+@query("t5_streaming_open_calls", _MOVES.format(open="signup"))
+def t5_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one kind never end; each closed bucket has the time they were open in it, and no request."""
+    return _streamed_calls(spark, sf_dir, "signup")
+
+
+@query("t1_streaming_block_io", f"""WITH {EV}, io AS (SELECT event_type, k % 8 AS part0, t - cents AS s, t AS e, cents AS size FROM ev)
+SELECT e // {HOUR} * {HOUR} AS bucket, event_type, part0, CAST(sum(e - s) * 1000 AS BIGINT) AS total_time,
+  CAST(sum(size) AS BIGINT) AS sector_cnt, count(*) AS total_requests, {_HIST.format(done='TRUE', lat='(e - s) * 1000')}
+FROM io WHERE e // {HOUR} < ((SELECT max(e) // 1000 * 1000 FROM io) - 2 * {HOUR}) // {HOUR} GROUP BY ALL""")
+def t1_block_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue and completion of block IO, paired in the stream: ``a1_io_stats`` up to the last closed bucket."""
+    operations = events(spark, sf_dir).select(
+        F.col("event_id").alias("call"), (F.col("t") - F.col("cents")).alias("start"), F.col("t").alias("end"), "event_type",
+        (F.col("k") % 8).alias("part0"), F.col("cents").alias("size"))
+    path = scratch_path(spark, "block-io")
+    slices = calls.streaming_slices(operation_stream(spark, operations), ["call"], "start", "end", HOUR,
+                                    ["event_type", "part0", "size"], "2 hours", open_slices=False)
+    drain_stateful(slices, calls.io_batches(f"{path}/stats", ["event_type", "part0"], "size", 1000), f"{path}/checkpoint")
+    return calls.closed_buckets(spark, f"{path}/stats")
+
+
 def wait_events(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
     ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*kinds))
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])

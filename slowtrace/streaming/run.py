@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from slowtrace.session import scratch_path
 
@@ -12,21 +13,13 @@ _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append everything the source has now to a folder; the next call goes on from there."""
-    spark = stream.sparkSession
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as processors with timers need."""
     before = spark.conf.get(_STATE_STORE, None)
     spark.conf.set(_STATE_STORE, _ROCKSDB)  # taken over by the query when it starts
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
     try:
-        query.awaitTermination()
+        yield
     finally:
         if before is None:
             spark.conf.unset(_STATE_STORE)
@@ -34,6 +27,26 @@ def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
             spark.conf.set(_STATE_STORE, before)
 
 
+def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append everything the source has now to a folder; the next call goes on from there."""
+    with _rocksdb(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+
+def drain_stateful(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """:func:`drain_batches` for a stream with keyed state and timers."""
+    with _rocksdb(stream.sparkSession):
+        return drain_batches(stream, each, checkpoint)
+
+
 def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:
     """Hand every micro-batch the source has now to ``each``; returns the last batch id."""
     query = (
