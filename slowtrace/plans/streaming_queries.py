@@ -9,13 +9,13 @@ from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
     _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
 )
-from slowtrace.plans.bindings import EV, HOUR, REQ, WEEK, events, intervals
+from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, WEEK, events, intervals
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
 from slowtrace.session import scratch_path
 from slowtrace.sources.events import read_events_stream
-from slowtrace.streaming import calls, discovery, merge, replay, stats, waits
+from slowtrace.streaming import calls, discovery, fold, merge, replay, stats, waits
 from slowtrace.streaming.run import drain_batches, drain_stateful, drained
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -230,6 +230,36 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(merge.merged(spark, target, f"{path}/staging", ["bucket", "event_type", "inode"]))
 
 
+@query("t6_streaming_fold", _CALL_STATS)
+def t6_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions and late slices arrive together; each batch runs twice, and every second one folds the table."""
+    ev = event_stream(spark, sf_dir)
+    stream = ev.select(
+        "event_type", (F.col("k") % 8).alias("inode"), F.col("t").alias("start"),
+        (F.col("t") + F.col("cents") * F.lit(600_000).cast("bigint")).alias("end"),
+    )
+    keys = ["bucket", "event_type", "inode"]
+    path = scratch_path(spark, "folded")
+    schema = completions(_calls(spark, sf_dir).limit(0), HOUR).schema
+    table = fold.FoldedTable(spark, f"{path}/table", schema, keys, DAY)
+    each = fold.fold_batches(
+        table, lambda batch: completions(batch, HOUR),
+        lambda batch: accounting.pending_slices(batch, HOUR, "start", "end", ["event_type", "inode"]), every=2)
+    requests = [0]
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        each(batch, batch_id)
+        each(batch, batch_id)
+        # a reader between two batches sees whole versions: completed requests only grow
+        seen = table.read().agg(F.sum("total_requests")).first()[0] or 0
+        if seen < requests[-1]:
+            raise AssertionError(f"a version lost requests: {requests[-1]} before, {seen} now")
+        requests.append(seen)
+
+    drain_batches(stream, twice, f"{path}/checkpoint")
+    return _shown(table.read())
+
+
 @query("t8_streaming_discovery", _DISCOVERED)
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accesses arrive in time order, as discovery needs them."""
