@@ -15,7 +15,7 @@ from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
 from slowtrace.session import scratch_path
 from slowtrace.sources.events import read_events_stream
-from slowtrace.streaming import calls, discovery, fold, merge, replay, stats, waits
+from slowtrace.streaming import calls, discovery, fold, late, merge, replay, stats, waits
 from slowtrace.streaming.run import drain_batches, drain_stateful, drained
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -139,6 +139,23 @@ def t1_block_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.closed_buckets(spark, f"{path}/stats")
 
 
+@query("t2_streaming_late_rows", f"""WITH {EV}, w AS (SELECT t // {HOUR} AS b, event_type, k % 20 AS resource, k % 3 AS ret FROM ev)
+SELECT b * {HOUR} AS bucket, event_type, resource, count(*) AS total_requests, count(*) FILTER (WHERE ret > 0) AS successful_count,
+  TRUE AS some_late, TRUE AS some_kept
+FROM w WHERE {_CLOSED.format(hour=HOUR, delay=2)} GROUP BY ALL""")
+def t2_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows come up to twelve hours out of order, the delay is two: sums of closed buckets and late rows give the input."""
+    wakes = event_stream(spark, sf_dir, 12 * HOUR).select(
+        "ts", "event_id", "event_type", (F.col("k") % 20).alias("resource"), (F.col("k") % 3).alias("ret"))
+    keys, values = ["event_type", "resource"], {"total_requests": F.lit(1), "successful_count": (F.col("ret") > 0).cast("int")}
+    path = scratch_path(spark, "late")
+    out = late.sums_and_late_rows(wakes, keys, values, HOUR, "2 hours", payload=["event_id"])
+    drain_stateful(out, late.late_batches(path, keys, [*values]), f"{path}/checkpoint")
+    kept, behind = late.closed_sums(spark, path), late.late_rows(spark, path)
+    whole = kept.unionByName(behind.drop("payload")).groupBy("bucket", *keys).agg(*[F.sum(v).alias(v) for v in values])
+    return whole.withColumns({"some_late": F.lit(not behind.isEmpty()), "some_kept": F.lit(not kept.isEmpty())})
+
+
 def wait_events(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
     ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*kinds))
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])
