@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slowtrace.functions.timebase import epoch_us
 from slowtrace.operators import accounting
 from slowtrace.plans.accounting_queries import (
-    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _calls, _shown, as_poll_events, completions, file_wait_sql, thread_wait_sql,
+    _CALL_STATS, _HIST, _KINDS, _MUX_KINDS, _POLL_KINDS, _POLLER, _calls, _shown, as_poll_events, completions, file_wait_sql,
+    thread_wait_sql,
 )
 from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, WEEK, events, intervals
 from slowtrace.plans.registry import query
@@ -191,7 +192,7 @@ _EXITS = {**_KINDS, "purchase": "thread_exit"}
 _EXIT_STOP = f"((SELECT max(t) // 1000 * 1000 FROM ev) - 2 * {HOUR}) // {HOUR} * {HOUR}"
 
 
-@query("t7_bounded_thread_waits", f"""WITH {EV}, moves AS (
+_BOUNDED = f"""WITH {EV}, moves AS (
   SELECT user_id % 20 AS poll_id, user_id AS tid, event_type AS kind, t AS s, lead(t) OVER w AS nt, lead(event_type) OVER w AS nk
   FROM ev WHERE event_type IN ('view', 'signup', 'purchase') AND t < {_EXIT_STOP}
   WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)
@@ -201,21 +202,52 @@ _EXIT_STOP = f"((SELECT max(t) // 1000 * 1000 FROM ev) - 2 * {HOUR}) // {HOUR} *
 ), sl AS (SELECT *, unnest(generate_series(s // {HOUR}, e // {HOUR})) AS b FROM waits WHERE e >= s)
 SELECT b * {HOUR} AS bucket, CAST(tid AS VARCHAR) AS name, CAST(poll_id AS VARCHAR) AS poll_id,
   CAST(sum(least(e, (b + 1) * {HOUR}) - greatest(s, b * {HOUR})) AS BIGINT) AS total_time, count(*) FILTER (WHERE b = done // {HOUR}) AS total_requests
-FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL""")
+FROM sl WHERE least(e, (b + 1) * {HOUR}) > greatest(s, b * {HOUR}) OR b = done // {HOUR} GROUP BY ALL"""
+
+
+@query("t7_bounded_thread_waits", _BOUNDED)
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases end a thread: its wait ends there, uncounted, and the thread leaves the state."""
     machine = _machine(spark, sf_dir, _EXITS)
     return waits.thread_waits(machine).select("bucket", "name", "poll_id", "total_time", "total_requests")
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> str:
-    ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*_KINDS))
+def _keyed_waits(spark: SparkSession, sf_dir: str, kinds: dict[str, str], quit_kind: str | None = None) -> DataFrame:
+    path = scratch_path(spark, "keyed-waits")
+    slices = calls.streaming_slices(
+        wait_events(spark, sf_dir, kinds).withColumnRenamed("thread", "name"), ["poll_id", "name"], "epoll_start", "epoll_end", HOUR,
+        ["poll_id", "name"], "2 hours", quit_kind=quit_kind)
+    drain_stateful(slices, calls.wait_batches(f"{path}/waits", ["poll_id", "name"]), f"{path}/checkpoint")
+    return calls.closed_buckets(spark, f"{path}/waits")
+
+
+@query("t4_keyed_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
+def t4_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state per thread of a set, so that a busy set is no single task."""
+    return _keyed_waits(spark, sf_dir, _KINDS)
+
+
+@query("t7_keyed_thread_waits", _BOUNDED)
+def t7_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where purchases end a thread."""
+    return _keyed_waits(spark, sf_dir, _EXITS, "thread_exit")
+
+
+def _replayed(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> str:
+    ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*kinds))
     path = scratch_path(spark, "replay")
     each = replay.replay_batches(path, HOUR, 2 * HOUR, WEEK)
-    drain_batches(as_poll_events(ev), each, f"{path}/checkpoint")
+    drain_batches(as_poll_events(ev, kinds), each, f"{path}/checkpoint")
     return path
 
 
+@query("t4_replayed_poll_waits", f"SELECT *, false AS is_epoll FROM ({thread_wait_sql(_STOP, _POLLER)})")
+def t4_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain poll calls in micro-batches of closed buckets."""
+    return replay.replayed_waits(spark, _replayed(spark, sf_dir, _POLL_KINDS), "thread_waits").select(
+        "bucket", "tid", F.col("poll_id").cast("bigint"), "is_epoll", "total_time", "total_requests")
+
+
 @query("t4_replayed_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
 def t4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed_waits(spark, _replayed(spark, sf_dir), "thread_waits").select(

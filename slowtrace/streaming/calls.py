@@ -42,8 +42,9 @@ SLICES = StructType([
 class CallMachine(StatefulProcessor):
     """One key. Times are microseconds; timers are milliseconds of event time."""
 
-    def __init__(self, bucket: int, start_kind: str, end_kind: str, open_slices: bool):
+    def __init__(self, bucket: int, start_kind: str, end_kind: str, open_slices: bool, quit_kind: str | None = None):
         self._bucket, self._start, self._end, self._open_slices = bucket, start_kind, end_kind, open_slices
+        self._quit = quit_kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -77,6 +78,10 @@ class CallMachine(StatefulProcessor):
             elif kind == self._end and now is not None:
                 out += self._slices(now, ts, ts)
                 now = None
+            elif kind == self._quit and now is not None:
+                if self._open_slices:
+                    out += self._slices(now, None, ts)
+                now = None
         if now is not None and self._open_slices and now[1] < closed:
             out += self._slices(now, None, closed)
             now = (now[0], closed, now[2])
@@ -139,18 +144,23 @@ def streaming_slices(
     delay: str = "2 seconds",
     event_time: str = "event_time",
     open_slices: bool = True,
+    quit_kind: str | None = None,
 ) -> DataFrame:
     """Slices of operations in closed buckets: bucket, start, end, slice, and the start row's ``payload``.
 
     ``events(keys…, event_time timestamp, ts long µs, seq, kind, payload…)``. ``end`` is there on the slice of the
-    bucket the operation ended in, and NULL on all others. ``open_slices=False`` leaves those others out.
+    bucket the operation ended in, and NULL on all others. ``open_slices=False`` leaves those others out. An event of
+    ``quit_kind`` (its thread exits, its set is closed) ends an operation there without an ``end``.
+
+    Threads that wait in a set are operations of the key (set, thread): a busy set is as many states as it has threads,
+    and :func:`wait_batches` adds them up.
     """
     carried = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}) if payload else F.lit("{}")
     fields = StructType([StructField(c, events.schema[c].dataType) for c in payload])
-    rows = events.filter(F.col("kind").isin(start_kind, end_kind)).select(*keys, event_time, "ts", "seq", "kind", carried.alias("payload"))
+    rows = events.filter(F.col("kind").isin(*filter(None, [start_kind, end_kind, quit_kind]))).select(*keys, event_time, "ts", "seq", "kind", carried.alias("payload"))
     slices = (
         rows.withWatermark(event_time, delay).groupBy(*keys)
-        .transformWithStateInPandas(CallMachine(bucket_us, start_kind, end_kind, open_slices), SLICES, outputMode="Append",
+        .transformWithStateInPandas(CallMachine(bucket_us, start_kind, end_kind, open_slices, quit_kind), SLICES, outputMode="Append",
                                     timeMode="EventTime")
     )
     if not payload:
@@ -171,6 +181,16 @@ def call_batches(path: str, keys: Sequence[str], ns_per_unit: int = 1) -> Callab
     return write
 
 
+def wait_batches(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """The same for waits of threads: time, and 0 requests where none ended."""
+    def write(slices: DataFrame, batch_id: int) -> None:
+        told = slices.filter("slice > 0 OR end IS NOT NULL").groupBy("bucket", *keys).agg(
+            F.sum("slice").alias("total_time"), F.count("end").alias("total_requests"))
+        told.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def io_batches(path: str, keys: Sequence[str], size: str | None = None, ns_per_unit: int = 1) -> Callable[[DataFrame, int], None]:
     """The same for block IO: the whole latency counts in the bucket of completion."""
     def write(slices: DataFrame, batch_id: int) -> None:

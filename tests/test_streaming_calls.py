@@ -104,6 +104,15 @@ def test_batch_again_counts_once(spark, tmp_path):
     assert shown(calls.closed_buckets(spark, out)) == [(0, "f", 250_000, 1)]
 
 
+def test_quitting_ends_uncounted(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    put(spark, src, [at(0.5, 1, "start", "a"), at(2.25, 1, "quit"), at(2.5, 1, "end"), at(1.0, 2, "quit"), at(1.5, 2, "start", "b"),
+                     at(1.75, 2, "end"), at(30.0, 3, "start")])
+    drain_stateful(slices(spark, src, quit_kind="quit"), calls.wait_batches(out, ["file"]), ck)
+    assert shown(calls.closed_buckets(spark, out).filter("file <> 'f'")) == [
+        (0, "a", 500_000, 0), (1, "a", US, 0), (2, "a", 250_000, 0), (1, "b", 250_000, 1)]
+
+
 def test_nothing_written_yet(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         calls.closed_buckets(spark, str(tmp_path / "none"))
