@@ -94,6 +94,16 @@ def settled_tables(spark: SparkSession) -> Iterator[None]:
             delete_folder(spark, path)
 
 
+def settled_path(df: DataFrame, outer: bool = False) -> str:
+    """Where :func:`settle` has written ``df``: several such tables of one schema can be read by one scan."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    if len(_OWNERS) > outer:
+        _OWNERS[-1 - outer].append(path)
+    df.write.parquet(path)
+    return path
+
+
 def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` once, as a table in the shared folder, and go on from there.
 
@@ -103,9 +113,4 @@ def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     the other side of a join its shuffle. It stays until the enclosing :func:`settled_tables` block ends
     (``outer``: the block around that one, for the result of a step that is left).
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "settled")
-    if len(_OWNERS) > outer:
-        _OWNERS[-1 - outer].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(settled_path(df, outer))
