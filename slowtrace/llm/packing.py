@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slowtrace.llm.tokens import encoder
-from slowtrace.session import settle
+from slowtrace.session import settle, settled_path
 
 CAPACITY = 1024
 END = 2
@@ -103,27 +102,50 @@ def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return items.where(opens), items.where(~opens)
 
 
-def _matched(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of best fit: (places of what went into gaps, the other items, the gaps that are left)."""
+class _Tables:
+    """Tables of one schema written by the rounds, kept as paths and read by one scan, so that plans stay small."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self._spark, self._schema, self._paths = spark, schema, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self._paths.append(settled_path(df))
+        return self._spark.read.schema(df.schema).parquet(self._paths[-1])
+
+    def rows(self) -> DataFrame:
+        if not self._paths:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(*self._paths)
+
+
+_STATE = "size long, kind int, id long, next_kind int, next_id long, next_size long, last_kind int"
+_MATCH = "kind = 0 AND next_kind = 1"
+
+
+def _matched(items: DataFrame, gaps: DataFrame, states: _Tables) -> tuple[DataFrame, DataFrame]:
+    """One round of best fit: (the items without a place, the gaps that are left). Places are in ``states``."""
     rows = items.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("item").alias("id")).union(
         gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id")))
     order = ("size", "kind", "id")
     swept = _running(_ranged(rows.withColumn("step", 1 - 2 * F.col("kind")), *order), "step", *order)
     level = Window.partitionBy("level").orderBy(*order)
-    state = settle(swept.withColumn("level", F.col("running") + F.col("kind"))
-                   .withColumns({"next_kind": F.lead("kind").over(level), "next_id": F.lead("id").over(level),
-                                 "next_size": F.lead("size").over(level), "last_kind": F.lag("kind").over(level)})
-                   .select(*order, "next_kind", "next_id", "next_size", "last_kind"))
-    matched = state.where("kind = 0 AND next_kind = 1")
-    placed = matched.select(F.col("id").alias("item"), F.col("next_id").alias("sequence_id"),
-                            (F.lit(capacity) - F.col("next_size")).alias("offset"))
+    state = states.add(swept.withColumn("level", F.col("running") + F.col("kind"))
+                       .withColumns({"next_kind": F.lead("kind").over(level), "next_id": F.lead("id").over(level),
+                                     "next_size": F.lead("size").over(level), "last_kind": F.lag("kind").over(level)})
+                       .select(*order, "next_kind", "next_id", "next_size", "last_kind"))
     items = state.where("kind = 0 AND NOT next_kind <=> 1").select(F.col("id").alias("item"), F.col("size").alias("length"))
-    gaps = (state.where("kind = 1 AND NOT last_kind <=> 0").select(F.col("id").alias("sequence_id"), F.col("size").alias("gap"))
-            .union(matched.select(F.col("next_id"), F.col("next_size") - F.col("size"))).where("gap > 0"))
-    return placed, items, gaps
+    # a matched item leaves the rest of its gap, an unmatched gap stays
+    matched, alone = F.expr(_MATCH), F.expr("kind = 1 AND NOT last_kind <=> 0")
+    gaps = state.where(matched | alone).select(
+        F.when(matched, F.col("next_id")).otherwise(F.col("id")).alias("sequence_id"),
+        F.when(matched, F.col("next_size") - F.col("size")).otherwise(F.col("size")).alias("gap")).where("gap > 0")
+    return items, gaps
 
 
-def _laid(items: DataFrame, gaps: DataFrame, capacity: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+_LAID = "item long, length long, sequence_id long, gap long, offset long"
+
+
+def _laid(items: DataFrame, gaps: DataFrame, capacity: int, small: int, laid: _Tables) -> tuple[DataFrame, DataFrame]:
     """Items below ``small`` end to end along all gaps, the largest of both first; results as of :func:`_matched`."""
     def along(df: DataFrame, size: str, key: str) -> DataFrame:
         order = ("__down", key)
@@ -135,49 +157,55 @@ def _laid(items: DataFrame, gaps: DataFrame, capacity: int, small: int) -> tuple
     chain = along(items, "length", "item")
     met = (chain.withColumn("cell", F.expr(f"at div {small}")).join(cell, "cell")
            .where("at >= begin AND at + length <= begin + gap"))
-    inside = settle(met.select("item", "length", "sequence_id", "gap", "at"))
     # what lies within one gap is one run; it begins where the gap does
     first = F.min("at").over(Window.partitionBy("sequence_id"))
-    placed = inside.select("item", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("at") - first).alias("offset"))
+    inside = laid.add(met.select("item", "length", "sequence_id", "gap",
+                                 (F.lit(capacity) - F.col("gap") + F.col("at") - first).cast("long").alias("offset")))
     taken = inside.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
     left = (gaps.join(taken, "sequence_id", "left")
             .select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0"))
-    return placed, items.join(inside.select("item"), "item", "left_anti"), left
+    return items.join(inside.select("item"), "item", "left_anti"), left
+
+
+def _sizes(items: DataFrame, gaps: DataFrame):
+    """Number and least length of the items, and the widest gap, by one job."""
+    none = F.lit(None).cast("long")
+    both = items.select("length", none.alias("gap")).union(gaps.select(none, "gap"))
+    return both.agg(F.count("length").alias("n"), F.min("length").alias("least"), F.max("gap").alias("widest")).first()
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, sequence_id, offset) for ``items`` (item unique long, length from 1 to ``capacity``)."""
-    small = max(2, capacity // 16)
+    spark, small = items.sparkSession, max(2, capacity // 16)
     items = settle(items)
-    empty = items.select(F.col("item").alias("sequence_id"), F.col("length").alias("gap")).where("false")
-    placed: list[DataFrame] = [items.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-                               .where("false")]
-    closed: list[DataFrame] = []  # gaps too small for any large piece, not for small ones
-    tiny, items, gaps, at_tiny = items.where(F.col("length") < small), items.where(F.col("length") >= small), empty, False
+    states, openings, laid = _Tables(spark, _STATE), _Tables(spark, "item long, length long"), _Tables(spark, _LAID)
+    closed = _Tables(spark, "sequence_id long, gap long")  # gaps too small for any large piece, not for small ones
+    gaps = closed.rows()
+    tiny, items, at_tiny = items.where(F.col("length") < small), items.where(F.col("length") >= small), False
     while True:
-        left = items.agg(F.count("*").alias("n"), F.min("length").alias("least")).first()
+        left = _sizes(items, gaps)
         if not left["n"]:
             if at_tiny:
                 break
-            items, gaps, at_tiny = tiny, reduce(DataFrame.union, [*closed, gaps]), True
+            closed.add(gaps)
+            items, gaps, at_tiny = tiny, closed.rows(), True
             continue
-        widest = gaps.agg(F.max("gap")).first()[0]
-        if widest is None or left["least"] > widest:
-            opening, items = _opened(items, capacity)
-            opening = settle(opening)
-            placed.append(opening.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-            new = opening.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap"))
+        if left["widest"] is None or left["least"] > left["widest"]:
             # gaps that fit nothing of this size now never will
-            if not at_tiny:
-                closed.append(gaps)
-            gaps = new.where("gap > 0")
+            if not at_tiny and left["widest"] is not None:
+                closed.add(gaps)
+            opening, items = _opened(items, capacity)
+            opening = openings.add(opening.select("item", "length"))
+            gaps = (opening.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap"))
+                    .where("gap > 0"))
         if at_tiny:
-            laid, items, gaps = _laid(items, gaps.where(F.col("gap") >= left["least"]), capacity, small)
-            placed.append(laid)
+            items, gaps = _laid(items, gaps.where(F.col("gap") >= left["least"]), capacity, small, laid)
             items, gaps = settle(items), settle(gaps)
-        put, items, gaps = _matched(items, gaps, capacity)
-        placed.append(put)
-    return reduce(DataFrame.union, placed)
+        items, gaps = _matched(items, gaps, states)
+    first = F.lit(0).cast("long").alias("offset")
+    return (openings.rows().select("item", F.col("item").alias("sequence_id"), first)
+            .union(states.rows().where(_MATCH).select("id", "next_id", F.lit(capacity) - F.col("next_size")))
+            .union(laid.rows().select("item", "sequence_id", "offset")))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
