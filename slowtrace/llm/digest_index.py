@@ -8,23 +8,20 @@ batch is shuffled: the index is read bucket by bucket.
 from __future__ import annotations
 
 import hashlib
+import string
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from slowtrace.session import settle
 
 _INDEX = "digest BINARY, doc_id BIGINT, row BIGINT"
 
 
-@F.arrow_udf(BinaryType())
-def text_digest(text: pa.Array) -> pa.Array:
+def text_digest(text: Column) -> Column:
     """SHA-256 of the UTF-8 text after lower-casing A-Z; a null counts as an empty text."""
-    lowered = pc.ascii_lower(pc.fill_null(text, "")).cast(pa.binary())
-    return pa.array([hashlib.sha256(t).digest() for t in lowered.to_pylist()], pa.binary())
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(lowered, 256))
 
 
 class DigestIndex:
@@ -41,6 +38,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Take the index out of the catalog; its files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, batch: DataFrame) -> None:
         """Add the digests of ``batch`` (digest, doc_id, row) that the index lacks.
 
@@ -66,9 +67,11 @@ def exact_groups(prints: DataFrame, index: DigestIndex) -> DataFrame:
 
     Rows are added to the index in two batches, larger ids first, so the index holds the largest ``doc_id`` of each
     text it did not have before. Of rows that repeat both id and text exactly one is kept. A null ``doc_id`` loses
-    against any id. An empty table gives an empty result.
+    against any id. An empty table gives an empty result. Ids may be any 64-bit integers; columns other than the
+    text and doc_id are ignored, whatever their names.
     """
-    bounds = prints.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()
+    # halves are added: the sum of two ids may pass 64 bits
+    bounds = prints.agg(F.expr("min(doc_id) div 2 + max(doc_id) div 2")).first()
     upper = F.coalesce(F.col("doc_id") >= F.lit(bounds[0]).cast("long"), F.lit(False))
     index.add(prints.where(upper))
     index.add(prints.where(~upper))

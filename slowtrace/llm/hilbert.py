@@ -41,10 +41,20 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def text_order(column: str | Column) -> Column:
-    """A number in the order of the first six bytes of a text; null as null."""
-    head = F.substring(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8"), 1, 6)
-    return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("long")
+def with_text_order(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: how many rows have a smaller text in ``column`` (by whole UTF-8 bytes); null as null.
+
+    Distinct texts with their counts are range-sorted; a text's number is the running sum inside its range plus the
+    rows of the ranges before it (one number per range).
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    ranges = settle(values.repartitionByRange(column).withColumn("__range", F.spark_partition_id()))
+    sums = ranges.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    before = sums.select("__range", (F.sum("__all").over(Window.orderBy("__range")) - F.col("__all")).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__range").orderBy(column)) - F.col("__n")
+    order = settle(ranges.withColumn("__within", within).join(F.broadcast(before), "__range")
+                   .select(F.col(column).alias("__value"), (F.col("__before") + F.col("__within")).alias(name)))
+    return df.join(order, F.col(column) == F.col("__value"), "left").drop("__value")
 
 
 def curve_order(df: DataFrame, dims: Sequence[Column], bits: int = 5, accuracy: int = 1_000) -> DataFrame:
@@ -92,10 +102,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFram
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = settle(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        text_order("lang").alias("__lang"), text_order("source").alias("__source"),
-        F.monotonically_increasing_id().alias("__row"),
+        F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.monotonically_increasing_id().alias("__row"),
     ))
-    placed = curve_order(meta, [F.col("__lang"), F.col("__source"), F.col("size")], bits).drop("__lang", "__source")
+    ordered = with_text_order(with_text_order(meta, "__lang", "__lang_at"), "__source", "__source_at").drop("__lang", "__source")
+    dims = [F.col("__lang_at"), F.col("__source_at"), F.col("size")]
+    placed = curve_order(settle(ordered), dims, bits).drop("__lang_at", "__source_at")
     return cut_runs(placed, ["curve", "text_crc32", "doc_id", "__row"], shards).drop("__row")
 
 
@@ -103,8 +114,13 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, rows_per_file:
     """Write ``docs`` as one folder per shard, in curve order, with bounded files.
 
     ``assigned`` comes from :func:`shard_documents`; rows meet by doc_id and text checksum (nulls included), rows
-    equal in both are written once each.
+    equal in both are written once each. The folders are named ``shard_id=…``, with as many underscores behind the name
+    as keep it apart from the columns of ``docs``.
     """
+    folder = "shard_id"
+    while folder in docs.columns:
+        folder += "_"
+
     def numbered(df: DataFrame, *order: str) -> DataFrame:
         return df.withColumn("__nth", F.row_number().over(
             Window.partitionBy("__id", "__crc").orderBy(*order)))
@@ -113,6 +129,6 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, rows_per_file:
     right = numbered(assigned.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"),
                                      F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "__shard", "__slot")
     on = (left["__id"].eqNullSafe(right["__id"]) & (left["__crc"] == right["__crc"]) & (left["__nth"] == right["__nth"]))
-    (left.join(right, on).select(*[left[c] for c in docs.columns], F.col("__shard").alias("shard_id"), "__slot")
-     .repartitionByRange("shard_id", "__slot").sortWithinPartitions("shard_id", "__slot").drop("__slot")
-     .write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard_id").parquet(path))
+    (left.join(right, on).select(*[left[c] for c in docs.columns], F.col("__shard").alias(folder), "__slot")
+     .repartitionByRange(folder, "__slot").sortWithinPartitions(folder, "__slot").drop("__slot")
+     .write.option("maxRecordsPerFile", rows_per_file).partitionBy(folder).parquet(path))

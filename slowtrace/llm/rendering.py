@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,13 @@ ENDS_P = BLOCK - {"html", "body", "legend", "summary", "option", "optgroup", "ca
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",)}
 # --- end of fixed values
 
+_SPANNED = ("td", "th", "tr", "caption", "colgroup")
+# by tag that begins: what it ends, and what keeps it from looking further up
+_ENDS = {tag: frozenset(mine for mine, tags in IMPLIED_END.items() if tag in tags)
+         for tag in {t for tags in IMPLIED_END.values() for t in tags}}
+_STOPS = {tag: frozenset({"table", *SCOPE.get(tag, ()), *(BLOCK - {"p", "div", "address"} if tag in SCOPE else ())}) - ends
+          for tag, ends in _ENDS.items()}
+
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -73,43 +81,36 @@ def tree(html: str) -> Node:
     """The element tree of a page; never fails, whatever is missing or left open."""
     root = Node("#root")
     open_: list[Node] = [root]
-    counts: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # depths of the open elements of each tag: no scan of what is open
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(open_))
+        open_.append(node)
 
     def close_to(depth: int) -> None:
         while len(open_) > depth:
-            counts[open_.pop().tag] -= 1
+            places[open_.pop().tag].pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close_implied(tag: str) -> None:
-        if counts.get("p") and tag in ENDS_P:
-            for depth in range(len(open_) - 1, 0, -1):
-                if open_[depth].tag == "p":
-                    close_to(depth)
-                    break
-                if open_[depth].tag in ("td", "th", "table", "caption", "button"):
-                    break
-        for depth in range(len(open_) - 1, 0, -1):
+        if tag in ENDS_P and last("p") > last("td", "th", "table", "caption", "button"):
+            close_to(last("p"))
+        while tag in _ENDS and (depth := last(*_ENDS[tag])) > last(*_STOPS[tag]):
             mine = open_[depth].tag
-            if tag in IMPLIED_END.get(mine, ()):
-                close_to(depth)
-                if mine not in ("td", "th", "tr", "caption", "colgroup"):
-                    break
-            elif mine == "table" or mine in SCOPE.get(tag, ()) or tag in SCOPE and mine in BLOCK - {"p", "div", "address"}:
+            close_to(depth)
+            if mine not in _SPANNED:
                 break
 
     def open_row() -> None:
         """A cell in a table or section without a row opens one; what is open between ends."""
-        for depth in range(len(open_) - 1, 0, -1):
-            mine = open_[depth].tag
-            if mine in ("tr", "td", "th", "caption"):
-                return
-            if mine == "table" or mine in SECTIONS:
-                if mine == "table" or any(n.tag == "table" for n in open_[:depth]):
-                    close_to(depth + 1)
-                    row = Node("tr")
-                    open_[-1].children.append(row)
-                    open_.append(row)
-                    counts["tr"] = counts.get("tr", 0) + 1
-                return
+        depth = last("table", *SECTIONS)
+        if depth > last("tr", "td", "th", "caption") and places.get("table") and places["table"][0] <= depth:
+            close_to(depth + 1)
+            row = Node("tr")
+            open_[-1].children.append(row)
+            push(row)
 
     at = 0
     while at < len(html):
@@ -128,10 +129,9 @@ def tree(html: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            if counts.get(tag):
-                depth = max(i for i, n in enumerate(open_) if n.tag == tag)
+            if depth := last(tag):
                 # a cell's content does not close what lies around its table
-                if tag in ("table", "body", "html") or not any(n.tag == "table" for n in open_[depth + 1:]):
+                if tag in ("table", "body", "html") or last("table") <= depth:
                     close_to(depth)
             elif tag == "p":
                 open_[-1].children.append(Node("p"))
@@ -141,7 +141,7 @@ def tree(html: str) -> Node:
         close_implied(tag)
         if tag in ("td", "th"):
             open_row()
-        foreign = tag in FOREIGN or any(counts.get(f) for f in FOREIGN)
+        foreign = tag in FOREIGN or last(*FOREIGN) > 0
         node = Node(tag, _attributes(found.group(3)) if found.group(3).strip(" \t\r\n\f/") else None)
         if foreign and tag in UNDRAWN:
             node.attributes["hidden"] = ""
@@ -154,8 +154,7 @@ def tree(html: str) -> Node:
             node.children.append(unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end() if end else len(html)
         elif tag not in VOID:
-            open_.append(node)
-            counts[tag] = counts.get(tag, 0) + 1
+            push(node)
     return root
 
 
@@ -213,26 +212,30 @@ class _Page:
         return self.lines
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    for child in table.children:
-        if isinstance(child, Node) and not child.hidden():
-            if child.tag == "tr":
+def _parts(table: Node, into: tuple[str, ...]) -> Iterator[Node | str]:
+    """What lies in a table and, in its place, what lies in its elements ``into``, however deep; nothing hidden."""
+    work = [iter(table.children)]
+    while work:
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+        elif isinstance(child, str):
+            yield child
+        elif not child.hidden():
+            if child.tag in into:
+                work.append(iter(child.children))
+            else:
                 yield child
-            elif child.tag in SECTIONS:
-                yield from _rows(child)
+
+
+def _rows(table: Node) -> Iterator[Node]:
+    return (n for n in _parts(table, tuple(SECTIONS)) if isinstance(n, Node) and n.tag == "tr")
 
 
 def _loose(table: Node) -> Iterator[Node | str]:
     """What lies in a table or its sections outside of rows."""
-    for child in table.children:
-        if isinstance(child, str):
-            if child.strip():
-                yield child
-        elif not child.hidden():
-            if child.tag in SECTIONS or child.tag == "colgroup":
-                yield from _loose(child)
-            elif child.tag not in ("tr", "col"):
-                yield child
+    return (n for n in _parts(table, (*SECTIONS, "colgroup"))
+            if (n.strip() if isinstance(n, str) else n.tag not in ("tr", "col")))
 
 
 def _number(text: str, default: int) -> int:
@@ -240,50 +243,55 @@ def _number(text: str, default: int) -> int:
     return int(digits.group(1)) if digits else default
 
 
-def _table(page: _Page, table: Node, cap: int) -> None:
-    grid: list[list[list[str]]] = []
-    held: dict[tuple[int, int], bool] = {}
+def _table(page: _Page, table: Node, cap: int) -> Iterator[Iterator]:
+    """Lay a table out in columns; yields what must be rendered first. Columns without any text take no room."""
+    grid: list[dict[int, list[str]]] = []
+    held: list[list[int]] = []  # [first column, column behind, rows left] of cells that reach down
     for child in _loose(table):
-        _render(page, child)
+        yield _render(page, child)
         page.block(1)
-    for y, row in enumerate(_rows(table)):
-        cells, x = [], 0
+    for row in _rows(table):
+        cells: dict[int, list[str]] = {}
+        taken, reaching, x = sorted(h[:2] for h in held), [], 0
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip() or isinstance(cell, Node) and cell.hidden():
                 continue
-            while held.get((y, x)):
-                cells.append([])
-                x += 1
+            while taken and taken[0][0] <= x:
+                x = max(x, taken.pop(0)[1])
             inner = _Page()
             is_cell = isinstance(cell, Node) and cell.tag in ("td", "th")
             for child in cell.children if is_cell else [cell]:
-                _render(inner, child)
-            cells.append(inner.done() or [""])
+                yield _render(inner, child)
+            cells[x] = inner.done() or [""]
             wide = min(max(_number(cell.attributes.get("colspan", ""), 1), 1), 1000) if is_cell else 1
             high = min(max(_number(cell.attributes.get("rowspan", ""), 1), 1), 1000) if is_cell else 1
-            for dy in range(1, high):
-                for dx in range(wide):
-                    held[y + dy, x + dx] = True
-            cells += [[] for _ in range(wide - 1)]
+            if high > 1:
+                reaching.append([x, x + wide, high - 1])
             x += wide
+        held = [[a, b, rows - 1] for a, b, rows in held if rows > 1] + reaching
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        for x, lines in enumerate(cells):
+        for x, lines in cells.items():
             widths[x] = max(widths.get(x, 0), min(cap, max(map(len, lines), default=0)))
+    columns = sorted(x for x, width in widths.items() if width)
+    offsets = dict(zip(columns, accumulate((widths[x] + 2 for x in columns), initial=0), strict=False))
     for cells in grid:
-        for i in range(max(map(len, cells), default=0)):
-            parts = [(lines[i] if i < len(lines) else "").ljust(widths[x]) for x, lines in enumerate(cells)]
-            line = "  ".join(parts).rstrip()
-            if line:
+        shown = [(offsets[x], lines) for x, lines in sorted(cells.items()) if x in offsets]
+        for i in range(max((len(lines) for _, lines in shown), default=0)):
+            line = ""
+            for at, lines in shown:
+                if i < len(lines) and lines[i].rstrip(" "):
+                    line += " " * max(at - len(line), 2 if line else 0) + lines[i]
+            if line := line.rstrip():
                 page._open()
                 page.line.append(line)
                 page.end()
     page.block(1)
 
 
-def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None = None) -> None:
-    # a stack of its own instead of recursion: pages may nest without bound
+def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None = None) -> Iterator[Iterator]:
+    # a stack of its own instead of recursion, and tables are yielded: pages may nest without bound
     work: list = [(node, pre, list_)]
     while work:
         item = work.pop()
@@ -314,7 +322,7 @@ def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None
             continue
         if tag == "table":
             page.block(2)
-            _table(page, node, cap=60)
+            yield _table(page, node, cap=60)
             page.block(2)
             continue
         if tag in BLOCK:
@@ -329,7 +337,7 @@ def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None
                 else:
                     mark = "- "
                 page._open()
-                page.line.append("  " * max(depth - 1, 0) + mark)
+                page.line.append("  " * min(max(depth - 1, 0), 20) + mark)  # bounded, so that long lists in lists stay linear
             work.append(lambda gap=gap: page.block(gap))
         elif tag in ("td", "th", "text"):  # cells outside of tables, texts of drawings
             work.append(lambda: page.text(" "))
@@ -344,14 +352,21 @@ def _render(page: _Page, node: Node | str, pre: bool = False, list_: list | None
 def render(html: str) -> str:
     """Visible text of one page."""
     page = _Page()
-    _render(page, tree(html))
+    work = [_render(page, tree(html))]
+    while work:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        else:
+            work.append(inner)
     return "\n".join(page.done()).strip("\n")
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the visible text in ``out``; a null page stays null, an empty one gives an empty text.
 
-    Each row stands for itself: repeated rows give repeated results, other columns stay as they are.
+    Each row stands for itself: repeated rows give repeated results, other columns stay as they are. Long and deeply
+    nested pages take time in proportion to their length.
     """
     @F.arrow_udf("string")
     def rendered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

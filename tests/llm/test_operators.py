@@ -5,6 +5,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -102,6 +103,28 @@ def test_exact_index_persists(spark, docs, odd, none):
     assert digest_index.drop_exact(none, digest_index.DigestIndex(spark, scratch_path(spark, "t"), 4)).count() == 0
 
 
+def test_exact_of_any_ids(spark):
+    """Ids whose sum passes 64 bits, negative ones, and columns named like those of the index."""
+    ids = [2 ** 63 - 1, 2 ** 62, 2 ** 62 + 1, -2 ** 63, -5, None, 0]
+    rows = [(i, t, b"d", 3) for i, t in zip(ids, ["A", "a", "b", "B", "c", "c", None], strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest binary, row long")
+    index = digest_index.DigestIndex(spark, scratch_path(spark, "t"), 4)
+    got = digest_index.exact_groups(digest_index.fingerprints(docs), index).collect()
+    index.close()
+    assert {r["doc_id"]: r["keep_id"] for r in got} == {
+        2 ** 63 - 1: 2 ** 63 - 1, 2 ** 62: 2 ** 63 - 1, 2 ** 62 + 1: 2 ** 62 + 1, -2 ** 63: 2 ** 62 + 1, -5: -5, None: -5, 0: 0}
+    assert {bytes(r["digest"]) for r in got if r["doc_id"] == 0} == {hashlib.sha256(b"").digest()}
+
+
+def test_digest_without_python(spark, capsys):
+    docs = spark.createDataFrame([(1, "Ä A")], "doc_id long, text string")
+    df = docs.select(digest_index.text_digest(F.col("text")).alias("d"))
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EvalPython" not in plan and "InArrow" not in plan
+    assert bytes(df.first()["d"]) == hashlib.sha256("Ä a".encode()).digest()
+
+
 # --- substrings
 
 def brute_substrings(rows):
@@ -445,6 +468,25 @@ def test_curve_visits_neighbours(dims, bits):
     assert (steps == 1).all()
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td>" * 3000 + "deep", "deep"), ("<table>" * 3000 + "deep", "deep"), ("<div>" * 30000 + "deep", "deep"),
+    ("<table>" + "<tr><td rowspan=1000 colspan=1000>a<td>b" * 300 + "</table>", None),
+    ("<table><tr>" + "<td rowspan=1000 colspan=1000>a" * 20 + "</table>", None),
+    ("<span>" * 20000 + "<li>a" * 5000, None), ("<b>" * 20000 + "</i>" * 20000 + "end", "end"), ("<ul><li>" * 3000 + "deep", None),
+])
+def test_deep_and_wide_pages(page, text):
+    """Nesting without bound and cells that span a million places take time in proportion to the page."""
+    began = time.monotonic()
+    got = rendering.render(page)
+    assert time.monotonic() - began < 5 and len(got) < 100 * len(page)
+    assert text is None or got.split() == [text]
+
+
+def test_spanning_cells_hold_their_place():
+    page = "<table><tr><td rowspan=3>a<td>b<td>c<tr><td>d<td>e<tr><td colspan=2>f<tr><td>g<td>h<td>i</table>"
+    assert rendering.render(page).split("\n") == ["a  b  c", "   d  e", "   f", "g  h  i"]
+
+
 def test_shards(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = docs.union(docs.limit(3)).union(docs.limit(2).select(F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None)))
@@ -462,6 +504,29 @@ def test_shards(spark, none):
     assert hilbert.shard_documents(empty).count() == 0
 
 
+def test_long_common_starts_keep_their_order(spark):
+    """Sources that differ only behind a long common start still are a dimension, in byte order; nulls lie first."""
+    sources = [f"https://a.example/{i:03d}" for i in (5, 1, 3, 1)] + [None, "", "https://a.example/é"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(sources)], "n int, source string")
+    got = {r["source"]: r["at"] for r in hilbert.with_text_order(df, "source", "at").collect()}
+    assert got == {None: None, "": 0, "https://a.example/001": 1, "https://a.example/003": 3, "https://a.example/005": 4,
+                   "https://a.example/é": 5}
+    docs = spark.createDataFrame([(i, "t", "en", f"https://a.example/{i % 64:03d}") for i in range(640)],
+                                 "doc_id long, text string, lang string, source string")
+    placed = hilbert.shard_documents(docs).collect()
+    assert len({r["curve"] for r in placed}) >= 30
+    in_order = sorted(placed, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in in_order] == sorted(r["curve"] for r in placed)
+
+
+def test_shard_folders_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "s", 9) for i in range(16)], "doc_id long, text string, lang string, source string, shard_id int")
+    path = scratch_path(spark, "shards")
+    hilbert.write_shards(docs, hilbert.shard_documents(docs), path)
+    got = spark.read.parquet(path)
+    assert sorted(got.columns) == sorted([*docs.columns, "shard_id_"]) and got.where("shard_id = 9").count() == 16
+
+
 # --- quality
 
 def test_forward_backward_by_enumeration():
