@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A file is an Arrow IPC stream without compression. Its rows are sequences of ``LENGTH`` ids with a mask as long, both
-fixed-size lists; a batch holds ``ROWS`` of them, the last one of a file what is left. Equal batches take equally many
+fixed-size lists (ids of 16 bits where the vocabulary allows, else 32); a batch holds ``ROWS`` of them, the last one of a file what is left. Equal batches take equally many
 bytes, so sequence ``i`` lies at a place that follows from ``i`` by arithmetic: a memory-mapped file gives it without
 reading anything else and without copying. The mask is 1 on ids, 2 on the last id of a document and 0 on the padding of
 a file's last sequence. Beside each token file lies a stream file of the ids of its documents in the same order.
@@ -24,19 +24,24 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from slowtrace.llm.tokens import byte_of_symbol
+
 LENGTH, ROWS, PER_FILE = 1024, 256, 64 * 256
 END = 2
 TOKEN, LAST = 1, 2  # in a mask; 0 is padding
-_TELLS = ("task int, nth int, path string, length int, rows int, header long, batch_bytes long, n_sequences long, "
+_TELLS = ("task int, nth int, path string, length int, rows int, bits int, header long, batch_bytes long, n_sequences long, "
           "n_tokens long, n_documents long")
 
 
@@ -51,7 +56,13 @@ class WordEncoder:
     def __init__(self, path: str, remember: int = 600_000, longest: int = 200):
         self._library, self._remember, self._longest = Tokenizer.from_file(path), remember, longest
         with open(path, encoding="utf-8") as file:
-            self._by_word = _parts_at_blanks(json.load(file)) and self._blanks_part()
+            spec = json.load(file)
+        self._by_word = _parts_at_blanks(spec) and self._blanks_part()
+        self._merges = _merges(spec) if self._by_word else None
+        if self._merges is not None:
+            self._cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _BLANKS))
+            self._added = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.size = self._library.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
@@ -67,12 +78,18 @@ class WordEncoder:
                    for gap in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"))
 
     def _learn(self, words: list[bytes]) -> None:
-        coded = self._library.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [c.ids for c in coded]
+        ids = [self._quick(w) for w in words]
         self._known.update(zip(words, range(len(self._known), len(self._known) + len(words)), strict=True))
-        self._flat = np.concatenate([self._flat, *(np.array(i, np.uint32) for i in ids)])
+        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
         self._ends = np.append(self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids]))
 
+    def _quick(self, word: bytes) -> list[int]:
+        """Ids of one word: by the same merges in tiktoken, where its letters are ones both lower alike."""
+        text = word.decode("utf-8", "replace")
+        if self._merges is None or _RARE.search(text) or self._added.search(text):
+            return self._whole(text)
+        return self._merges.encode_ordinary(" ".join(self._cut.findall(text.lower())) + " ")
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         split, places = [], []
@@ -98,6 +115,35 @@ class WordEncoder:
         return out
 
 
+#: White space below U+0250; beyond that, letters and spaces are left to the library.
+_BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
+_RARE = regex.compile("[^\\x00-\\u024f]")
+
+
+def _merges(spec: dict) -> tiktoken.Encoding | None:
+    """The merges of a file that marks ends of words, in tiktoken: a blank behind each word stands for the mark.
+
+    The merges of such a file are numbered in their order behind the bytes, bare and marked, which is how tiktoken
+    ranks them. None for files of another make.
+    """
+    model, cuts = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    mark, special = model.get("end_of_word_suffix"), {t["content"] for t in spec["added_tokens"]}
+    if not mark or len(cuts) != 2 or cuts[1]["type"] != "ByteLevel" or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+        return None
+    if len(model["vocab"]) - len(special & model["vocab"].keys()) != 512 + len(model["merges"]):
+        return None
+    symbols, ranks = byte_of_symbol(), {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            bare = token.removesuffix(mark)
+            ranks[bytes(symbols[c] for c in bare) + (b" " if bare != token else b"")] = i
+    for i, pair in enumerate(model["merges"]):
+        left, right = pair.split(" ") if isinstance(pair, str) else pair
+        if model["vocab"].get(left + right) != 512 + i:
+            return None
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+
 def _parts_at_blanks(spec: dict) -> bool:
     """Whether the rules of a tokenizer file can be followed word by word."""
     rules = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
@@ -116,12 +162,14 @@ def encoder(path: str) -> WordEncoder:
 
 # --- the file format ------------------------------------------------------------------------------------------------
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)])
+def sequence_schema(length: int, bits: int) -> pa.Schema:
+    """Ids of 16 or 32 bits."""
+    ids = pa.uint16() if bits == 16 else pa.uint32()
+    return pa.schema([pa.field("ids", pa.list_(ids, length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)])
 
 
-def _batch(ids: np.ndarray, mask: np.ndarray, length: int) -> pa.RecordBatch:
-    schema = sequence_schema(length)
+def _batch(ids: np.ndarray, mask: np.ndarray, length: int, bits: int) -> pa.RecordBatch:
+    schema, ids = sequence_schema(length, bits), ids.astype(np.uint16 if bits == 16 else np.uint32)
     return pa.RecordBatch.from_arrays([
         pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length),
     ], schema=schema)
@@ -130,12 +178,12 @@ def _batch(ids: np.ndarray, mask: np.ndarray, length: int) -> pa.RecordBatch:
 class _Writer:
     """One token file and its file of document ids; rows are written as soon as a batch is full."""
 
-    def __init__(self, folder: str, id_type: pa.DataType, length: int, rows: int):
-        self.length, self.rows = length, rows
+    def __init__(self, folder: str, id_type: pa.DataType, length: int, rows: int, bits: int):
+        self.length, self.rows, self.bits = length, rows, bits
         place, root = fs.FileSystem.from_uri(folder)
         self.path = f"tokens-{uuid.uuid4().hex}.arrows"
         self._out = place.open_output_stream(f"{root}/{self.path}")
-        self._stream = pa.ipc.new_stream(self._out, sequence_schema(length))
+        self._stream = pa.ipc.new_stream(self._out, sequence_schema(length, bits))
         self.header, self.batch_bytes = 0, 0
         self._id_out = place.open_output_stream(f"{root}/{self.path}.docs")
         self._id_stream = pa.ipc.new_stream(self._id_out, pa.schema([("doc_id", id_type)]))
@@ -174,10 +222,10 @@ class _Writer:
                 pad = -len(part) % self.length
                 part, seen = np.pad(part, (0, pad)), np.pad(seen, (0, pad))
             before = self._out.tell()
-            self._stream.write_batch(_batch(part, seen, self.length))
+            self._stream.write_batch(_batch(part, seen, self.length, self.bits))
             if not self.n_sequences:
                 # the schema is written before the first batch, if not earlier
-                self.batch_bytes = pa.ipc.get_record_batch_size(_batch(part, seen, self.length))
+                self.batch_bytes = pa.ipc.get_record_batch_size(_batch(part, seen, self.length, self.bits))
                 self.header = self._out.tell() - self.batch_bytes
             elif len(part) == full and self._out.tell() - before != self.batch_bytes:
                 raise AssertionError("batches of one file differ in size")
@@ -197,12 +245,13 @@ class _Writer:
 def _write(vocabulary: str, folder: str, length: int, rows: int, per_file: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary), TaskContext.get().partitionId()
+        bits = 16 if encode.size <= 2 ** 16 else 32
         done: list[tuple] = []
         writer: _Writer | None = None
 
         def close() -> None:
             writer.close()
-            done.append((task, len(done), writer.path, length, rows, writer.header, writer.batch_bytes, writer.n_sequences,
+            done.append((task, len(done), writer.path, length, rows, bits, writer.header, writer.batch_bytes, writer.n_sequences,
                          writer.n_tokens, writer.n_documents))
 
         for batch in batches:
@@ -214,7 +263,7 @@ def _write(vocabulary: str, folder: str, length: int, rows: int, per_file: int):
                     mask = np.full(len(ids), TOKEN, np.uint8)
                     mask[-1] = LAST
                     if writer is None:
-                        writer = _Writer(folder, doc_ids.type, length, rows)
+                        writer = _Writer(folder, doc_ids.type, length, rows, bits)
                     writer.add(ids, mask)
                     writer.ended(doc_ids[start + i].as_py())
                     if writer.n_tokens >= per_file * length:
@@ -224,8 +273,9 @@ def _write(vocabulary: str, folder: str, length: int, rows: int, per_file: int):
             close()
         if done:
             columns = [pa.array(c) for c in zip(*done, strict=True)]
-            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
-            names = ["task", "nth", "path", "length", "rows", "header", "batch_bytes", "n_sequences", "n_tokens", "n_documents"]
+            types = [pa.int32(), pa.int32(), pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 5]
+            names = ["task", "nth", "path", "length", "rows", "bits", "header", "batch_bytes", "n_sequences", "n_tokens",
+                     "n_documents"]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
     return run
 
@@ -280,13 +330,14 @@ class SequenceFile:
     path: str
     length: int
     rows: int
+    bits: int
     header: int
     batch_bytes: int
     n_sequences: int
 
     def batches(self, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, mask) of batches ``first`` to ``last`` (excluded), rows x length; views of a mapped file."""
-        schema = sequence_schema(self.length)
+        schema = sequence_schema(self.length, self.bits)
         end = -(-self.n_sequences // self.rows)
         source = _source(self.folder, self.path)
         for k in range(first, end if last is None else min(last, end)):
@@ -314,8 +365,8 @@ class Sequences:
 
     def __init__(self, spark: SparkSession, folder: str):
         rows = files(spark, folder).orderBy("file").collect()  # one row per file
-        self._files = [SequenceFile(folder, r["path"], r["length"], r["rows"], r["header"], r["batch_bytes"], r["n_sequences"])
-                       for r in rows]
+        self._files = [SequenceFile(folder, r["path"], r["length"], r["rows"], r["bits"], r["header"], r["batch_bytes"],
+                                    r["n_sequences"]) for r in rows]
         self._firsts = np.array([r["before_sequences"] for r in rows], np.int64)
         self._n = sum(f.n_sequences for f in self._files)
 
@@ -333,12 +384,12 @@ def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = SequenceFile(folder, row["path"], row["length"], row["rows"], row["header"], row["batch_bytes"],
-                                   row["n_sequences"])
+                own = SequenceFile(folder, row["path"], row["length"], row["rows"], row["bits"], row["header"],
+                                   row["batch_bytes"], row["n_sequences"])
                 names, at = own.doc_ids(), row["before_tokens"]
                 waiting, begun, crc = next(names), at, 0
                 for ids, mask in own.batches():
-                    ids, mask = ids.reshape(-1), mask.reshape(-1)
+                    ids, mask = ids.reshape(-1).astype("<u4"), mask.reshape(-1)
                     n, done = int(np.count_nonzero(mask)), 0  # padding comes last
                     out = []
                     for end in (np.flatnonzero(mask == LAST) + 1).tolist():

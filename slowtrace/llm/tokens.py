@@ -18,7 +18,8 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LONG_PIECE = re.compile(r"\S{2000}|\s{2000}")
 
 
-def _byte_of_symbol() -> dict[str, int]:
+def byte_of_symbol() -> dict[str, int]:
+    """The byte each printable stand-in means."""
     others = [b for b in range(256) if b not in set(PRINTABLE)]
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
 
@@ -41,7 +42,7 @@ class Encoder:
                  and not model.get("unk_token") and not model.get("ignore_merges"))
         if plain:
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-            symbols = _byte_of_symbol()
+            symbols = byte_of_symbol()
             ranks = {bytes(symbols[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
             self._fast = tiktoken.Encoding("corpus", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
 

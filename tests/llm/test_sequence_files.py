@@ -64,7 +64,7 @@ def test_sequences_by_number(spark, written):
     for f in files:
         with pa.memory_map(f"{folder.removeprefix('file://')}/tokens/{f['path']}") as source, pa.ipc.open_stream(source) as stream:
             for batch in stream:
-                every += [np.array(x, np.uint32) for x in batch.column("ids").to_pylist()]
+                every += [np.array(x, np.uint16) for x in batch.column("ids").to_pylist()]
                 masks += [np.array(x, np.uint8) for x in batch.column("mask").to_pylist()]
     order = list(range(len(sequences)))
     random.Random(1).shuffle(order)
@@ -112,6 +112,25 @@ def test_encoder_equals_the_library(remember, longest):
             assert ids.tolist() == ids_of(text)[:-1], text[:50]
 
 
+def test_every_letter_of_the_quick_way():
+    """Each code point below U+0250 alone, inside words, and beside digits, quotes and marks."""
+    encode = WordEncoder(VOCABULARY)
+    assert encode._merges is not None
+    words = [w for c in map(chr, range(0x250)) if not (c.encode()).isspace()
+             for w in (c, f"ab{c}cd", f"{c}{c}1", f"A{c}'s", f".{c}!", f"don't{c}", f"'{c}ve'll")]
+    for word, ids in zip(words, encode([w.encode() for w in words]), strict=True):
+        assert ids.tolist() == ids_of(word)[:-1], repr(word)
+
+
+def test_words_of_the_corpus(spark):
+    """All distinct words of a table, against the library."""
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = sorted({w for t in texts for w in t.split()})
+    encode = WordEncoder(VOCABULARY)
+    want = [c.ids for c in LIBRARY.encode_batch(words, add_special_tokens=False)]
+    assert len(words) > 10_000 and [i.tolist() for i in encode([w.encode() for w in words])] == want
+
+
 def test_encoder_of_other_files():
     """A vocabulary that keeps white space gets whole texts."""
     path = public_tokenizers.path("byte_bpe_50k.json")
