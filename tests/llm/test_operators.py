@@ -151,6 +151,43 @@ def test_substrings(docs, rows, odd, none):
     assert substrings.drop_repeats(none).count() == 0
 
 
+def test_substrings_without_shared_sketch(docs, rows, odd):
+    """A sketch too large to be sent to every task: the same rows through a join with its counters."""
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.drop_repeats(docs, shared_bits=0).collect()}
+    assert got == brute_substrings(rows)
+    strange = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(odd, shared_bits=0).collect())
+    assert strange == sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(odd).collect())
+
+
+def test_substrings_with_unsure_copies(monkeypatch, docs, rows):
+    """A filter of copies that passes other rows as well: they are told apart by a join."""
+    monkeypatch.setattr(substrings.KeyFilter, "passes", lambda self, *columns: F.lit(True))
+    monkeypatch.setattr(substrings.KeyFilter, "mask", lambda self, keys: np.ones(len(keys), bool))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.drop_repeats(docs).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_sketch_never_underestimates():
+    """Sketches of parts of the cells, added: no counter is below the true count, up to two."""
+    draw = np.random.default_rng(7)
+    bits = substrings.SLICE_BITS + 2
+    cells = draw.integers(0, 2 ** 63, 30_000, dtype=np.uint64)
+    cells = np.concatenate([cells, draw.choice(cells, 9_000), np.full(500, cells[0])])
+    sent = defaultdict(list)
+    for part in np.array_split(draw.permutation(cells), 7):
+        for name, filled in substrings.partial_sketch(part, bits):
+            sent[name].append(filled)
+    merged = {name: substrings.added(iter(parts)) for name, parts in sent.items()}
+    distinct, n = np.unique(cells, return_counts=True)
+    estimates = []
+    for row in range(2):
+        at = substrings.counter_of(distinct, row, bits).astype(np.int64)
+        estimates.append([merged[2 * (a >> substrings.SLICE_BITS) + row][a & (2 ** substrings.SLICE_BITS - 1)] for a in at.tolist()])
+    estimate = np.min(estimates, axis=0)
+    assert (estimate >= np.minimum(n, 2)).all()
+    assert (estimate[n == 1] > 1).mean() < 0.01
+
+
 # --- near duplicates
 
 def brute_near(rows):
