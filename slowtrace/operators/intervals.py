@@ -104,6 +104,40 @@ def split_by_bucket(
     )
 
 
+def covering_nodes(first: str, last: str) -> Column:
+    """The fewest dyadic nodes (level, node) that cover the cells from ``first`` to ``last``, at most two per level.
+
+    Node ``n`` of level ``k`` holds the cells ``n * 2**k`` to ``(n + 1) * 2**k - 1``. On each level the nodes left over at
+    either side, which no node of the next level can take, are those with an odd border.
+    """
+    left, right = f"(-shiftright(-{first}, k))", f"shiftright({last} + 1, k)"
+    edges = ", ".join(
+        f"named_struct('level', k, 'node', IF({left} < {right} AND {border} % 2 <> 0, {node}, NULL))"
+        for border, node in ((left, left), (right, f"{right} - 1"))
+    )
+    levels = f"sequence(0, length(bin({last} - {first} + 1)) - 1)"
+    return F.expr(f"filter(flatten(transform({levels}, k -> array({edges}))), n -> n.node IS NOT NULL)")
+
+
+def _met_by_points(df: DataFrame, other: DataFrame, bounds: tuple[str, str], other_bounds: tuple[str, str], width: int, role: int) -> DataFrame:
+    """Rows of ``df`` once per node that covers them (``__role`` = ``role``) and once per node that may hold their start."""
+    def cells(side: DataFrame, start: str, end: str) -> DataFrame:
+        last = F.greatest(F.col(start), F.col(end) - F.lit(1))
+        return side.withColumns({"__first": floor_div(F.col(start), width), "__last": floor_div(last, width)})
+
+    def node_role(value: int) -> Column:
+        return F.lit(value).alias("role")
+
+    longest = cells(upright(other, *other_bounds), *other_bounds).agg(F.max(F.expr("length(bin(__last - __first + 1)) - 1")).alias("top"))
+    spread = cells(upright(df, *bounds), *bounds).withColumn("__top", F.coalesce(longest.scalar(), F.lit(0)))
+    cover = F.transform(covering_nodes("__first", "__last"), lambda n: F.struct(node_role(role), n["level"].alias("level"), n["node"].alias("node")))
+    above = F.transform(F.sequence(F.lit(0), F.col("__top")), lambda k: F.struct(
+        node_role(1 - role), k.alias("level"), F.call_function("shiftright", F.col("__first"), k).alias("node")))
+    met = spread.filter(F.col("__first").isNotNull() & F.col("__last").isNotNull()).withColumn("__at", F.explode(F.concat(cover, above)))
+    return met.withColumns({"__role": F.col("__at.role"), "__level": F.col("__at.level"), "__node": F.col("__at.node")}).drop(
+        "__at", "__first", "__last", "__top")
+
+
 def intersect_intervals(
     left: DataFrame,
     right: DataFrame,
@@ -114,26 +148,22 @@ def intersect_intervals(
 ) -> DataFrame:
     """Every overlapping pair of intervals with equal keys, with ``start`` and ``end`` of the overlap.
 
-    Both sides are spread over time cells, so the join is an equi join on
-    ``(keys, cell)`` and a hot key is split over its cells. A pair meets in every cell it
-    shares and is reported only in the one where the overlap begins.
+    Of two intervals that overlap one starts inside the other. So each interval is cut into the O(log n) dyadic nodes of time
+    cells that cover it, each start looks up the nodes above its cell, and both meet by an equi join: a pair once,
+    however many cells it shares, and nobody else but neighbours in the cell of a border. Levels go up to the longest
+    interval of the other side; a hot key is split over its nodes.
     """
     ls, le = left_bounds
     rs, re = right_bounds
-
-    def spread(df: DataFrame, start: str, end: str) -> DataFrame:
-        last = F.greatest(F.col(start), F.col(end) - F.lit(1))
-        return explode_range(upright(df, start, end), floor_div(F.col(start), cell_width), floor_div(last, cell_width), "__cell")
-
-    start, end = F.greatest(ls, rs), F.least(le, re)
+    one = _met_by_points(left, right, left_bounds, right_bounds, cell_width, 0)
+    two = _met_by_points(right, left, right_bounds, left_bounds, cell_width, 1)
+    inside = F.when(F.col("__role") == 0, F.col(rs) >= F.col(ls)).otherwise(F.col(ls) > F.col(rs))
     return (
-        spread(left, ls, le)
-        .join(spread(right, rs, re), [*keys, "__cell"])
-        .filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
-        .filter(F.col("__cell") == floor_div(start, cell_width))
-        .withColumn("start", start)
-        .withColumn("end", end)
-        .drop("__cell")
+        one.join(two, [*keys, "__role", "__level", "__node"])
+        .filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & inside)
+        .withColumn("start", F.greatest(ls, rs))
+        .withColumn("end", F.least(le, re))
+        .drop("__role", "__level", "__node")
     )
 
 

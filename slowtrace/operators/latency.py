@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slowtrace.functions.scalars import slo_flag
@@ -100,6 +102,47 @@ def response_percentiles_hdr(
     )
 
 
+def _histograms(slots: DataFrame, keys: list[str]) -> DataFrame:
+    """(slot, n) rows of each group as one array in slot order; there are at most a few thousand slots."""
+    return slots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("slots"), F.sum("n").alias("total"))
+
+
+def tick_histograms(requests: DataFrame, width: int, keys: Sequence[str] = (), end: str = "end", duration: str = "duration") -> DataFrame:
+    """``keys, tick, slots, total``: the durations of requests that ended in each tick, as a histogram to be stored.
+
+    A request counts in one tick, so stored histograms can be added over any wider interval. Requests without a duration
+    or an end are left out; a negative duration fails the job, as slots start at 0.
+    """
+    value = F.col(duration)
+    value = F.when(value < 0, F.raise_error(F.lit("negative duration")).cast("bigint")).otherwise(hdr_value(value))
+    placed = requests.filter(F.col(duration).isNotNull() & F.col(end).isNotNull()).select(
+        *keys, (floor_div(F.col(end), width) * F.lit(width).cast("bigint")).alias("tick"), value.alias("slot"))
+    return _histograms(placed.groupBy(*keys, "tick", "slot").agg(F.count(F.lit(1)).alias("n")), [*keys, "tick"])
+
+
+def merged_histograms(histograms: DataFrame, width: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Stored histograms added over ticks of ``width``, a multiple of theirs; the log is not needed."""
+    wide = (floor_div(F.col("tick"), width) * F.lit(width).cast("bigint")).alias("tick")
+    slots = histograms.select(*keys, wide, F.inline("slots"))
+    return _histograms(slots.groupBy(*keys, "tick", "slot").agg(F.sum("n").alias("n")), [*keys, "tick"])
+
+
+def histogram_quantiles(histograms: DataFrame, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, tick, total`` and per quantile, named ``p<percent>``, the smallest slot that so many requests do not pass."""
+    def at(q: float) -> Column:
+        need = F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1))
+
+        def step(found: Column, slot: Column) -> Column:
+            upto = found["upto"] + slot["n"]
+            hit = found["value"].isNull() & (upto >= need)
+            return F.struct(upto.alias("upto"), F.when(hit, slot["slot"]).otherwise(found["value"]).alias("value"))
+
+        nothing = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("value"))
+        return F.aggregate("slots", nothing, step, lambda found: found["value"])
+
+    return histograms.select(*keys, "tick", "total", *[at(q).alias(f"p{100 * q:g}".replace(".", "_")) for q in qs])
+
+
 def throughput(
     requests: DataFrame, factor: int = 1, end: str = "end", half_open: bool = False, dense: bool = True
 ) -> DataFrame:

@@ -344,6 +344,17 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("j5_long_intervals", f"""WITH {REQ}, lives AS (SELECT user_id, min(s) AS s, max(e) AS e FROM req GROUP BY user_id)
+SELECT r.user_id, r.event_id, greatest(l.s, r.s) AS start, least(l.e, r.e) AS "end"
+FROM lives l JOIN req r ON l.user_id = r.user_id AND l.s < r.e AND r.s < l.e""")
+def j5_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user within the user's whole span, which covers thousands of cells."""
+    calls = intervals(spark, sf_dir)
+    lives = calls.groupBy("user_id").agg(F.min("start").alias("a_start"), F.max("end").alias("a_end"))
+    asked = calls.select("user_id", "event_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    return iv.intersect_intervals(lives, asked, ["user_id"], HOUR).select("user_id", "event_id", "start", "end")
+
+
 def sector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as block IO samples: supplier → device, part → thread, ship day → second."""
     from slowtrace.functions.timebase import epoch_us

@@ -8,8 +8,9 @@ from slowtrace.functions.scalars import slo_flag
 from slowtrace.functions.timebase import floor_div
 from slowtrace.operators import correlate as co, latency
 from slowtrace.operators.intervals import active_at_ticks
-from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, events, per_epoch, requests
+from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, events, intervals, per_epoch, requests
 from slowtrace.plans.registry import query
+from slowtrace.session import settle
 
 _TICKS = f"""WITH {REQ}, span AS (SELECT min(s) AS lo, max(e) AS hi FROM req
 ), ticks AS (SELECT lo + unnest(generate_series(0, {{stop}})) * {HOUR} AS tick FROM span
@@ -47,6 +48,21 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.response_percentiles_hdr(requests(spark, sf_dir), 0.95, HOUR)
 
 
+@query("a10_stored_histograms", f"""WITH {REQ}, slots AS (
+  SELECT event_type, e // {HOUR} * {HOUR} AS tick,
+         cents + (1 << greatest(length(bin(cents)) - 8, 0)) - 1 - cents % (1 << greatest(length(bin(cents)) - 8, 0)) AS slot FROM req
+), placed AS (SELECT *, row_number() OVER (PARTITION BY event_type, tick ORDER BY slot) AS place,
+                     count(*) OVER (PARTITION BY event_type, tick) AS n FROM slots)
+SELECT event_type, tick, max(n) AS total, min(slot) FILTER (place >= ceil(0.5::DOUBLE * n)) AS p50,
+       min(slot) FILTER (place >= ceil(0.99::DOUBLE * n)) AS p99 FROM placed GROUP BY ALL""")
+def a10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles per hour from histograms stored per minute, without the log."""
+    log = intervals(spark, sf_dir).select("event_type", "end", F.col("cents").alias("duration"))
+    stored = settle(latency.tick_histograms(log, 60_000_000, ["event_type"]))
+    hours = latency.merged_histograms(stored, HOUR, ["event_type"])
+    return latency.histogram_quantiles(hours, [0.5, 0.99], ["event_type"])
+
+
 @query("j6_active_at_ticks", f"""{_WITHIN}
 SELECT tick, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM active GROUP BY tick""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:

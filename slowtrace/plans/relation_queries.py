@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from slowtrace.functions.timebase import floor_div
 from slowtrace.operators import relations as rel
 from slowtrace.operators.discovery import ALWAYS, discover
-from slowtrace.plans.bindings import DAY, EV, events, orminus, table
+from slowtrace.plans.bindings import DAY, EV, HOUR, events, orminus, table
 from slowtrace.plans.registry import query
+from slowtrace.session import settle
 from slowtrace.sources.constants import build_consts
 
 
@@ -93,6 +95,20 @@ def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.inventory(events(spark, sf_dir), ["user_id", "event_type"], "k")
 
 
+@query("a16_inventory_sketches", f"""WITH {EV}
+SELECT event_type, t // {DAY} * {DAY} AS bucket, count(DISTINCT event_id) AS n_events, TRUE AS within FROM ev GROUP BY ALL""")
+def a16_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per day from sketches stored per hour and user: the exact number, and whether the estimate is near (4 sigma)."""
+    log = events(spark, sf_dir)
+    stored = settle(rel.inventory_sketches(log, ["user_id", "event_type"], "event_id", "t", HOUR))
+    near = rel.inventory_estimates(stored, ["event_type"], DAY, "near")
+    day = log.withColumn("bucket", floor_div(F.col("t"), DAY) * F.lit(DAY).cast("bigint"))
+    exact = rel.inventory(day, ["event_type", "bucket"], "event_id").withColumnRenamed("n_event_id", "n_events")
+    off = F.abs(F.col("n_near") - F.col("n_events"))
+    return exact.join(near, ["event_type", "bucket"]).select(
+        "event_type", "bucket", "n_events", (off <= F.greatest(F.lit(1.0), 0.065 * F.col("n_events"))).alias("within"))
+
+
 @query("a16_members", f"WITH {EV} SELECT DISTINCT user_id, event_type, k FROM ev")
 def a16_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.members(events(spark, sf_dir), ["user_id", "event_type", "k"])
