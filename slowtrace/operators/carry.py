@@ -11,6 +11,9 @@ Rows of one key must follow the cells: the cell may not decrease along the order
 The parts of a key travel as one struct: a join on ``=`` then pairs NULL with NULL, as the
 plain window does, and stays on the partitioning of the window.
 ``cell=None`` means the groups are known to be small and asks for the plain window.
+
+A cell of fixed width does not know where rows crowd. :func:`with_balanced_cells` takes its borders from the data: about so
+many rows to a cell, whatever the key and however bursty it is.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from slowtrace.session import settle
+
 _CELL = "__cell"
 _KEY = "__key"
 _HERE, _OVER = "__here_", "__over_"
@@ -53,6 +58,37 @@ def _joined(inside: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
     return joined.select("*", *[F.col(_KEY).getField(k).alias(k) for k in moved])
 
 
+_CELLS = 1024        # cells that a key is cut into at most
+_SKETCH_SIZE = 8192  # of a quantile sketch: its rank error is below a cell of the most finely cut key
+
+
+def with_balanced_cells(df: DataFrame, keys: Sequence[str], ts: str, rows: int, out: str = "__balanced") -> DataFrame:
+    """``df`` with ``out``: which stretch of integer ``ts`` a row is in, where a stretch of a key holds about ``rows`` rows.
+
+    Quantile sketches are filled on the map side and merged per key; only keys with more than ``rows`` rows keep their
+    borders, a small settled table that is broadcast by its measured size. A key is cut into 1,024 stretches at most.
+    Rows with equal ``ts`` stay together, rows without one are in the first stretch; other keys have one, number 0.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    sketched = df.groupBy(key.alias(_KEY)).agg(
+        F.kll_sketch_agg_bigint(F.col(ts).cast("bigint"), _SKETCH_SIZE).alias("sketch"), F.count(ts).alias("n")
+    ).filter(F.col("n") > rows)
+    ranks = F.array(*[F.lit(i / _CELLS) for i in range(1, _CELLS)])
+    borders = settle(sketched.select(
+        _KEY, F.kll_sketch_get_quantile_bigint("sketch", ranks).alias("__borders"),
+        F.least(F.ceil(F.col("n") / F.lit(rows)), F.lit(_CELLS)).alias("__cells"),
+    ))
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.get("__borders", at + step - 1) <= F.col(ts), at + step).otherwise(at)
+
+    # halving search for the number of borders that are not above ts
+    steps = F.array(*[F.lit(_CELLS >> i) for i in range(1, _CELLS.bit_length())])
+    passed = F.aggregate(steps, F.lit(0), further)
+    cell = F.coalesce(F.floor(passed * F.col("__cells") / F.lit(_CELLS)), F.lit(0).cast("bigint"))
+    return df.withColumn(_KEY, key).join(borders, [_KEY], "left").select(*df.columns, cell.alias(out))
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.timebase import ceil_div, floor_div
-from slowtrace.operators.carry import with_neighbours
+from slowtrace.operators.carry import with_balanced_cells, with_neighbours
 from slowtrace.operators.ranges import explode_range, time_cell
 
 NS_PER_HOUR = 3_600_000_000_000
@@ -23,18 +23,22 @@ def pair_events(
     order: Sequence[str] | None = None,
     payload: Sequence[str] = (),
     cell_width: int | None = NS_PER_HOUR,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Completed operations: ``keys, start, end`` + the start row's ``payload``.
 
     An end belongs to the event right before it when that is a start; a newer start
-    replaces an unfinished one, and an end without an open start is ignored.
+    replaces an unfinished one, and an end without an open start is ignored. A key is cut every ``cell_width`` of time or,
+    with ``cell_rows``, into stretches of about so many rows.
     """
     order = list(order or [ts])
     wanted = events.filter(F.col(kind).isin(start_kind, end_kind))
     take = {"__prev_kind": kind, "start": ts, **{f"__from_{c}": c for c in payload}}
     cell = None if cell_width is None else time_cell(F.col(ts), cell_width)
-    needed = dict.fromkeys([*keys, kind, *order, ts, *payload])
-    seen = with_neighbours(wanted.select(*needed), keys, order, cell, previous=take)
+    wanted = wanted.select(*dict.fromkeys([*keys, kind, *order, ts, *payload]))
+    if cell_rows is not None:
+        wanted, cell = with_balanced_cells(wanted, keys, ts, cell_rows), F.col("__balanced")
+    seen = with_neighbours(wanted, keys, order, cell, previous=take)
     return seen.filter((F.col(kind) == end_kind) & (F.col("__prev_kind") == start_kind)).select(
         *keys, "start", F.col(ts).alias("end"), *[F.col(f"__from_{c}").alias(c) for c in payload]
     )

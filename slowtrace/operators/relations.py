@@ -115,9 +115,10 @@ def enrich_sockets(
     )
     ends = inet.select(inode, "src_address", "src_port", "dst_address", "dst_port")
     links = peers.select(F.col("sock1_inode_id").alias(inode), F.col("sock2_inode_id").alias("peer_inode_id"))
-    return (
-        waits.join(sockets, [inode], "left").join(ends, [inode], "left").join(links, [inode], "left")
-    )
+    # the small tables first: the waits, where a busy socket has most rows, are shuffled once
+    known = sockets.join(ends, [inode], "full").join(links, [inode], "full")
+    described = [c for c in known.columns if c != inode]
+    return waits.join(known, [inode], "left").select(*waits.columns, *[known[c] for c in described])
 
 
 def inventory(points: DataFrame, parent: Sequence[str], child: str) -> DataFrame:

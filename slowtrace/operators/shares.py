@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowtrace.functions.timebase import epoch_us
-from slowtrace.operators.carry import with_neighbours
+from slowtrace.operators.carry import with_balanced_cells, with_neighbours
 from slowtrace.operators.keys import join_groups
 from slowtrace.operators.ranges import time_cell
 
@@ -25,9 +25,12 @@ def taskstats_view(
     taskstats: DataFrame,
     keys: Sequence[str] = ("tid",),
     cell_us: int | None = US_PER_HOUR,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Share of the time between two snapshots a thread spent in each state.
 
+    A thread is cut every ``cell_us`` or, with ``cell_rows``, into stretches of about so many snapshots.
+
     The first snapshot of a thread has no predecessor and is dropped. Block IO is part
     of the uninterruptible time, so it is not subtracted again. A counter that went
     backwards (a reused thread id) gives a NULL share rather than a wrapped one.
@@ -36,7 +39,10 @@ def taskstats_view(
     taken = {"__us_last": "__us", **{f"__last_{s}": c for s, c in _STATES.items()}}
     cell = None if cell_us is None else time_cell(F.col("__us"), cell_us)
     needed = dict.fromkeys(["ts", "__us", "pid", "tid", "comm", *keys, *_STATES.values()])
-    seen = with_neighbours(stamped.select(*needed), keys, ["__us"], cell, previous=taken)
+    stamped = stamped.select(*needed)
+    if cell_rows is not None:
+        stamped, cell = with_balanced_cells(stamped, keys, "__us", cell_rows), F.col("__balanced")
+    seen = with_neighbours(stamped, keys, ["__us"], cell, previous=taken)
     spent = {s: F.col(c) - F.col(f"__last_{s}") for s, c in _STATES.items()}
     deltas = seen.filter(F.col("__us_last").isNotNull()).select(
         "ts",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slowtrace.functions.scalars import histogram_columns, log10_bucket
-from slowtrace.functions.timebase import floor_to
+from slowtrace.functions.timebase import epoch_us, floor_to
 from slowtrace.operators import accounting, intervals as iv, multiplex
 from slowtrace.operators.carry import with_running_sum
 from slowtrace.operators.ranges import time_cell
@@ -58,12 +58,17 @@ _SHARES = EV + """, snaps AS (
 
 @query("w1_task_state_shares", f"WITH {_SHARES} SELECT * FROM shares")
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from slowtrace.functions.timebase import epoch_us
-
     view = taskstats_view(taskstats(spark, sf_dir), cell_us=WEEK)
     return view.withColumn("t", epoch_us(F.col("ts"))).drop("ts")
 
 
+@query("w1_task_state_shares_balanced", f"WITH {_SHARES} SELECT * FROM shares")
+def w1_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of busy threads cut by number instead of time."""
+    view = taskstats_view(taskstats(spark, sf_dir), cell_rows=20)
+    return view.withColumn("t", epoch_us(F.col("ts"))).drop("ts")
+
+
 @query("w8_split_by_bucket", f"""WITH {REQ}, sl AS (
   SELECT event_id, s, e, unnest(generate_series(s // {HOUR}, (e - 1) // {HOUR})) AS b FROM req WHERE e > s)
 SELECT event_id, b * {HOUR} AS bucket, least(e, (b + 1) * {HOUR}) - greatest(s, b * {HOUR}) AS slice FROM sl""")
@@ -181,6 +186,20 @@ def j4_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("j4_pair_events_balanced", f"""WITH {EV}, seen AS (
+  SELECT user_id % 3 AS tenant, event_type, t, lag(event_type) OVER w AS pk, lag(t) OVER w AS start, lag(cents) OVER w AS cents
+  FROM (SELECT * FROM ev WHERE event_type IN ('click', 'purchase'))
+  WINDOW w AS (PARTITION BY user_id % 3 ORDER BY t, event_id))
+SELECT tenant, start, t AS "end", cents FROM seen WHERE event_type = 'purchase' AND pk = 'click'""")
+def j4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three keys hold all rows: they are cut where the rows are."""
+    owned = events(spark, sf_dir).withColumn("tenant", F.col("user_id") % 3)
+    return iv.pair_events(
+        owned, ["tenant"], "click", "purchase", kind="event_type", ts="t",
+        order=["t", "event_id"], payload=["cents"], cell_rows=200,
+    )
+
+
 @query("j4_open_events", f"""WITH {EV}, last AS (
   SELECT user_id, arg_max(event_type, t) AS kind, max(t) AS start FROM ev
   WHERE event_type IN ('click', 'purchase') GROUP BY user_id)

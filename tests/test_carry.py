@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from slowtrace.operators.carry import with_last_known, with_neighbours, with_running_sum
+from slowtrace.operators.carry import with_balanced_cells, with_last_known, with_neighbours, with_running_sum
 from slowtrace.operators.ranges import explode_range, time_cell, value_cell
 from slowtrace.operators.ranking import avg_rank, quantile
 
+rng = random.Random(3)
+
 
 @pytest.fixture(scope="module", params=[False, True], ids=["keys", "null_key"])
 def log(spark, request):
@@ -92,3 +94,33 @@ def test_explode_range_skips_empty_and_crosses_chunks(spark):
         F.min("n"), F.max("n"), F.count("n"), F.count_distinct("n")
     )
     assert sorted(map(tuple, got.collect())) == [(2, -3, 2, 6, 6), (3, 4000, 9000, 5001, 5001), (4, 7, 7, 1, 1)]
+
+
+def burst(n):
+    """A hot key with nearly all its rows in one second of a day, the key NULL, light keys, equal times, no times."""
+    times = [rng.randrange(86_400_000_000) for _ in range(n // 10)] + [3_600_000_000 + rng.randrange(1_000_000) for _ in range(n)]
+    rows = [("hot", t) for t in times] + [(None, t) for t in times[:n // 2]] + [("light", t) for t in times[:50]]
+    return rows + [("hot", 3_600_000_000)] * 7 + [("hot", None)] * 3 + [("tie", 5)] * (n // 3)
+
+
+def test_balanced_cells_hold_about_so_many_rows(spark):
+    """A burst is cut as finely as the rest; cells never decrease along the time."""
+    df = spark.createDataFrame(burst(20_000), "k string, t long")
+    cut = with_balanced_cells(df, ["k"], "t", 1_000)
+    assert cut.count() == df.count()
+    sizes = {(r.k, r.cell): (r.n, r.low, r.high) for r in cut.groupBy("k", F.col("__balanced").alias("cell")).agg(
+        F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()}
+    assert all(n <= 2_000 for (k, _), (n, _, _) in sizes.items() if k != "tie")
+    assert len([k for k, _ in sizes if k == "hot"]) == 23 and [c for k, c in sizes if k == "light"] == [0]
+    hot = [sizes["hot", c] for c in range(23)]
+    assert all(a[2] < b[1] for a, b in zip(hot, hot[1:]))
+
+
+def test_neighbours_over_balanced_cells_are_those_of_the_plain_window(spark):
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(burst(900))], "k string, t long, i long")
+    plain = with_neighbours(df, ["k"], ["t", "i"], None, previous={"p": "i"})
+    cut = with_neighbours(with_balanced_cells(df, ["k"], "t", 40), ["k"], ["t", "i"], F.col("__balanced"), previous={"p": "i"})
+    cut = cut.drop("__balanced")
+    assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+    empty = with_balanced_cells(df.limit(0), ["k"], "t", 40)
+    assert empty.isEmpty() and empty.columns == [*df.columns, "__balanced"]
