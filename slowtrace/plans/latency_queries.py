@@ -9,8 +9,9 @@ from slowtrace.functions.timebase import floor_div
 from slowtrace.operators import correlate as co, latency
 from slowtrace.operators.intervals import active_at_ticks
 from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, events, intervals, per_epoch, requests
+from slowtrace.plans.jobs import request_report
 from slowtrace.plans.registry import query
-from slowtrace.session import settle
+from slowtrace.session import scratch_path, settle
 
 _TICKS = f"""WITH {REQ}, span AS (SELECT min(s) AS lo, max(e) AS hi FROM req
 ), ticks AS (SELECT lo + unnest(generate_series(0, {{stop}})) * {HOUR} AS tick FROM span
@@ -63,6 +64,24 @@ def a10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.histogram_quantiles(hours, [0.5, 0.99], ["event_type"])
 
 
+@query("job_request_report", f"""{_WITHIN}, slots AS (
+  SELECT tick, cents + (1 << greatest(length(bin(cents)) - 8, 0)) - 1 - cents % (1 << greatest(length(bin(cents)) - 8, 0)) AS slot FROM active
+), placed AS (
+  SELECT tick, slot, row_number() OVER (PARTITION BY tick ORDER BY slot) AS place, count(*) OVER (PARTITION BY tick) AS n FROM slots
+), times AS (
+  SELECT ticks.tick // {HOUR} AS tick, coalesce(min(slot), 0) AS response_time
+  FROM ticks LEFT JOIN placed ON placed.tick = ticks.tick AND place >= greatest(ceil(0.95::DOUBLE * n), 1) GROUP BY ticks.tick
+), ends AS (SELECT min(e) AS lo, max(e) AS hi FROM req
+), steps AS (SELECT * FROM (SELECT lo + unnest(generate_series(0, (hi - lo) // {HOUR})) * {HOUR} AS since, hi FROM ends) WHERE since < hi
+), done AS (SELECT since // {HOUR} AS tick, count(e) AS operations FROM steps LEFT JOIN req ON e BETWEEN since AND since + {HOUR} GROUP BY since)
+SELECT tick, response_time, operations FROM times FULL JOIN done USING (tick)""")
+def job_request_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: the events written as a request log, read again and reported per hour."""
+    path = scratch_path(spark, "requests")
+    requests(spark, sf_dir).select("start", "end", "duration").write.csv(path)
+    return request_report(spark, path, 0.95, HOUR)
+
+
 @query("j6_active_at_ticks", f"""{_WITHIN}
 SELECT tick, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM active GROUP BY tick""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:

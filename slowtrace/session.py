@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,17 +81,21 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-_OWNERS: list[list[str]] = []
+# of each thread its own: what another thread settles meanwhile is not ours to delete
+_OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
 @contextmanager
 def settled_tables(spark: SparkSession) -> Iterator[None]:
     """Owns the tables settled inside the block and deletes them at its end, when results have been written."""
-    _OWNERS.append([])
+    owned: list[str] = []
+    outer = _OWNERS.get()
+    _OWNERS.set((*outer, owned))
     try:
         yield
     finally:
-        for path in _OWNERS.pop():
+        _OWNERS.set(outer)
+        for path in owned:
             delete_folder(spark, path)
 
 
@@ -98,8 +103,9 @@ def settled_path(df: DataFrame, outer: bool = False) -> str:
     """Where :func:`settle` has written ``df``: several such tables of one schema can be read by one scan."""
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
-    if len(_OWNERS) > outer:
-        _OWNERS[-1 - outer].append(path)
+    owners = _OWNERS.get()
+    if len(owners) > outer:
+        owners[-1 - outer].append(path)
     df.write.parquet(path)
     return path
 

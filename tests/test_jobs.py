@@ -1,9 +1,13 @@
 """The three ways in, end to end on small inputs."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
 from slowtrace.plans.jobs import RawLogs, request_report, store_run, suspects, tree_rates
+from slowtrace.session import settle, settled_tables
 from slowtrace.sources.store import register_views
 from test_sources import put
 
@@ -92,3 +96,16 @@ def test_request_log_to_report(spark, tmp_path):
     put(str(tmp_path), "log.csv", "0,5,5\n0,15,15\n10,20,10\n")
     report = request_report(spark, str(tmp_path), 0.5, 10)
     assert rows(report) == [(0, 5, 2), (1, 10, 2), (2, 10, None)]
+
+
+def test_threads_delete_only_what_they_settled(spark):
+    """A block that ends in one thread leaves the tables that another thread settles meanwhile."""
+    with settled_tables(spark):
+        with ThreadPoolExecutor(1) as other:
+            with settled_tables(spark):
+                theirs = other.submit(lambda: settle(spark.range(5))).result()
+                ours = settle(spark.range(7))
+                assert ours.count() == 7
+            assert theirs.count() == 5
+            with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+                ours.count()
