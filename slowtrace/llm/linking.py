@@ -6,6 +6,9 @@ list they share. So the second step looks, for each centre whose items are in se
 the groups. It does so in blocks of bounded size, each pair of blocks in a task of its own, and yields one link for two
 groups that meet. A large group of alike items costs its size in rows, not its square, and no link that could connect
 two groups is lost.
+
+Blocks of a long list whose items are in many groups would meet each other too often. Where the caller knows finer keys,
+of which linked items share one too, such a list is taken apart by them first and both steps are done on its parts.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from slowtrace.llm.key_filter import KeyFilter
 from slowtrace.session import settle
 
 BLOCK = 256
+LONG = 4 * BLOCK  # a list of more items in several groups is taken apart
 
 Verify = Callable[[DataFrame], DataFrame]
 Plausible = Callable[[str, str], Column]
 Matches = Callable[[pa.Table, pa.Table], np.ndarray]
+Finer = Callable[[DataFrame], DataFrame]
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -52,15 +57,21 @@ def star_pairs(around: DataFrame, nodes: DataFrame, plausible: Plausible) -> Dat
             .where(plausible("l", "r")).select("a", "b"))
 
 
+def _placed(lists: DataFrame, groups: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """``lists`` with the group of each node, and (``by``, n) of the lists whose ``n`` nodes are in several groups."""
+    placed = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (placed.groupBy(by).agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                    F.count("*").alias("n")).where("low < high").select(by, "n"))
+    return placed, mixed
+
+
 def crossing_links(around: DataFrame, groups: DataFrame, payload: Callable[[DataFrame], DataFrame], matches: Matches) -> DataFrame:
     """Links (a, b) between nodes around one centre that are in different groups of ``groups`` (node, component).
 
     ``payload(nodes)`` gives (node, ...) what ``matches`` needs to tell which rows of two tables are linked.
     """
-    placed = around.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.count("*").alias("n"))
-             .where("low < high").select("centre", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    placed, mixed = _placed(around, groups, "centre")
+    split = mixed.select("centre", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     open_ = settle(placed.join(split, "centre")
                    .withColumn("block", F.pmod(F.xxhash64("component", "node"), F.col("blocks"))))
     met = (open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -109,14 +120,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(postings: DataFrame, plausible: Plausible, verify: Verify, payload: Callable[[DataFrame], DataFrame],
-                  matches: Matches, nodes: DataFrame | None = None) -> DataFrame:
+                  matches: Matches, nodes: DataFrame | None = None, finer: Finer | None = None) -> DataFrame:
     """(node, component) of nodes that share a key of ``postings`` (key, node, rank, ...) and are linked.
 
     ``verify`` keeps the linked ones of pairs (a, b); ``plausible`` says from the columns of two rows of ``nodes``, or
     else from other columns of two postings, whether a pair need be verified. ``payload`` and ``matches`` decide the same for blocks of nodes.
+    ``finer(nodes)`` gives other postings (key, node, rank) of some nodes, under which all linked ones of them meet.
     """
     around = settle(centred(postings))
     nodes = postings.drop("key").dropDuplicates(["node"]) if nodes is None else nodes
     links = settle(verify(star_pairs(around, nodes, plausible)))
+    if finer is not None:
+        groups = components(links)
+        placed, mixed = _placed(around, groups, "centre")
+        long = settle(mixed.where(F.col("n") > LONG).select("centre"))
+        if not long.isEmpty():
+            fine = settle(finer(placed.join(long, "centre").select("node").distinct()))
+            several = _placed(fine, groups, "key")[1].select("key")
+            parts = settle(centred(fine.join(several, "key")))
+            links = settle(links.union(verify(star_pairs(parts, nodes, plausible))))
+            around = around.join(long, "centre", "left_anti").union(parts)
     more = settle(crossing_links(around, components(links), payload, matches))
     return components(links.union(more))

@@ -4,7 +4,8 @@ Documents with equal shingle sets are one node. Each node is posted under its pa
 similarity s agree in about s * COORDINATES places; a pair is retained if it agrees in MATCHES at least. Such a pair
 must meet under one of the COORDINATES - MATCHES + 1 rarest postings of each node, so only these prefix lists are
 merged; the long lists are skipped and looked up in the signatures of the pairs found. Pairs above the threshold are
-confirmed on the full sets.
+confirmed on the full sets. A list that stays long although its nodes are in many groups (documents around one template)
+is taken apart by the rarest shingles of its nodes.
 """
 
 from __future__ import annotations
@@ -82,6 +83,20 @@ def prefix_postings(nodes: DataFrame) -> DataFrame:
     return kept.select("key", "node", "rank").join(nodes.select("node", "n_shingles", "signature"), "node")
 
 
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(key, node, rank) of ``sets`` (node, shingles): the rarest shingles of each set, under which all linked sets meet.
+
+    Linked sets share three quarters of either, so the rarest of their common shingles is among the rarest quarter of
+    both. A shingle that no other set has meets nobody, but counts as the rarest.
+    """
+    every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("node")
+    return (every.join(shared, "key").withColumns({"met": F.count("*").over(mine), "rank": -F.sum("n").over(mine)})
+            .where("4 * met >= 3 * size").withColumn("place", F.row_number().over(mine.orderBy("n", "key")))
+            .where("place <= met - (3 * size + 3) div 4 + 1").select("key", "node", "rank"))
+
+
 def _close(left: str, right: str) -> Column:
     """May two nodes be similar, by sizes and signatures?"""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
@@ -144,7 +159,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return (pairs.join(one, "a").join(two, "b")
                 .where(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    groups = linked_groups(met, _close, verify, lambda _: sets, _similar_sets)
+    groups = linked_groups(met, _close, verify, lambda _: sets, _similar_sets,
+                           finer=lambda some: rare_shingles(sets.join(some, "node")))
     grouped = nodes.select("digest", "node", "doc_id", "n").join(groups, "node", "left")
     named = grouped.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("n"))

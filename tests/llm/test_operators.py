@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from slowtrace.llm import (
-    contamination, digest_index, hilbert, lines, minhash, packing, pseudonyms, quality, rendering, substrings, tokens,
+    contamination, digest_index, hilbert, lines, linking, minhash, packing, pseudonyms, quality, rendering, substrings, tokens,
 )
 from slowtrace.llm.words import WordHasher, runs, shingle_set
 from slowtrace.session import scratch_path
@@ -229,6 +229,47 @@ def test_near_large_group_without_centre(spark):
     assert got == brute_near(texts)
 
 
+def test_near_around_a_template(spark, monkeypatch):
+    """Documents that share half their words with all others: long lists in many groups, taken apart by rare shingles."""
+    draw = random.Random(4)
+    head, texts = [draw.choice(VOCAB) for _ in range(40)], []
+    for i in range(150):
+        own = [f"w{draw.randrange(10 ** 6)}" for _ in range(draw.choice([12, 30, 40]))]
+        texts.append((3 * i, " ".join(head + own)))
+        texts.append((3 * i + 1, " ".join(head + own + [f"x{i}"])))
+        texts.append((3 * i + 2, " ".join(own[:-8] + head + own[-8:])))
+    docs, want = spark.createDataFrame(texts, "doc_id long, text string"), brute_near(texts)
+    used = []
+    rare = minhash.rare_shingles
+    monkeypatch.setattr(minhash, "rare_shingles", lambda sets: used.append(1) or rare(sets))
+    for long in (linking.LONG, 3):
+        monkeypatch.setattr(linking, "LONG", long)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs).collect()}
+        assert got == want
+    assert used == [1] and len({c for _, c, _ in want.values()}) > 100
+
+
+def test_rare_shingles_meet(spark):
+    """Every linked pair of sets meets under one key; documents of a template meet under few."""
+    draw = random.Random(5)
+    sets = []
+    for _ in range(60):
+        one = draw.sample(range(200), draw.randrange(1, 60))
+        near = [x for x in one if draw.random() < 0.9] or one
+        sets += [one, near, list(range(30)) + draw.sample(range(10 ** 3, 10 ** 6), 30)]
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    keys: dict[int, set[int]] = {}
+    for r in minhash.rare_shingles(df).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    linked = 0
+    for a, x in enumerate(map(set, sets)):
+        for b, y in enumerate(map(set, sets)):
+            if a < b and 100 * len(x & y) >= 75 * len(x | y):
+                linked += 1
+                assert keys.get(a, set()) & keys.get(b, set())
+    assert linked >= 30 and not any(keys.get(i) for i in range(2, 180, 3))
+
+
 # --- contamination
 
 def test_contamination(spark, docs, rows, none):
