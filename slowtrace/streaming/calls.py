@@ -1,15 +1,16 @@
-"""Start/end pairing over a stream: one small state per operation in flight.
+"""Start/end pairing over a stream: the operations in flight, in states shared by keys of one hash.
 
 Starts and ends arrive out of order within the watermark delay. They wait in the state of their key (a thread, a
 request, a lock attempt) until the watermark has passed their bucket, are then read in time order, and give slices: how
 much of a bucket an operation filled, and whether it ended there. An operation that is still open when a bucket closes
-gives its slice of that bucket, uncounted, and a timer wakes its key at the end of the next one, so open time is reported
+fills it, uncounted, and a timer wakes its state at the end of the next one, so open time is reported
 second by second without an event. A slice is never taken back, and all slices of a bucket come out of the micro-batch
 that closes it; adding them up within that batch therefore gives the final statistics of the bucket.
 
 As in the batch pairing, an end belongs to the event right before it if that is a start, a newer start replaces an
-unfinished one (what the old one has already reported stays), and an end without a start is ignored. The key holds what
-is buffered and at most one open operation; both are gone when the operation has ended.
+unfinished one (what the old one has already reported stays), and an end without a start is ignored. A key holds what
+is buffered and at most one open operation; both are gone when the operation has ended. Keys of one hash are a shard with
+one state, paired by whole columns, since a state per operation costs more than all it holds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -25,115 +27,114 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from slowtrace.functions.scalars import histogram_columns, log10_bucket
 from slowtrace.operators.accounting import slice_stats
 from slowtrace.session import folder_exists
+from slowtrace.streaming.shards import (
+    CHUNK, TIME, as_text, from_text, held, in_pieces, next_moves, pack, spread, unpack,
+)
 
-_EVENT = StructType([
-    StructField("ts", LongType()), StructField("seq", LongType()), StructField("kind", StringType()),
-    StructField("payload", StringType()),
-])
-_OPEN = StructType([
-    StructField("start", LongType()), StructField("told", LongType()), StructField("payload", StringType()),
+_EVENTS = pa.schema([
+    ("key", pa.string()), ("ts", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("payload", pa.string()),
 ])
+_OPEN = pa.schema([("key", pa.string()), ("start", pa.int64()), ("told", pa.int64()), ("payload", pa.string())])
 SLICES = StructType([
     StructField("bucket", LongType()), StructField("start", LongType()), StructField("end", LongType()),
     StructField("slice", LongType()), StructField("payload", StringType()),
 ])
+_START, _END, _QUIT = 0, 1, 2
+_NONE = np.zeros(0, np.int64)
 
 
 class CallMachine(StatefulProcessor):
-    """One key. Times are microseconds; timers are milliseconds of event time."""
+    """One shard of keys. Times are microseconds; timers are milliseconds of event time."""
 
     def __init__(self, bucket: int, start_kind: str, end_kind: str, open_slices: bool, quit_kind: str | None = None):
-        self._bucket, self._start, self._end, self._open_slices = bucket, start_kind, end_kind, open_slices
-        self._quit = quit_kind
+        self._bucket, self._open_slices = bucket, open_slices
+        self._kinds = {start_kind: _START, end_kind: _END, **({} if quit_kind is None else {quit_kind: _QUIT})}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._buffer = handle.getListState("buffer", _EVENT)
-        self._open = handle.getValueState("open", _OPEN)
+        self._buffer = handle.getListState("buffer", CHUNK)
+        self._open = handle.getValueState("open", CHUNK)
+        self._closed = handle.getValueState("closed", TIME)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            events = list(zip(batch["ts"].tolist(), batch["seq"].tolist(), batch["kind"].tolist(), batch["payload"].tolist(),
-                              strict=True))
-            self._buffer.appendList(events)
-            least = min(e[0] for e in events)
-            first = least if first is None else min(first, least)
-        if first is not None:
-            self._wake(first)
+        batches = [batch[_EVENTS.names] for batch in rows]
+        if batches:
+            events = pd.concat(batches)
+            self._buffer.appendValue(pack(events, _EVENTS))
+            self._wake(int(events["ts"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs() * 1000 // self._bucket * self._bucket
-        waiting = sorted(self._buffer.get()) if self._buffer.exists() else []
-        due = [e for e in waiting if e[0] < closed]
-        before = self._open.get() if self._open.exists() else None
-        now, out = before, []
-        for ts, _, kind, payload in due:
-            if kind == self._start:
-                if now is not None and self._open_slices:
-                    # replaced: nothing more is known of it than that it never ended
-                    out += self._slices(now, None, ts // self._bucket * self._bucket)
-                now = (ts, ts, payload)
-            elif kind == self._end and now is not None:
-                out += self._slices(now, ts, ts)
-                now = None
-            elif kind == self._quit and now is not None:
-                if self._open_slices:
-                    out += self._slices(now, None, ts)
-                now = None
-        if now is not None and self._open_slices and now[1] < closed:
-            out += self._slices(now, None, closed)
-            now = (now[0], closed, now[2])
-        self._keep(waiting, due, before, now)
-        rest = waiting[len(due):]
-        if now is not None and self._open_slices:
+        if self._closed.exists() and self._closed.get()[0] >= closed:
+            return  # another timer of this batch has been here
+        waiting = unpack(held(self._buffer), _EVENTS)
+        now = unpack([self._open.get()] if self._open.exists() else [], _OPEN)
+        due = waiting["ts"] < closed
+        rest = waiting[~due]
+        ended, passed, still = self._pair(now, waiting[due], closed)
+        if due.any():
+            self._buffer.clear()
+            if len(rest):
+                self._buffer.put([pack(rest, _EVENTS)])
+        if len(still):
+            self._open.update(pack(still, _OPEN))
+        elif len(now):
+            self._open.clear()
+        self._closed.update((closed,))
+        if len(still) and self._open_slices:
             self._wake(closed)
-        elif rest:
-            self._wake(rest[0][0])
-        if out:
-            bucket, start, end, part, payload = zip(*out, strict=True)
-            yield pd.DataFrame({
-                "bucket": np.concatenate(bucket), "start": np.concatenate(start),
-                "end": pd.array([None if e == _NEVER else e for e in np.concatenate(end).tolist()], dtype="Int64"),
-                "slice": np.concatenate(part), "payload": np.concatenate(payload),
-            })
+        elif len(rest):
+            self._wake(int(rest["ts"].min()))
+        yield from in_pieces(ended)
+        yield from in_pieces(passed)
 
     def _wake(self, ts: int) -> None:
         self._handle.registerTimer((ts // self._bucket + 1) * self._bucket // 1000)
 
-    def _slices(self, call: tuple, end: int | None, until: int) -> list[tuple[np.ndarray, ...]]:
-        """What ``call`` has not told yet, up to ``until``, one row per bucket; the last one holds the end."""
-        start, told, payload = call
-        last = until if end is not None else until - 1
+    def _pair(self, now: pd.DataFrame, due: pd.DataFrame, closed: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+        """Slices of the calls that ended, added up slices of the buckets calls passed through, and what is open at ``closed``."""
+        due = due.sort_values(["ts", "seq", "kind", "payload"], kind="stable")
+        code = pd.factorize(pd.concat([now["key"], due["key"]]), use_na_sentinel=False)[0]
+        # calls carried on come before all events
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        kind = np.concatenate([np.full(len(now), _START), due["kind"].map(self._kinds).to_numpy(np.int64)])[order]
+        ts = np.concatenate([now["start"].to_numpy(np.int64), due["ts"].to_numpy(np.int64)])[order]
+        told = np.concatenate([now["told"].to_numpy(np.int64), due["ts"].to_numpy(np.int64)])[order]
+        payload = np.concatenate([now["payload"].to_numpy(object), due["payload"].to_numpy(object)])[order]
+        name = np.concatenate([now["key"].to_numpy(object), due["key"].to_numpy(object)])[order]
+        kind_after, ts_after = next_moves(code, order, ts, kind, _NONE, _NONE, _QUIT)
+
+        start = kind == _START
+        done = start & (kind_after == _END)
+        open_ = start & (kind_after == -1)
+        floor = ts_after // self._bucket * self._bucket
+        ended = pd.DataFrame({
+            "bucket": floor[done], "start": ts[done], "end": ts_after[done],
+            "slice": (ts_after - np.maximum(told, floor))[done], "payload": payload[done],
+        })
         if not self._open_slices:
-            told = max(told, until // self._bucket * self._bucket)
-        if last < told:
-            return []
-        buckets = np.arange(told // self._bucket, last // self._bucket + 1) * self._bucket
-        ends = np.full(len(buckets), _NEVER)
-        if end is not None:
-            ends[-1] = end
-        parts = np.minimum(buckets + self._bucket, until) - np.maximum(buckets, told)
-        return [(buckets, np.full(len(buckets), start), ends, parts, np.full(len(buckets), payload, object))]
-
-    def _keep(self, waiting: list, due: list, before: tuple | None, now: tuple | None) -> None:
-        if due:
-            self._buffer.clear()
-            if len(due) < len(waiting):
-                self._buffer.put(waiting[len(due):])
-        if now is None and before is not None:
-            self._open.clear()
-        elif now is not None and now != before:
-            self._open.update(now)
+            told_now = told
+            passed = ended.iloc[:0]
+        else:
+            # replaced: nothing more is known of it than that it never ended
+            until = np.select([open_, kind_after == _QUIT], [np.full(len(ts), closed), ts_after], floor)
+            which, texts = pd.factorize(payload[start])
+            which, bucket, time = spread(which, told[start], until[start], self._bucket)
+            never = pd.array(np.zeros(len(time), np.int64), dtype="Int64")
+            never[:] = pd.NA
+            passed = pd.DataFrame({
+                "bucket": bucket, "start": never, "end": never, "slice": time, "payload": texts[which]})
+            told_now = np.full(len(ts), closed)
+        still = pd.DataFrame({
+            "key": name[open_], "start": ts[open_], "told": np.maximum(told, told_now)[open_], "payload": payload[open_]})
+        return ended, passed, still
 
     def close(self) -> None:
         pass
 
 
-_NEVER = np.iinfo(np.int64).min
-
-
 def streaming_slices(
     events: DataFrame,
     keys: Sequence[str],
@@ -145,27 +146,30 @@ def streaming_slices(
     event_time: str = "event_time",
     open_slices: bool = True,
     quit_kind: str | None = None,
+    shards: int = 256,
 ) -> DataFrame:
     """Slices of operations in closed buckets: bucket, start, end, slice, and the start row's ``payload``.
 
-    ``events(keys…, event_time timestamp, ts long µs, seq, kind, payload…)``. ``end`` is there on the slice of the
-    bucket the operation ended in, and NULL on all others. ``open_slices=False`` leaves those others out. An event of
+    ``events(keys…, event_time timestamp, ts long µs, seq, kind, payload…)``. An operation that ended has a row in the
+    bucket of its ``end``. Time in other buckets has neither ``start`` nor ``end`` and is added up, over the operations of a
+    shard with equal ``payload``; ``open_slices=False`` leaves it out. An event of
     ``quit_kind`` (its thread exits, its set is closed) ends an operation there without an ``end``.
 
-    Threads that wait in a set are operations of the key (set, thread): a busy set is as many states as it has threads,
-    and :func:`wait_batches` adds them up.
+    Threads that wait in a set are operations of the key (set, thread): a busy set is spread over the shards, and
+    :func:`wait_batches` adds them up. One task holds what a shard gets in a micro-batch: with more keys take more ``shards``.
     """
-    carried = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}) if payload else F.lit("{}")
     fields = StructType([StructField(c, events.schema[c].dataType) for c in payload])
-    rows = events.filter(F.col("kind").isin(*filter(None, [start_kind, end_kind, quit_kind]))).select(*keys, event_time, "ts", "seq", "kind", carried.alias("payload"))
+    rows = events.filter(F.col("kind").isin(*filter(None, [start_kind, end_kind, quit_kind]))).select(
+        F.pmod(F.xxhash64(*keys), F.lit(shards)).alias("shard"), as_text(keys).alias("key"), event_time, "ts", "seq", "kind",
+        F.when(F.col("kind") == start_kind, as_text(payload)).otherwise("").alias("payload"))
     slices = (
-        rows.withWatermark(event_time, delay).groupBy(*keys)
+        rows.withWatermark(event_time, delay).groupBy("shard")
         .transformWithStateInPandas(CallMachine(bucket_us, start_kind, end_kind, open_slices, quit_kind), SLICES, outputMode="Append",
                                     timeMode="EventTime")
     )
     if not payload:
         return slices.drop("payload")
-    return slices.withColumn("payload", F.from_json("payload", fields)).select(
+    return slices.withColumn("payload", from_text("payload", fields)).select(
         "bucket", "start", "end", "slice", *[F.col(f"payload.{c}").alias(c) for c in payload])
 
 
