@@ -6,17 +6,24 @@ bucket closes, waits that are still open are accounted up to its end without bei
 counted. The state of a set is its open threads, its registered files and the buffer. It is
 bounded by events: a thread that exits (``thread_exit``) and a set that is closed (``set_closed``)
 end their open waits uncounted and are forgotten; nothing is forgotten by age.
+
+A set has one timer, and what has closed since the last one is replayed at once: threads by whole columns, files
+along the sessions in which some thread waits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from slowtrace.streaming.shards import CHUNK, added, held, in_pieces, next_moves, pack, spread, unpack
+
 OUTPUT = StructType([
     StructField("poll_id", StringType()),
     StructField("bucket", LongType()),
@@ -26,13 +33,13 @@ OUTPUT = StructType([
     StructField("total_requests", LongType()),
 ])
 
-_EVENT = StructType([
-    StructField("ts", LongType()), StructField("seq", LongType()), StructField("kind", StringType()),
-    StructField("thread", StringType()), StructField("file", StringType()),
+_EVENTS = pa.schema([
+    ("ts", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("thread", pa.string()), ("file", pa.string()),
 ])
-_NAME = StructType([StructField("name", StringType())])
-_SINCE = StructType([StructField("since", LongType())])
+_SINCE = pa.schema([("name", pa.string()), ("since", pa.int64())])
 _CURSOR = StructType([StructField("bucket", LongType()), StructField("session", LongType())])
+_START, _END, _QUIT = 0, 1, 2
+_MOVES = {"epoll_start": _START, "epoll_end": _END, "thread_exit": _QUIT}
 
 
 class WaitMachine(StatefulProcessor):
@@ -43,101 +50,141 @@ class WaitMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._buffer = handle.getListState("buffer", _EVENT)
-        self._threads = handle.getMapState("threads", _NAME, _SINCE)
-        self._files = handle.getMapState("files", _NAME, _SINCE)
+        self._buffer = handle.getListState("buffer", CHUNK)
+        self._threads = handle.getValueState("threads", CHUNK)
+        self._files = handle.getValueState("files", CHUNK)
         self._cursor = handle.getValueState("cursor", _CURSOR)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends = set()
-        for batch in rows:
-            events = list(zip(batch["ts"].tolist(), batch["seq"].tolist(), batch["kind"], batch["thread"], batch["file"]))
-            self._buffer.appendList([(int(t), int(s), k, _text(w), _text(f)) for t, s, k, w, f in events])
-            ends.update((int(t) // self._bucket + 1) * self._bucket // 1000 for t, *_ in events)
-        for end in ends:
-            self._handle.registerTimer(end)
+        batches = [batch[_EVENTS.names] for batch in rows]
+        if batches:
+            events = pd.concat(batches)
+            self._buffer.appendValue(pack(events, _EVENTS))
+            self._wake(int(events["ts"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs() * 1000 // self._bucket * self._bucket
-        rows = self._advance(closed)
-        if rows:
-            yield pd.DataFrame(
-                [(str(key[0]), b, what, name, t, n) for (b, what, name), (t, n) in rows.items()],
-                columns=[f.name for f in OUTPUT],
-            )
-
-    def _advance(self, closed: int) -> dict:
-        """Replay every event before ``closed`` and account all buckets up to it."""
-        waiting = sorted(self._buffer.get(), key=lambda e: e[:2]) if self._buffer.exists() else []
-        due = [e for e in waiting if e[0] < closed]
-        rest = [e for e in waiting if e[0] >= closed]
         cursor, session = self._cursor.get() if self._cursor.exists() else (None, None)
         if cursor is not None and cursor >= closed:
-            return {}
-        threads = {k[0]: v[0] for k, v in self._threads.iterator()} if self._threads.exists() else {}
-        files = {k[0]: v[0] for k, v in self._files.iterator()} if self._files.exists() else {}
-        if cursor is None:
-            cursor = due[0][0] // self._bucket * self._bucket if due else closed
-        stats: dict = {}
-        position = 0
-        while cursor < closed:
-            if not threads and position < len(due):
-                cursor = max(cursor, due[position][0] // self._bucket * self._bucket)
-            elif not threads and position == len(due):
-                break
-            end = cursor + self._bucket
-            while position < len(due) and due[position][0] < end:
-                session = self._apply(due[position], threads, files, session, cursor, stats)
-                position += 1
-            for thread, since in threads.items():
-                _add(stats, cursor, "thread", thread, end - max(since, cursor), 0)
-            if threads:
-                for file, since in files.items():
-                    _add(stats, cursor, "file", file, end - max(since, session, cursor), 0)
-            cursor = end
-        self._save(threads, files, closed, session, rest)
-        if threads:
-            self._handle.registerTimer((closed + self._bucket) // 1000)
-        return stats
-
-    def _apply(self, event, threads: dict, files: dict, session, bucket: int, stats: dict):
-        ts, _, kind, thread, file = event
-        if kind == "epoll_start":
-            if not threads:
+            return  # another timer of this batch has been here
+        waiting = unpack(held(self._buffer), _EVENTS)
+        threads, files = (unpack([s.get()] if s.exists() else [], _SINCE) for s in (self._threads, self._files))
+        due = waiting["ts"] < closed
+        rest = waiting[~due]
+        events = waiting[due].sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+        told = np.iinfo(np.int64).min if cursor is None else cursor
+        waits, borders, threads = self._thread_waits(events, threads, told, closed)
+        file_waits, files, session = self._file_waits(events, borders, files, session, told, closed)
+        for state, now in ((self._threads, threads), (self._files, files)):
+            state.update(pack(now, _SINCE))
+        self._cursor.update((closed, session))
+        if len(events):
+            self._buffer.clear()
+            if len(rest):
+                self._buffer.put([pack(rest, _EVENTS)])
+        if len(threads):
+            self._wake(closed)
+        elif len(rest):
+            self._wake(int(rest["ts"].min()))
+        for what, rows in (("thread", waits), ("file", file_waits)):
+            yield from in_pieces(rows.assign(poll_id=_text(key[0]), what=what)[OUTPUT.names])
+
+    def _wake(self, ts: int) -> None:
+        self._handle.registerTimer((ts // self._bucket + 1) * self._bucket // 1000)
+
+    def _thread_waits(self, events: pd.DataFrame, inside: pd.DataFrame, told: int, closed: int) -> tuple:
+        """Waits of threads, the borders of the sessions of the set (place in ``events``, time, ended) and who is inside."""
+        close_rank = np.flatnonzero(events["kind"] == "set_closed")
+        close_ts = events["ts"].to_numpy(np.int64)[close_rank]
+        moves = events[events["kind"].isin(_MOVES)]
+        code, names = pd.factorize(pd.concat([inside["name"], moves["thread"]]), use_na_sentinel=False)
+        # threads inside come before all events
+        rank = np.concatenate([np.full(len(inside), -1), moves.index.to_numpy(np.int64)])
+        order = np.lexsort((rank, code))
+        code, rank = code[order], rank[order]
+        ts = np.concatenate([inside["since"].to_numpy(np.int64), moves["ts"].to_numpy(np.int64)])[order]
+        kind = np.concatenate([np.full(len(inside), _START), moves["kind"].map(_MOVES).to_numpy(np.int64)])[order]
+        kind_after, ts_after = next_moves(code, rank, ts, kind, close_rank, close_ts, _QUIT)
+
+        start = kind == _START
+        done, still = start & (kind_after == _END), start & (kind_after == -1)
+        until = np.select([still, kind_after == _START], [np.full(len(ts), closed), ts_after // self._bucket * self._bucket], ts_after)
+        waits = self._per_bucket(names, code[start], np.maximum(ts, told)[start], until[start], code[done], ts_after[done])
+
+        # a thread counts once, however often it enters without leaving
+        again = np.append(False, (code[1:] == code[:-1]) & start[:-1] & (kind_after[:-1] == _START)) if len(code) else start
+        enters, leaves = start & ~again, start & ((kind_after == _END) | (kind_after == _QUIT))
+        rank_after = np.where(leaves, self._leave_rank(code, rank, close_rank), 0)
+        at = np.concatenate([rank[enters], rank_after[leaves]])
+        step = np.concatenate([np.ones(enters.sum(), np.int64), np.full(leaves.sum(), -1)])
+        # one event changes the number of threads inside once; a closed set lets all of them go
+        _, at, step = added(np.zeros(len(at), np.int64), at, step)
+        number = np.cumsum(step)
+        before = np.append(0, number[:-1]) if len(number) else number
+        border = (number == 0) != (before == 0)
+        kinds = events["kind"].to_numpy(object)
+        times = events["ts"].to_numpy(np.int64)
+        borders = {int(r): (int(times[r]), kinds[r] == "epoll_end") for r in at[border] if r >= 0}
+        return waits, borders, pd.DataFrame({"name": np.asarray(names, object)[code[still]], "since": ts[still]})
+
+    @staticmethod
+    def _leave_rank(code: np.ndarray, rank: np.ndarray, close_rank: np.ndarray) -> np.ndarray:
+        """Place of the event that follows each one: its thread's next one, or the set being closed before that."""
+        last = np.iinfo(np.int64).max
+        after = np.where(np.append(code[1:] == code[:-1], False), np.roll(rank, -1), last) if len(code) else rank
+        if len(close_rank):
+            after = np.minimum(after, np.append(close_rank, last)[np.searchsorted(close_rank, rank, side="right")])
+        return after
+
+    def _file_waits(self, events: pd.DataFrame, borders: dict, files: pd.DataFrame, session, told: int, closed: int) -> tuple:
+        """Waits for files, the files registered and the start of the session at ``closed``."""
+        since = dict(zip(files["name"], files["since"].tolist(), strict=True))
+        spans, counts = [], []
+
+        def account(name, until: int, count: int) -> None:
+            spans.append((name, max(since[name], session, told), until))
+            if count:
+                counts.append((name, until))
+
+        kinds = events["kind"].to_numpy(object)
+        wanted = np.union1d(
+            np.flatnonzero(np.isin(kinds.astype(str), ["epoll_insert", "epoll_remove", "set_closed"])),
+            np.fromiter(borders, np.int64, len(borders)))
+        chosen = events.iloc[wanted]
+        for place, ts, kind, file in zip(wanted.tolist(), chosen["ts"].tolist(), chosen["kind"], chosen["file"], strict=True):
+            if place in borders and kind == "epoll_start":
                 session = ts
-            threads[thread] = ts
-        elif kind in ("epoll_end", "thread_exit") and thread in threads:
-            done = int(kind == "epoll_end")
-            _add(stats, bucket, "thread", thread, ts - max(threads.pop(thread), bucket), done)
-            if not threads:
-                for name, since in files.items():
-                    _add(stats, bucket, "file", name, ts - max(since, session, bucket), done)
+            elif place in borders:
+                for name in since:
+                    account(name, ts, int(borders[place][1]))
                 session = None
-        elif kind == "set_closed":
-            for waiting, since in threads.items():
-                _add(stats, bucket, "thread", waiting, ts - max(since, bucket), 0)
-            if threads:
-                for name, since in files.items():
-                    _add(stats, bucket, "file", name, ts - max(since, session, bucket), 0)
-            threads.clear()
-            files.clear()
-            session = None
-        elif kind == "epoll_insert":
-            files.setdefault(file, ts)
-        elif kind == "epoll_remove" and threads and file in files:
-            _add(stats, bucket, "file", file, ts - max(files.pop(file), session, bucket), 1)
-        return session
-
-    def _save(self, threads: dict, files: dict, cursor: int, session, rest: list) -> None:
-        for state, now in ((self._threads, threads), (self._files, files)):
-            state.clear()
-            for name, since in now.items():
-                state.updateValue((name,), (since,))
-        self._cursor.update((cursor, session))
-        self._buffer.clear()
-        if rest:
-            self._buffer.put(rest)
+            elif kind == "epoll_insert":
+                since.setdefault(file, ts)
+            elif kind == "epoll_remove" and session is not None and file in since:
+                account(file, ts, 1)
+                del since[file]
+            if kind == "set_closed":
+                since.clear()
+        if session is not None:
+            for name in since:
+                account(name, closed, 0)
+        name, begin, end = ([s[i] for s in spans] for i in range(3))
+        code, names = pd.factorize(pd.Series([*name, *[c[0] for c in counts]], dtype=object), use_na_sentinel=False)
+        waits = self._per_bucket(
+            names, code[:len(name)], np.array(begin, np.int64), np.array(end, np.int64),
+            code[len(name):], np.array([c[1] for c in counts], np.int64))
+        return waits, pd.DataFrame({"name": pd.Series([*since], dtype=object), "since": pd.Series([*since.values()], dtype="int64")}), session
+
+    def _per_bucket(self, names, code, since, until, done_code, done_at) -> pd.DataFrame:
+        """Time of spans and number of ends per name and bucket."""
+        code, bucket, time = spread(code, since, until, self._bucket)
+        code, bucket, time, number = added(
+            np.concatenate([code, done_code]), np.concatenate([bucket, done_at // self._bucket * self._bucket]),
+            np.concatenate([time, np.zeros(len(done_code), np.int64)]),
+            np.concatenate([np.zeros(len(time), np.int64), np.ones(len(done_code), np.int64)]))
+        return pd.DataFrame({
+            "bucket": bucket, "name": np.asarray(names, object)[code], "total_time": time, "total_requests": number})
 
     def close(self) -> None:
         pass
@@ -147,11 +194,6 @@ def _text(value) -> str | None:
     return None if value is None or value != value else str(value)
 
 
-def _add(stats: dict, bucket: int, what: str, name: str, time: int, count: int) -> None:
-    total, n = stats.get((bucket, what, name), (0, 0))
-    stats[(bucket, what, name)] = (total + max(time, 0), n + count)
-
-
 def streaming_waits(
     events: DataFrame,
     bucket_us: int,
