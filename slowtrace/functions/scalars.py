@@ -13,8 +13,8 @@ LATENCY_BOUNDS_NS = [1_000, 10_000, 100_000, 1_000_000, 10_000_000, 100_000_000,
 FUTEX_WAIT, FUTEX_WAKE, FUTEX_WAIT_BITSET, FUTEX_WAKE_BITSET = 0, 1, 9, 10
 FUTEX_PRIVATE_FLAG, FUTEX_CLOCK_REALTIME = 128, 256
 
-# Fixed value: the device number is major << 20 | minor.
-MINOR_BITS = 20
+# The device number is major << 20 | minor, in 32 bits.
+MAJOR_BITS, MINOR_BITS = 12, 20
 
 # Fixed value: process flag of a kernel thread.
 KTHREAD_FLAG = 0x00200000
@@ -34,15 +34,30 @@ def split_tgid_pid(packed: Column) -> list[Column]:
 
 
 def encode_device(major: Column, minor: Column) -> Column:
-    return F.shiftleft(major.cast("bigint"), MINOR_BITS).bitwiseOR(minor.cast("bigint"))
+    """A kernel device number; what its fields cannot hold goes on above bit 32: 12 bits of the minor, 20 of the major.
+
+    Numbers of more than 32 bits, and negative ones, fail the job.
+    """
+    major, minor = major.cast("bigint"), minor.cast("bigint")
+    low = F.shiftleft(_bits(major, 0, MAJOR_BITS), MINOR_BITS).bitwiseOR(_bits(minor, 0, MINOR_BITS))
+    high = F.shiftleft(_bits(major, MAJOR_BITS, 20), MAJOR_BITS).bitwiseOR(_bits(minor, MINOR_BITS, 12))
+    text = F.concat(F.lit("no device number: "), major.cast("string"), F.lit(":"), minor.cast("string"))
+    fits = F.shiftright(major.bitwiseOR(minor), 32) == 0
+    return F.when(~fits, F.raise_error(text).cast("bigint")).otherwise(F.shiftleft(high, 32).bitwiseOR(low))
 
 
 def device_major(device: Column) -> Column:
-    return F.shiftright(device, MINOR_BITS)
+    device = device.cast("bigint")
+    return F.shiftleft(_bits(device, 44, 20), MAJOR_BITS).bitwiseOR(_bits(device, MINOR_BITS, MAJOR_BITS))
 
 
 def device_minor(device: Column) -> Column:
-    return device.bitwiseAND(F.lit((1 << MINOR_BITS) - 1).cast("bigint"))
+    device = device.cast("bigint")
+    return F.shiftleft(_bits(device, 32, 12), MINOR_BITS).bitwiseOR(_bits(device, 0, MINOR_BITS))
+
+
+def _bits(value: Column, low: int, number: int) -> Column:
+    return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << number) - 1).cast("bigint"))
 
 
 def device_label(device: Column) -> Column:

@@ -207,6 +207,16 @@ def test_missing_wake_is_zero_and_only_shared_locks_count(spark):
     assert rows(relations.wait_wake_product(waits, wakes, 1, 2)) == [(1, 2.0), (2, 0.0), (3, 0.0)]
 
 
+def test_wide_device_numbers_are_not_mixed(spark):
+    pairs = [(0, 0), (252, 1), (4095, 2**20 - 1), (299, 2**20), (7, 1_200_000), (4096, 5), (2**32 - 1, 2**32 - 1), (None, 3)]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("d", scalars.encode_device(F.col("a"), F.col("b")))
+    assert rows(df.filter("d IS NOT NULL").select(scalars.device_major(F.col("d")), scalars.device_minor(F.col("d")))) == pairs[:-1]
+    # numbers of the kernel stay as they are
+    assert rows(df.filter("a < 4096 AND b < 1048576 AND d <> a * 1048576 + b")) == []
+    with pytest.raises(Exception, match="no device number: 1:-1"):
+        spark.sql("SELECT 1L a, -1L b").select(scalars.encode_device(F.col("a"), F.col("b"))).collect()
+
+
 def test_device_without_load_has_share_zero(spark):
     df = spark.createDataFrame([(1, 8, 1, 1, 0), (1, 9, 1, 1, 3), (1, 9, 1, 2, 1)], "epoch_s long, device long, pid long, tid long, sector_cnt long")
     assert rows(device_share(df), "device", "tid", "share") == [(8, 1, 0.0), (9, 1, 0.75), (9, 2, 0.25)]
