@@ -87,11 +87,11 @@ def split_by_bucket(
     """One row per bucket an interval ``[start, end)`` covers.
 
     Adds ``bucket`` (its start), ``slice_start``, ``slice_end`` and ``slice``; the slices
-    of an interval add up to ``end - start``. With ``touch_end`` the bucket that holds
+    of an interval add up to ``end - start``, and an empty one has none. With ``touch_end`` the bucket that holds
     ``end`` itself is always there, with slice 0 when ``end`` is on its boundary. An end
     before the start fails the job, unless ends were ``clipped``: then nothing is left of it.
     """
-    reach = F.col(end) if touch_end else F.col(end) - F.lit(1)
+    reach = F.col(end) if touch_end else F.when(F.col(end) > F.col(start), F.col(end) - F.lit(1))
     sliced = explode_range(
         df.filter(F.col(end) >= F.col(start)) if clipped else upright(df, start, end),
         floor_div(F.col(start), bucket),

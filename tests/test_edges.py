@@ -42,6 +42,12 @@ def test_slices_add_up_and_touch_the_end(spark):
     assert rows(touched.filter("id = 1 and slice = 0"), "bucket") == [(3 * S,)]
 
 
+def test_an_empty_interval_covers_no_bucket(spark):
+    df = spark.createDataFrame([(1, S, S), (2, S + 5, S + 5), (3, S + 5, S + 6)], "id int, start long, end long")
+    assert rows(iv.split_by_bucket(df, S), "id", "slice") == [(3, 1)]
+    assert rows(iv.split_by_bucket(df, S, touch_end=True).filter("slice = 0"), "id", "bucket") == [(1, S), (2, S)]
+
+
 def test_end_on_a_boundary_counts_in_the_bucket_it_starts(spark):
     calls = spark.createDataFrame([(1, S // 2, 2 * S)], "tid int, start long, end long")
     got = accounting.call_stats(calls, ["tid"], S).select("bucket", "total_time", "total_requests", "hist7")
