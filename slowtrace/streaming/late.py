@@ -3,8 +3,9 @@
 Streaming aggregation drops a row behind the watermark and tells only how many there were. Here such a row comes out
 with its bucket, its payload and its own values, so that what is reported and what came too late add up to the input.
 
-A bucket of a key is summed in keyed state, spread over ``salts`` states so that a busy key is no single task, and comes
-out once when the watermark passes its end, all states of a bucket in the same micro-batch; that batch adds them up.
+Keys of one hash are a shard with one state for all their open buckets. A busy key is spread over ``salts`` shards, so
+that it is no single task. A bucket comes out once when the watermark passes its end, from all shards in the same
+micro-batch; that batch adds them up.
 """
 
 from __future__ import annotations
@@ -12,46 +13,57 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from slowtrace.functions.timebase import floor_to
+from slowtrace.streaming.shards import CHUNK, TIME, as_text, from_text, held, in_pieces, pack, unpack
 
 
 class BucketSums(StatefulProcessor):
-    """One bucket of one key and salt. ``bucket`` is the length of a bucket in microseconds."""
+    """One shard of keys. ``bucket`` is the length of a bucket in microseconds."""
 
-    def __init__(self, bucket: int, names: Sequence[str], values: Sequence[str]):
-        self._bucket, self._names, self._values = bucket, list(names), list(values)
+    def __init__(self, bucket: int, values: Sequence[str]):
+        self._bucket, self._values = bucket, list(values)
+        self._schema = pa.schema([("bucket", pa.int64()), ("key", pa.string()), *[(v, pa.int64()) for v in self._values]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._sums = handle.getValueState("sums", StructType([StructField(v, LongType()) for v in self._values]))
+        self._sums = handle.getListState("sums", CHUNK)
+        self._closed = handle.getValueState("closed", TIME)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = (int(key[0]) + self._bucket) // 1000
-        if end <= timerValues.getCurrentWatermarkInMs():
-            for batch in rows:
-                yield self._out(key, True, batch["payload"].tolist(), {v: batch[v].tolist() for v in self._values})
-            return
-        total = [0] * len(self._values)
+        now, sums = timerValues.getCurrentWatermarkInMs(), []
         for batch in rows:
-            total = [a + int(batch[v].sum()) for a, v in zip(total, self._values, strict=True)]
-        if self._sums.exists():
-            total = [a + b for a, b in zip(total, self._sums.get(), strict=True)]
-        self._sums.update(tuple(total))
-        self._handle.registerTimer(end)
+            late = self._end(batch["bucket"]) <= now
+            yield from in_pieces(batch[late].assign(late=True)[["bucket", "key", "late", "payload", *self._values]])
+            sums.append(self._summed(batch[~late]))
+        kept = self._summed(pd.concat(sums))
+        if len(kept):
+            self._sums.appendValue(pack(kept, self._schema))
+            self._handle.registerTimer(int(self._end(kept["bucket"].min())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sums = self._sums.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        if self._closed.exists() and self._closed.get()[0] >= now:
+            return  # another timer of this batch has been here
+        sums = self._summed(unpack(held(self._sums), self._schema))
+        due = self._end(sums["bucket"]) <= now
+        rest = sums[~due]
         self._sums.clear()
-        yield self._out(key, False, [None], {v: [s] for v, s in zip(self._values, sums, strict=True)})
+        if len(rest):
+            self._sums.put([pack(rest, self._schema)])
+            self._handle.registerTimer(int(self._end(rest["bucket"].min())))
+        self._closed.update((now,))
+        yield from in_pieces(sums[due].assign(late=False, payload=None)[["bucket", "key", "late", "payload", *self._values]])
 
-    def _out(self, key: tuple, late: bool, payload: list, values: dict[str, list]) -> pd.DataFrame:
-        n = len(payload)
-        columns = {name: [k] * n for name, k in zip(self._names, key, strict=True)}
-        return pd.DataFrame({**columns, "late": [late] * n, "payload": payload, **values})
+    def _end(self, bucket):
+        return (bucket + self._bucket) // 1000
+
+    def _summed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby(["bucket", "key"], as_index=False, sort=False)[self._values].sum()[self._schema.names]
 
     def close(self) -> None:
         pass
@@ -66,28 +78,32 @@ def sums_and_late_rows(
     ts: str = "ts",
     payload: Sequence[str] = (),
     salts: int = 8,
+    shards: int = 256,
 ) -> DataFrame:
     """``bucket``, ``keys``, ``late``, ``payload`` and ``values`` (whole numbers, NULL counts as 0).
 
     A row with ``late`` stands for itself: its payload as JSON and its own values. The others are partial sums of a
-    closed bucket. ``ts`` is a TIMESTAMP; a row without one belongs to no bucket and is left out.
+    closed bucket. ``ts`` is a TIMESTAMP; a row without one belongs to no bucket and is left out. One task holds the
+    open buckets of a shard: with more keys take more ``shards``.
     """
     carried = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}) if payload else F.lit("{}")
-    names = ["bucket", *keys, "__salt"]
+    salt = F.pmod(F.xxhash64(ts, carried, *values.values()), F.lit(salts))
+    fields = StructType([StructField(k, rows.schema[k].dataType) for k in keys])
     marked = rows.withWatermark(ts, delay).select(
-        floor_to(F.unix_micros(ts), bucket_us).alias("bucket"), *keys,
-        F.pmod(F.xxhash64(ts, carried, *values.values()), F.lit(salts)).alias("__salt"), carried.alias("payload"),
+        F.pmod(F.pmod(F.xxhash64(as_text(keys)), F.lit(shards)) + salt, F.lit(shards)).alias("shard"), floor_to(F.unix_micros(ts), bucket_us).alias("bucket"),
+        as_text(keys).alias("key"), carried.alias("payload"),
         # the time stamp itself stays behind: grouping by state would drop late rows by it
         *[F.coalesce(v.cast("bigint"), F.lit(0)).alias(n) for n, v in values.items()],
     ).filter("bucket IS NOT NULL")
     schema = StructType([
-        *[StructField(n, marked.schema[n].dataType) for n in names], StructField("late", BooleanType()),
+        StructField("bucket", LongType()), StructField("key", StringType()), StructField("late", BooleanType()),
         StructField("payload", StringType()), *[StructField(v, LongType()) for v in values],
     ])
     return (
-        marked.groupBy(*names)
-        .transformWithStateInPandas(BucketSums(bucket_us, names, list(values)), schema, outputMode="Append", timeMode="EventTime")
-        .drop("__salt")
+        marked.groupBy("shard")
+        .transformWithStateInPandas(BucketSums(bucket_us, list(values)), schema, outputMode="Append", timeMode="EventTime")
+        .withColumn("key", from_text("key", fields))
+        .select("bucket", *[F.col(f"key.{k}").alias(k) for k in keys], "late", "payload", *values)
     )
 
 
