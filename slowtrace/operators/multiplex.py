@@ -179,6 +179,14 @@ def file_registrations(
     )
 
 
+def settled_history(
+    events: DataFrame, cell_width: int | None = 3600 * NS_PER_S, file: Sequence[str] = FILE, idle_removals: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Timeline and registrations of epoll sets, written once for all that is read off them."""
+    timeline = settle(epoll_timeline(events, cell_width, file))
+    return timeline, settle(file_registrations(timeline, file, idle_removals, cell_width))
+
+
 def _epoll_file_wait(
     events: DataFrame,
     bucket: int,
@@ -186,6 +194,7 @@ def _epoll_file_wait(
     cell_width: int | None,
     file: Sequence[str],
     idle_removals: bool,
+    history: tuple[DataFrame, DataFrame] | None,
 ) -> DataFrame:
     """Files of epoll sets: waited for while registered *and* the set is active.
 
@@ -196,7 +205,7 @@ def _epoll_file_wait(
     The timeline, and the sessions and registrations read off it, feed several branches
     each, so they are written once instead of being computed again by every branch.
     """
-    timeline = settle(epoll_timeline(events, cell_width, file))
+    timeline, spans = history or settled_history(events, cell_width, file, idle_removals)
     sessions = settle(active_sessions(timeline, cell_width))
     done = F.col("end").isNotNull()
     stop = F.coalesce(F.col("end"), _limit(events, horizon))
@@ -208,7 +217,6 @@ def _epoll_file_wait(
         )
     )
     unit = F.lit(bucket).cast("bigint")
-    spans = settle(file_registrations(timeline, file, idle_removals, cell_width))
     last = totals.agg(F.max("bucket")).scalar()
     spread = explode_range(
         spans,
@@ -291,10 +299,14 @@ def muxio_file_wait(
     cell_width: int | None = 3600 * NS_PER_S,
     file: Sequence[str] = FILE,
     idle_removals: bool = False,
+    history: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Time each file was waited for through a poll or epoll set, split by bucket."""
+    """Time each file was waited for through a poll or epoll set, split by bucket.
+
+    ``history``: :func:`settled_history` of the same events, where it is there already.
+    """
     polls = _poll_file_wait(events, bucket, horizon, cell_width, file)
-    epolls = _epoll_file_wait(events, bucket, horizon, cell_width, file, idle_removals)
+    epolls = _epoll_file_wait(events, bucket, horizon, cell_width, file, idle_removals, history)
     return polls.unionByName(epolls)
 
 
@@ -304,12 +316,14 @@ def open_state(
     cell_width: int | None = 3600 * NS_PER_S,
     file: Sequence[str] = FILE,
     idle_removals: bool = False,
+    history: tuple[DataFrame, DataFrame] | None = None,
+    with_files: bool = True,
 ) -> DataFrame:
     """What is still open at the end of ``events``, as events at time ``at``.
 
     Replaying these rows before later events continues all waits: threads inside a set,
     files registered with it, and files registered for a poll call that has not ended.
-    Their sequence numbers sort before those of real events.
+    Their sequence numbers sort before those of real events. Waits of threads alone need no files (``with_files``).
     """
     columns = ["kind", *_ORDER, "poll_id", "pid", "tid", *file]
 
@@ -322,8 +336,11 @@ def open_state(
 
     inside = open_events(events, ["poll_id", "pid", "tid"], "epoll_start", "epoll_end", order=_ORDER)
     polling = open_events(events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER)
-    timeline = epoll_timeline(events, cell_width, file)
-    files = file_registrations(timeline, file, idle_removals, cell_width).filter(F.col("until").isNull())
+    threads = as_events(inside, "epoll_start", -1).unionByName(as_events(polling, "poll_start", -1))
+    if not with_files:
+        return threads
+    spans = history[1] if history else file_registrations(epoll_timeline(events, cell_width, file), file, idle_removals, cell_width)
+    files = spans.filter(F.col("until").isNull())
     ended = pair_events(
         events, ["pid", "tid"], "poll_start", "poll_end", order=_ORDER, cell_width=cell_width
     ).groupBy("pid", "tid").agg(F.max("end").alias("__ended"))
@@ -336,6 +353,5 @@ def open_state(
     return (
         as_events(files, "epoll_insert", -3)
         .unionByName(as_events(waiting, "poll_register", -2))
-        .unionByName(as_events(inside, "epoll_start", -1))
-        .unionByName(as_events(polling, "poll_start", -1))
+        .unionByName(threads)
     )

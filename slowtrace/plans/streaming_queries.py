@@ -233,24 +233,24 @@ def t7_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed_waits(spark, sf_dir, _EXITS, "thread_exit")
 
 
-def _replayed(spark: SparkSession, sf_dir: str, kinds: dict[str, str] = _KINDS) -> str:
+def _replayed(spark: SparkSession, sf_dir: str, result: str, kinds: dict[str, str] = _KINDS) -> DataFrame:
     ev = event_stream(spark, sf_dir).filter(F.col("event_type").isin(*kinds))
     path = scratch_path(spark, "replay")
-    each = replay.replay_batches(path, HOUR, 2 * HOUR, WEEK)
+    each = replay.replay_batches(path, HOUR, 2 * HOUR, WEEK, [result])
     drain_batches(as_poll_events(ev, kinds), each, f"{path}/checkpoint")
-    return path
+    return replay.replayed_waits(spark, path, result)
 
 
 @query("t4_replayed_poll_waits", f"SELECT *, false AS is_epoll FROM ({thread_wait_sql(_STOP, _POLLER)})")
 def t4_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain poll calls in micro-batches of closed buckets."""
-    return replay.replayed_waits(spark, _replayed(spark, sf_dir, _POLL_KINDS), "thread_waits").select(
+    return _replayed(spark, sf_dir, replay.THREADS, _POLL_KINDS).select(
         "bucket", "tid", F.col("poll_id").cast("bigint"), "is_epoll", "total_time", "total_requests")
 
 
 @query("t4_replayed_thread_waits", f"SELECT {_TEXT.format(name='tid', count='total_requests')} FROM ({thread_wait_sql(_STOP)})")
 def t4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replayed_waits(spark, _replayed(spark, sf_dir), "thread_waits").select(
+    return _replayed(spark, sf_dir, replay.THREADS).select(
         F.col("poll_id").cast("bigint").cast("string").alias("poll_id"), F.col("tid").cast("string").alias("name"),
         "bucket", "total_time", "total_requests",
     )
@@ -258,7 +258,7 @@ def t4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t5_replayed_file_waits", f"SELECT {_TEXT.format(name='inode_id', count='\"count\"')} FROM ({file_wait_sql(_STOP)})")
 def t5_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replayed_waits(spark, _replayed(spark, sf_dir), "file_waits").select(
+    return _replayed(spark, sf_dir, replay.FILES).select(
         F.col("poll_id").cast("bigint").cast("string").alias("poll_id"), F.col("inode_id").cast("string").alias("name"),
         "bucket", "total_time", F.col("count").alias("total_requests"),
     )

@@ -8,13 +8,18 @@ over time cells. What stays open is carried to the next batch as a few rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slowtrace.functions.timebase import NS_PER_S
-from slowtrace.operators.multiplex import muxio_file_wait, muxio_wait, open_state
-from slowtrace.session import delete_folder
+from slowtrace.operators.multiplex import muxio_file_wait, muxio_wait, open_state, settled_history
+from slowtrace.session import delete_folder, settled_tables
+
+THREADS, FILES = "thread_waits", "file_waits"
+
+
+_CLOCK = "closed bigint, newest bigint, results string"
 
 
 def _folder(path: str, what: str, batch_id: int) -> str:
@@ -22,14 +27,17 @@ def _folder(path: str, what: str, batch_id: int) -> str:
 
 
 def replay_batches(
-    path: str, bucket: int = NS_PER_S, delay: int = 2 * NS_PER_S, cell_width: int | None = 3600 * NS_PER_S
+    path: str, bucket: int = NS_PER_S, delay: int = 2 * NS_PER_S, cell_width: int | None = 3600 * NS_PER_S,
+    results: Sequence[str] = (THREADS, FILES),
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over raw poll/epoll events.
 
     A bucket closes once an event later than its end by ``delay`` has been seen; rows for
     a closed bucket that come later are dropped. Every batch reads the last version of
     the state and writes its own, so a batch that is run again has the same result.
+    Of ``results`` only those named are made, and only what they need is carried; they stay the same over a stream's life.
     """
+    asked = ",".join(r for r in (THREADS, FILES) if r in results)
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -37,7 +45,9 @@ def replay_batches(
         now, last = (lambda what: _folder(path, what, batch_id)), (lambda what: _folder(path, what, batch_id - 1))
         closed_before, newest, carried = None, None, None
         if batch_id > 0:
-            clock = spark.read.schema("closed bigint, newest bigint").parquet(last("clock")).first()
+            clock = spark.read.schema(_CLOCK).parquet(last("clock")).first()
+            if (clock.results or f"{THREADS},{FILES}") != asked:
+                raise ValueError(f"the state below {path} was carried for {clock.results}, not for {asked}")
             closed_before, newest = clock.closed, clock.newest
             carried = spark.read.schema(schema).parquet(last("state"))
         arrived = batch if carried is None else batch.unionByName(spark.read.schema(schema).parquet(last("pending")))
@@ -53,16 +63,22 @@ def replay_batches(
             closed = closed_before
             pending = events
             state = carried if carried is not None else events.filter(F.lit(False))
+            state.write.mode("overwrite").parquet(now("state"))
         else:
             due = events.filter(F.col("ts") < closed)
             replayed = due if carried is None else carried.unionByName(due)
-            muxio_wait(replayed, bucket, closed, cell_width).write.mode("overwrite").parquet(now("thread_waits"))
-            muxio_file_wait(replayed, bucket, closed, cell_width).write.mode("overwrite").parquet(now("file_waits"))
-            state = open_state(replayed, closed, cell_width).select(*schema.names)
             pending = events.filter(F.col("ts") >= closed)
-        state.write.mode("overwrite").parquet(now("state"))
+            with settled_tables(spark):
+                history = settled_history(replayed, cell_width) if FILES in results else None
+                if THREADS in results:
+                    muxio_wait(replayed, bucket, closed, cell_width).write.mode("overwrite").parquet(now(THREADS))
+                if FILES in results:
+                    files = muxio_file_wait(replayed, bucket, closed, cell_width, history=history)
+                    files.write.mode("overwrite").parquet(now(FILES))
+                state = open_state(replayed, closed, cell_width, history=history, with_files=FILES in results)
+                state.select(*schema.names).write.mode("overwrite").parquet(now("state"))
         pending.write.mode("overwrite").parquet(now("pending"))
-        spark.createDataFrame([(closed, newest)], "closed bigint, newest bigint").write.mode("overwrite").parquet(now("clock"))
+        spark.createDataFrame([(closed, newest, asked)], _CLOCK).write.mode("overwrite").parquet(now("clock"))
         # a batch that runs again needs the version before it, and none older
         for what in ("state", "pending", "clock"):
             delete_folder(spark, _folder(path, what, batch_id - 2))
