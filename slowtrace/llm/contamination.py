@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slowtrace.llm.key_filter import without
 from slowtrace.llm.words import WordHasher, mix, runs, shingle_set, texts_of
+from slowtrace.session import settle
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -179,7 +181,6 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns as they were."""
-    gone = contained_items(docs, items, threshold).select("doc_id", "text_hash").distinct()
+    gone = settle(contained_items(docs, items, threshold).select("doc_id", "text_hash").distinct())
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    on = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__hash"] == gone["text_hash"])
-    return marked.join(gone, on, "left_anti").drop("__hash")
+    return without(marked, gone.withColumnRenamed("text_hash", "__hash"), "doc_id", "__hash").drop("__hash")

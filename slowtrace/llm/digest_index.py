@@ -13,7 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slowtrace.session import settle
+from slowtrace.llm.key_filter import KeyFilter
+from slowtrace.session import settle, settled_tables
 
 _INDEX = "digest BINARY, doc_id BIGINT, row BIGINT"
 
@@ -85,18 +86,16 @@ def exact_groups(prints: DataFrame, index: DigestIndex) -> DataFrame:
 def drop_exact(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """``docs`` without the rows whose text stays elsewhere; all its columns as they were.
 
-    Only the list of dropped rows is matched with the texts. Rows that repeat both id and text are few; one of
-    them is chosen after that.
+    Only rows that a filter of the dropped and repeated ones passes are matched with their list, the others stay
+    where they are. Of rows that repeat both id and text one is chosen after that.
     """
-    verdicts = exact_groups(fingerprints(docs), index)
-    pairs = settle(verdicts.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-                   .where("NOT kept OR n > 1"))
+    with settled_tables(docs.sparkSession):
+        verdicts = exact_groups(fingerprints(docs), index)
+        pairs = settle(verdicts.groupBy("doc_id", F.col("digest").alias("__digest"))
+                       .agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), outer=True)
     marked = docs.withColumn("__digest", text_digest(F.col("text")))
-
-    def matched(pairs: DataFrame, how: str) -> DataFrame:
-        on = marked["doc_id"].eqNullSafe(pairs["doc_id"]) & (marked["__digest"] == pairs["digest"])
-        return marked.join(pairs, on, how)
-
-    single = matched(pairs, "left_anti")
-    repeated = matched(pairs.where("kept"), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return single.unionByName(repeated).drop("__digest")
+    some = KeyFilter(pairs, "doc_id", "__digest").passes("doc_id", "__digest")
+    gone = pairs.where("NOT kept").alias("g")
+    met = marked.where(some).alias("m").join(gone, F.expr("m.doc_id <=> g.doc_id AND m.__digest = g.__digest"), "left_anti")
+    # whatever else the filter passes is met once
+    return marked.where(~some).unionByName(met.dropDuplicates(["doc_id", "__digest"])).drop("__digest")

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slowtrace.llm.key_filter import KeyFilter
+from slowtrace.llm.key_filter import KeyFilter, without
 from slowtrace.llm.linking import linked_groups, shared_postings
 from slowtrace.llm.words import WordHasher, mix, shingle_set, texts_of
-from slowtrace.session import settle
+from slowtrace.session import settle, settled_tables
 
 SHINGLE = 5
 COORDINATES = 48
@@ -176,7 +176,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the smallest of their group; all columns as they were."""
-    gone = settle(near_groups(docs).where("NOT kept").select("doc_id", "text_hash").distinct())
+    with settled_tables(docs.sparkSession):
+        gone = settle(near_groups(docs).where("NOT kept").select("doc_id", "text_hash").distinct(), outer=True)
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    on = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__hash"] == gone["text_hash"])
-    return marked.join(gone, on, "left_anti").drop("__hash")
+    return without(marked, gone.withColumnRenamed("text_hash", "__hash"), "doc_id", "__hash").drop("__hash")
