@@ -14,7 +14,7 @@ from slowtrace.plans.bindings import DAY, EV, HOUR, REQ, WEEK, events, intervals
 from slowtrace.plans.registry import query
 from slowtrace.plans.relation_queries import _DISCOVERED, first_user
 from slowtrace.plans.bindings import orminus
-from slowtrace.session import scratch_path
+from slowtrace.session import scratch_path, settle, settled_tables
 from slowtrace.sources.events import read_events_stream
 from slowtrace.streaming import calls, discovery, fold, late, merge, replay, stats, waits
 from slowtrace.streaming.run import drain_batches, drain_stateful, drained
@@ -60,7 +60,8 @@ def operation_stream(spark: SparkSession, operations: DataFrame) -> DataFrame:
     ))).select("*", "__move.ts", "__move.kind").drop("__move", "start", "end").filter("ts IS NOT NULL")
     late = F.col("ts") + F.pmod(F.xxhash64("call", "kind"), F.lit(HOUR))
     seq = F.col("call") * 2 + (F.col("kind") == "end").cast("bigint")
-    raw = arriving(spark, moves.withColumns({"seq": seq, "__at": late}), "__at", "operations")
+    with settled_tables(spark):  # each arrival reads all moves
+        raw = arriving(spark, settle(moves.withColumns({"seq": seq, "__at": late})), "__at", "operations")
     return raw.withColumn("event_time", F.timestamp_micros("ts"))
 
 

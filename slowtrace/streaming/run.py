@@ -11,25 +11,40 @@ from slowtrace.session import scratch_path
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_TASKS_PER_CORE, _LEAST_TASKS = 2, 16
+
+
+def state_tasks(spark: SparkSession) -> int:
+    """Partitions of keyed state: as many as the cores keep busy, and no more than the session asks for.
+
+    Every partition costs a store and a Python worker in every micro-batch, however little it holds, and adaptive execution
+    does not join those of a stream.
+    """
+    wanted = max(_LEAST_TASKS, _TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return min(int(spark.conf.get(_PARTITIONS)), wanted)
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, as processors with timers need."""
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)  # taken over by the query when it starts
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as processors with timers need, in :func:`state_tasks` partitions."""
+    ours = {_STATE_STORE: _ROCKSDB, _PARTITIONS: str(state_tasks(spark))}
+    before = {name: spark.conf.get(name, None) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)  # taken over by the query when it starts
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_STATE_STORE)
-        else:
-            spark.conf.set(_STATE_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append everything the source has now to a folder; the next call goes on from there."""
-    with _rocksdb(stream.sparkSession):
+    with _keyed_state(stream.sparkSession):
         query = (
             stream.writeStream.format("parquet")
             .option("path", path)
@@ -43,7 +58,7 @@ def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def drain_stateful(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:
     """:func:`drain_batches` for a stream with keyed state and timers."""
-    with _rocksdb(stream.sparkSession):
+    with _keyed_state(stream.sparkSession):
         return drain_batches(stream, each, checkpoint)
 
 
