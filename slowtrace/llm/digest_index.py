@@ -51,8 +51,10 @@ class DigestIndex:
         """
         own = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("stays"))
         fresh = own.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (fresh.select("digest", "stays.doc_id", "stays.row").repartition(self.buckets, "digest")
-         .sortWithinPartitions("digest").write.insertInto(self.name))
+        # dealt out by bucket, so that a bucket gets one file of a batch however many partitions there are
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        (fresh.select("digest", "stays.doc_id", "stays.row").repartition(self.buckets, bucket)
+         .sortWithinPartitions(bucket, "digest").write.insertInto(self.name))
         self.spark.catalog.refreshTable(self.name)
 
 

@@ -116,6 +116,22 @@ def test_exact_of_any_ids(spark):
     assert {bytes(r["digest"]) for r in got if r["doc_id"] == 0} == {hashlib.sha256(b"").digest()}
 
 
+def test_exact_index_has_one_file_per_bucket_and_batch(spark, monkeypatch):
+    """Also where rows are dealt out to more partitions than the index has buckets."""
+    frame, n = type(spark.range(0)), 13
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, parts, *keys: dealt(self, max(n, parts) if keys else parts, *keys))
+    index = digest_index.DigestIndex(spark, scratch_path(spark, "t"), 4)
+    for first in (0, 200):
+        batch = spark.range(first, first + 300).select(
+            F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("row"))
+        index.add(batch)
+    files = index.rows().inputFiles()
+    got = index.rows().count()
+    index.close()
+    assert got == 500 and len(files) == 2 * 4
+
+
 def test_digest_without_python(spark, capsys):
     docs = spark.createDataFrame([(1, "Ä A")], "doc_id long, text string")
     df = docs.select(digest_index.text_digest(F.col("text")).alias("d"))
