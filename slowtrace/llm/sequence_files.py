@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyarrow import fs
@@ -39,6 +40,7 @@ from tokenizers import Tokenizer
 from slowtrace.llm.tokens import byte_of_symbol
 
 LENGTH, ROWS, PER_FILE = 1024, 256, 64 * 256
+PORTION = 4 * 2 ** 20  # bytes of text encoded at once
 END = 2
 TOKEN, LAST = 1, 2  # in a mask; 0 is padding
 _TELLS = ("task int, nth int, path string, length int, rows int, bits int, header long, batch_bytes long, n_sequences long, "
@@ -49,7 +51,8 @@ class WordEncoder:
     """Ids of texts by a file of the tokenizers library, one look-up per word that was met before.
 
     Where the file's rules drop white space before anything is merged, white space parts any two words and a text has
-    the ids of its words one after the other. Words met are remembered up to a bound, then forgotten all at once; a text
+    the ids of its words one after the other. Texts of one call are split together, so a word is looked up once a call, and
+    new words are encoded together. Words met are remembered up to a bound, then forgotten all at once; a text
     with a word longer than ``longest`` bytes and files with other rules go to the library text by text.
     """
 
@@ -60,14 +63,18 @@ class WordEncoder:
         self._by_word = _parts_at_blanks(spec) and self._blanks_part()
         self._merges = _merges(spec) if self._by_word else None
         if self._merges is not None:
-            self._cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _BLANKS))
+            self._cut_or_line = regex.compile(
+                spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _BLANKS) + r"|\n")
+            self._ends_piece = np.zeros(self._merges.n_vocab, bool)
+            self._ends_piece[[i for b, i in self._merges._mergeable_ranks.items() if b.endswith(b" ")]] = True
             self._added = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.size = self._library.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._flat, self._ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self._known: dict[bytes, int] = {b"": 0}
+        self._flat = np.empty(0, np.uint32)
+        self._begins, self._sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _whole(self, text: str) -> list[int]:
         return self._library.encode(text, add_special_tokens=False).ids
@@ -78,41 +85,75 @@ class WordEncoder:
                    for gap in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"))
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [self._quick(w) for w in words]
+        """Ids of words not met before, by the same merges in tiktoken where their letters are ones both lower alike."""
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        found, sizes = [], np.zeros(len(words), np.int64)
+        quick, slow = [], []
+        for i, text in enumerate(texts):
+            (quick if self._merges is not None and (text.isascii() or not _RARE.search(text)) else slow).append(i)
+        if quick and self._added.search("\n".join([texts[i] for i in quick])):
+            slow += [i for i in quick if self._added.search(texts[i])]
+            quick = [i for i in quick if not self._added.search(texts[i])]
+        if quick:
+            ids, sizes[quick] = self._quick([texts[i] for i in quick])
+            found.append((quick, ids))
+        if slow:
+            ids = [self._whole(texts[i]) for i in slow]
+            sizes[slow] = [len(i) for i in ids]
+            found.append((slow, np.fromiter(chain.from_iterable(ids), np.uint32)))
+        # ids of quick words and of others lie apart
+        begins = np.empty(len(words), np.int64)
+        at = len(self._flat)
+        for which, ids in found:
+            begins[which] = at + np.cumsum(sizes[which]) - sizes[which]
+            at += len(ids)
+        self._flat = np.concatenate([self._flat, *[ids for _, ids in found]])
+        self._begins, self._sizes = np.append(self._begins, begins), np.append(self._sizes, sizes)
         self._known.update(zip(words, range(len(self._known), len(self._known) + len(words)), strict=True))
-        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self._ends = np.append(self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids]))
 
-    def _quick(self, word: bytes) -> list[int]:
-        """Ids of one word: by the same merges in tiktoken, where its letters are ones both lower alike."""
-        text = word.decode("utf-8", "replace")
-        if self._merges is None or _RARE.search(text) or self._added.search(text):
-            return self._whole(text)
-        return self._merges.encode_ordinary(" ".join(self._cut.findall(text.lower())) + " ")
+    def _quick(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after the other, and how many each has; a piece ends with an id that holds a blank."""
+        pieces = self._cut_or_line.findall("\n".join([t.lower() for t in texts]) + "\n")
+        line = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        ids = np.array(self._merges.encode_ordinary(" ".join([p for p in pieces if p != "\n"]) + " " if len(pieces) > len(texts) else ""),
+                       np.uint32)
+        # after how many ids each piece, and each text, is done
+        done = np.append(0, np.flatnonzero(self._ends_piece[ids]) + 1)[np.cumsum(~line)[line]]
+        return ids, np.diff(done, prepend=0)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        split, places = [], []
-        for i, text in enumerate(texts):
-            words = text.split() if self._by_word else None
-            if words is None or words and max(map(len, words)) > self._longest:
-                out[i] = np.array(self._whole(text.decode("utf-8", "replace")), np.uint32)
-            else:
-                split.append(words)
-                places.append(i)
-        new = set().union(*split).difference(self._known)
+        if not self._by_word:
+            return [self._by_library(text) for text in texts]
+        # Arrow splits at the six ASCII blanks, as bytes.split does; an empty word has no ids
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct, owner = words.dictionary.view(pa.large_binary()).to_pylist(), words.indices.to_numpy()
+        numbers, borders = self._numbers(distinct), split.offsets.to_numpy() - split.offsets[0].as_py()
+        begins, sizes = self._begins[numbers][owner], self._sizes[numbers][owner]
+        done = np.cumsum(sizes)
+        ids = self._flat[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(begins - done + sizes, sizes)]
+        ends = np.append(0, done)[borders].tolist()
+        out = [ids[begin:end] for begin, end in zip(ends, ends[1:])]
+        long = pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > self._longest
+        for i in set((np.searchsorted(borders, np.flatnonzero(long[owner]), side="right") - 1).tolist()) if long.any() else ():
+            out[i] = self._by_library(texts[i])
+        return out
+
+    def _by_library(self, text: bytes) -> np.ndarray:
+        return np.array(self._whole(text.decode("utf-8", "replace")), np.uint32)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of different ``words``, by which their ids are known; a word over ``longest`` gets that of no ids."""
+        numbers = np.fromiter((self._known.get(word, -1) for word in words), np.int64, len(words))
+        new = [i for i in np.flatnonzero(numbers < 0).tolist() if len(words[i]) <= self._longest]
         if len(self._known) + len(new) > self._remember:
             self._forget()
-            new = set().union(*split)
+            numbers[:] = -1
+            new = [i for i, word in enumerate(words) if 0 < len(word) <= self._longest]
         if new:
-            self._learn(list(new))
-        for i, words in zip(places, split, strict=True):
-            which = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
-            begins, lengths = self._ends[which], self._ends[which + 1] - self._ends[which]
-            done = np.cumsum(lengths)
-            total = int(done[-1]) if len(done) else 0
-            out[i] = self._flat[np.arange(total) + np.repeat(begins - done + lengths, lengths)]
-        return out
+            numbers[new] = np.arange(len(self._known), len(self._known) + len(new))
+            self._learn([words[i] for i in new])
+        return np.maximum(numbers, 0)
 
 
 #: White space below U+0250; beyond that, letters and spaces are left to the library.
@@ -242,6 +283,15 @@ class _Writer:
             each.close()
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of portions that begin within different ``PORTION`` bytes; a long row goes with those before it."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, firsts = np.unique((np.cumsum(sizes) - sizes) // PORTION, return_index=True)
+    edges = [*firsts.tolist(), len(texts)]
+    for first, end in zip(edges, edges[1:]):
+        yield first, end - first
+
+
 def _write(vocabulary: str, folder: str, length: int, rows: int, per_file: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary), TaskContext.get().partitionId()
@@ -256,8 +306,8 @@ def _write(vocabulary: str, folder: str, length: int, rows: int, per_file: int):
 
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for start in range(0, len(batch), 500):
-                part = batch.column("text").slice(start, 500).cast(pa.binary()).to_pylist()
+            for start, rows_here in _portions(batch.column("text")):
+                part = batch.column("text").slice(start, rows_here).cast(pa.binary()).to_pylist()
                 for i, ids in enumerate(encode([text or b"" for text in part])):
                     ids = np.append(ids, np.uint32(END))
                     mask = np.full(len(ids), TOKEN, np.uint8)

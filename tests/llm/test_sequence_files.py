@@ -112,6 +112,30 @@ def test_encoder_equals_the_library(remember, longest):
             assert ids.tolist() == ids_of(text)[:-1], text[:50]
 
 
+def test_new_words_are_encoded_together():
+    """One call of the merges for all words that a call meets first, none for words met before."""
+    encode, calls = WordEncoder(VOCABULARY), []
+
+    class Counted:
+        def encode_ordinary(self, text, merges=encode._merges):
+            calls.append(text)
+            return merges.encode_ordinary(text)
+
+    encode._merges = Counted()
+    texts = [f"don't it's{i} a{i}b{i % 7} <|endoftext|>  {'x' * (i % 230)} été{i}" for i in range(300)] + ["", " "]
+    for _ in range(2):
+        for text, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == ids_of(text)[:-1], text
+    assert len(calls) == 1
+
+
+def test_portions_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(sequence_files, "PORTION", 10)
+    for texts in ([], [None], ["", None, "a" * 35, "b", "c" * 9, "d" * 3, None], ["e" * 4] * 20):
+        rows = [first + i for first, n in sequence_files._portions(pa.array(texts, pa.string())) for i in range(n)]
+        assert rows == list(range(len(texts)))
+
+
 def test_every_letter_of_the_quick_way():
     """Each code point below U+0250 alone, inside words, and beside digits, quotes and marks."""
     encode = WordEncoder(VOCABULARY)
