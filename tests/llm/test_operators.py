@@ -3,6 +3,7 @@
 import bisect
 import datetime as dt
 import hashlib
+import os
 import random
 import re
 import time
@@ -377,6 +378,37 @@ def test_edited_lines(spark):
     assert 60 < sum(got.values()) < len(texts)
 
 
+
+def test_many_alike_lines(spark, tmp_path):
+    """A cluster whose lists are too dense to be compared pair by pair; and what is settled on the way does not stay."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(12)]
+    texts = [(0, " ".join(base))]
+    for n in range(1, 400):
+        edited = list(base)
+        edited[11 - n % 2] = f"x{n}"
+        texts.append((n, " ".join(edited)))
+    texts += [(1000 + n, " ".join(f"y{draw.randrange(10 ** 6)}" for _ in range(12))) for n in range(50)]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    df, before = spark.createDataFrame(texts, "doc_id long, text string"), set(os.listdir(shared))
+    got = {r["doc_id"]: r["n_removed"] for r in lines.repeated_lines(df).collect()}
+    assert got == {n: int(0 < n < 1000) for n, _ in texts}
+    assert len({f for f in os.listdir(shared) if f.startswith("settled-")} - before) == 1
+
+
+def test_words_of_lines():
+    texts = ["Hello, World a\n\n b! c\n", "", "\u00e9t\u00e9 A\x0bB\x00c\td\r\ne", "...", "x" * 70000 + " y " + "z" * 40000, "Hello world A"]
+    texts = [t.encode() for t in texts]
+    words = lines.Words(texts)
+    want = [(i, n, lines.normal_words(line)) for i, t in enumerate(texts) for n, line in enumerate(t.split(b"\n")) if lines.normal_words(line)]
+    assert [*zip(words.owner.tolist(), words.number.tolist(), words.sizes.tolist(), strict=True)] == [(i, n, len(w)) for i, n, w in want]
+    assert words.digests() == [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for _, _, w in want]
+    flat = [w for _, _, line in want for w in line]
+    assert len({*zip(flat, words.hashes.tolist(), strict=True)}) == len(set(flat)) == len(set(words.hashes.tolist()))
+    assert all(abs(np.searchsorted(lines._CLASSES, a, "right") - np.searchsorted(lines._CLASSES, b, "right")) <= lines._REACH
+               for a in range(3, 700) for b in range(a - a // lines.ONE_IN, a))
+
+
 # --- pseudonyms
 
 def test_pseudonyms_round_trip(spark, none):
